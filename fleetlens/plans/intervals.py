@@ -24,10 +24,11 @@ def waits_between(
     benign: Sequence[str] = tuple(BENIGN_WAITS),
     threshold: int = 95,
     ts: str = "snapshot_ts",
+    bounded: bool = True,
 ) -> DataFrame:
     """Top waits of every server between two instants: one scan, one shuffle per grain."""
     diff = wait_diff_between(snapshots, before_at, after_at, keys, ts)
-    return wait_profile_interval(diff, keys, benign, threshold)
+    return wait_profile_interval(diff, keys, benign, threshold, bounded)
 
 
 def file_latency_between(
