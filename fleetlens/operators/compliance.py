@@ -475,9 +475,7 @@ def fleet_inventory(
 
     ``pattern`` uses ``*`` and is case-insensitive.
     """
-    wanted = F.col("server_group").rlike(
-        like_regex(F.lit(pattern.replace("*", "%")))
-    )
+    wanted = F.rlike("server_group", like_regex(F.lit(pattern.replace("*", "%"))))
     return (
         servers.filter(wanted)
         .join(groups, list(on))

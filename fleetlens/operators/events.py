@@ -12,8 +12,11 @@ from pyspark.sql import types as T
 from fleetlens.functions.text import like_regex, quote_name
 
 _ITEM = "array<struct<_name: string, value: string>>"
+_EVENT = f"_name string, _timestamp string, data {_ITEM}, action {_ITEM}"
 _RING_BUFFER = f"event array<struct<_name: string, _timestamp: string, data: {_ITEM}, action: {_ITEM}>>"
-_RING_BUFFER_BODIES = "event array<string>"
+
+# An event element with its content; events do not nest.
+_EVENT_NODE = r"(?s)<event(?=[\s>/])(?:[^>]*/>|[^>]*>.*?</event>)"
 
 # The kind of event a deadlock leaves, and the field holding the last good check.
 DEADLOCK_REPORT = "xml_deadlock_report"
@@ -23,20 +26,6 @@ LAST_GOOD_FIELD = "dbi_dbccLastKnownGood"
 SEARCH_VALUE_WIDTH = 3630
 
 
-def _events(df: DataFrame, xml_col: str, event_name: str | None) -> DataFrame:
-    """One row per event node, in ``_event`` (parsed) and ``_body`` (inner XML)."""
-    nodes = F.arrays_zip(
-        F.from_xml(F.col(xml_col), _RING_BUFFER)["event"].alias("parsed"),
-        F.from_xml(F.col(xml_col), _RING_BUFFER_BODIES)["event"].alias("body"),
-    )
-    out = df.withColumn("_node", F.explode(nodes)).withColumns(
-        {"_event": F.col("_node.parsed"), "_body": F.col("_node.body")}
-    )
-    if event_name is not None:
-        out = out.filter(F.col("_event._name") == event_name)
-    return out.drop("_node")
-
-
 def _event_time() -> Column:
     return F.to_timestamp_ntz(F.regexp_replace(F.col("_event._timestamp"), "Z$", ""))
 
@@ -47,15 +36,18 @@ def shred_events(
     keep: Sequence[str] = (),
     event_name: str | None = None,
 ) -> DataFrame:
-    """Ring-buffer documents as one row per event: UTC time, name and body.
+    """Ring-buffer documents as one row per event: UTC time, name and the event element.
 
     ``event_name`` restricts to one kind of event.
     """
-    return _events(df, xml_col, event_name).select(
-        *keep,
-        _event_time().alias("event_timestamp"),
-        F.col("_event._name").alias("event_name"),
-        F.col("_body").alias("event_body"),
+    nodes = df.select(
+        *keep, F.explode(F.regexp_extract_all(xml_col, F.lit(_EVENT_NODE), F.lit(0))).alias("event")
+    )
+    parsed = nodes.withColumn("_event", F.from_xml("event", _EVENT))
+    if event_name is not None:
+        parsed = parsed.filter(F.col("_event._name") == event_name)
+    return parsed.select(
+        *keep, _event_time().alias("event_timestamp"), F.col("_event._name").alias("event_name"), "event"
     )
 
 
@@ -111,8 +103,8 @@ def recent_deadlocks(
     rows = files.filter(F.lower("object_name") == DEADLOCK_REPORT)
     if pattern is not None:
         wanted = F.lit(pattern) if isinstance(pattern, str) else pattern
-        rows = rows.filter(F.col("file_name").rlike(like_regex(F.replace(wanted, F.lit("*"),
-                                                                        F.lit("%")))))
+        like = F.replace(wanted, F.lit("*"), F.lit("%"))
+        rows = rows.filter(F.rlike("file_name", like_regex(like)))
     stamp = F.regexp_replace(F.xpath_string("event_data", F.lit("/event/@timestamp")), "Z$", "")
     local = F.from_utc_timestamp(F.to_timestamp_ntz(stamp).cast("timestamp"), tz)
     return (

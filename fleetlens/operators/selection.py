@@ -224,7 +224,7 @@ def _select_by_join(
         [F.lower(c) == F.lower(F.col(f"_rule_{c}")) for c in columns],
     )
     by_pattern = joined(
-        rekeyed.filter(patterned), [F.col(c).rlike(F.col(f"_re_{c}")) for c in columns]
+        rekeyed.filter(patterned), [F.rlike(c, F.col(f"_re_{c}")) for c in columns]
     )
     verdict = exact.union(by_pattern).groupBy(*identity).agg(
         (F.bool_or("selected") & ~F.bool_or(~F.col("selected"))).alias("selected"),
@@ -351,7 +351,9 @@ def _listed(names: DataFrame, parts: Sequence[str], keys: Sequence[str]) -> Data
     )
 
 
-def fs_name_conflicts(items: DataFrame, name: str = "name", keys: Sequence[str] = ()) -> DataFrame:
+def fs_name_conflicts(
+    items: DataFrame, name: str = "name", keys: Sequence[str] = (), keep: Sequence[str] = ()
+) -> DataFrame:
     """Items whose name is empty, or not unique, once reduced to file-name characters.
 
     Only problems that touch a selected item are reported.  ``problem`` is ``EMPTY`` or
@@ -370,7 +372,7 @@ def fs_name_conflicts(items: DataFrame, name: str = "name", keys: Sequence[str]
         "problem", F.lit("DUPLICATE")
     )
     empty = reduced.filter("selected and name_fs = ''").withColumn("problem", F.lit("EMPTY"))
-    return duplicates.unionByName(empty).select(*keys, name, "name_fs", "problem")
+    return duplicates.unionByName(empty).select(*keys, *keep, name, "name_fs", "problem")
 
 
 def sync_worklist(queue: DataFrame, items: DataFrame, on: Sequence[str]) -> DataFrame:
