@@ -278,14 +278,14 @@ def render_template(
     text = F.lit(template) if isinstance(template, str) else template
     values = {**date_tokens(asof), **tokens}
     for name, value in values.items():
-        token = "{" + name + "}"
-        text = F.when(value.isNull(), F.replace(text, F.lit(token), F.lit(""))).otherwise(text)
+        # Replaced by itself when there is a value: the text so far must occur once per step.
+        token = F.lit("{" + name + "}")
+        text = F.replace(text, token, F.when(value.isNull(), "").otherwise(token))
     text = clean_template(text, directory)
     if directory:
         text = F.replace(text, F.lit("/"), F.lit(separator))
     for name, value in values.items():
-        token = "{" + name + "}"
-        text = F.replace(text, F.lit(token), F.coalesce(value, F.lit("")))
+        text = F.replace(text, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
     return df.withColumn(out, text)
 
 

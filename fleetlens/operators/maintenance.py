@@ -313,6 +313,7 @@ def order_targets(
         F.asc("index_name"),
         F.asc("statistics_name"),
         F.asc("partition_number"),
+        F.asc("object_id"),
     ]
     ready = targets.filter("selected").withColumns(
         {

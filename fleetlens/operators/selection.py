@@ -198,9 +198,9 @@ def _select_by_join(
     Rules that name an item exactly meet it by an equality join; only rules with a pattern are
     compared with every item of their key.
     """
-    identity = [*keys, *columns]
     typed = [c for c in ("database_type", "availability_group") if c in rules.columns]
-    base = items.select(*identity, *typed)
+    identity = [*keys, *columns, *typed]
+    base = items.select(*identity).distinct()
     named = rules.withColumns({f"_rule_{c}": F.col(c) for c in [*columns, *typed]}).select(
         *keys, *[f"_rule_{c}" for c in [*columns, *typed]], *[f"_re_{c}" for c in columns],
         "selected", "start_position",
@@ -230,8 +230,10 @@ def _select_by_join(
         (F.bool_or("selected") & ~F.bool_or(~F.col("selected"))).alias("selected"),
         F.min(F.when(F.col("selected"), F.col("start_position"))).alias("start_position"),
     )
-    return items.join(verdict, identity, "left").withColumn(
-        "selected", F.coalesce("selected", F.lit(False))
+    found = verdict.withColumnsRenamed({c: f"_v_{c}" for c in identity})
+    same = [F.col(c).eqNullSafe(F.col(f"_v_{c}")) for c in identity]
+    return items.join(found, reduce(lambda a, b: a & b, same), "left").select(
+        *items.columns, F.coalesce("selected", F.lit(False)).alias("selected"), "start_position"
     )
 
 
