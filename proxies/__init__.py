@@ -1,7 +1,19 @@
 """Every operator applied to the driver's test tables, each with an equivalent SQL text."""
 
+from proxies import (  # noqa: F401 - importing a module registers its queries
+    waits,
+    counters,
+    capacity,
+    workload,
+    events,
+    history,
+    selection,
+    maintenance,
+    backup,
+    compliance,
+    synth,
+    streaming,
+)
 from proxies.base import ORACLES, QUERIES
-from proxies import capacity, compliance, counters, events, history, maintenance, backup  # noqa: F401
-from proxies import selection, streaming, synth, waits, workload  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -1 +1,70 @@
-"""Pending."""
+"""The events table replayed as a stream that ends (``availableNow``)."""
+
+from __future__ import annotations
+
+from uuid import uuid4
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fleetlens.operators.distributed import ensure_checkpoint_dir
+from fleetlens.streaming import stream_counter_delta, stream_events, stream_threshold_alert
+from proxies.base import ORACLES, cents, load, query
+from proxies.events import event_element
+
+
+def stream(spark, sf: str, table: str) -> DataFrame:
+    # A pattern, because a stream source cannot be a single file; it also matches a folder.
+    schema = load(spark, sf, table).schema
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100)
+    return source.parquet(f"{sf}/{table}.parquet*")
+
+
+def replay(spark, result: DataFrame) -> DataFrame:
+    """Run a stream to its end into a fresh folder that all executors reach; its rows."""
+    root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid4().hex}"
+    running = (
+        result.writeStream.format("parquet")
+        .option("path", f"{root}/rows")
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
+    return spark.read.schema(result.schema).parquet(f"{root}/rows")
+
+
+@query("stream_counter_delta", ORACLES["successive_delta"])
+def counter_delta(spark, sf):
+    rows = stream(spark, sf, "events").select(
+        "user_id", "event_type", "ts", cents("value").alias("c"), "event_id"
+    )
+    return replay(
+        spark, stream_counter_delta(rows, ["user_id", "event_type"], "ts", ["c", "event_id"])
+    )
+
+
+@query(
+    "stream_threshold_alert",
+    """WITH RECURSIVE q AS (SELECT event_type, ts, value FROM events WHERE value > 25),
+    a AS (SELECT event_type, min(ts) AS ts FROM q GROUP BY event_type
+      UNION ALL SELECT a.event_type, min(q.ts) FROM a JOIN q
+        ON q.event_type = a.event_type AND q.ts >= a.ts + INTERVAL 6 HOUR GROUP BY a.event_type)
+    SELECT event_type, ts, value, '>' AS op, CAST(25 AS DOUBLE) AS threshold FROM a JOIN q USING (event_type, ts)""",
+)
+def threshold_alert(spark, sf):
+    rows = stream(spark, sf, "events").select("event_type", "ts", "value")
+    alerts = stream_threshold_alert(
+        rows, ["event_type"], "ts", "value", ">", 25.0, cooldown_s=6 * 3600
+    )
+    return replay(spark, alerts)
+
+
+@query("stream_events", ORACLES["shred_events_by_name"])
+def events_stream(spark, sf):
+    documents = stream(spark, sf, "events").select(
+        "event_id",
+        F.concat(F.lit("<RingBufferTarget>"), event_element(), F.lit("</RingBufferTarget>"))
+        .alias("target_data"),
+    )
+    return replay(spark, stream_events(documents, keep=["event_id"], event_name="error"))

@@ -1 +1,80 @@
-"""Pending."""
+"""Synthetic scale-up of the part table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fleetlens.operators import synth
+from proxies.base import load, query
+
+DAYS = 60
+
+
+@query(
+    "scale_up",
+    """SELECT p_partkey + n * 1000 AS p_partkey, p_name || CAST(n * 1000 AS VARCHAR) AS p_name,
+      p_brand || '-' || CAST(n * 1000 AS VARCHAR) AS p_brand, p_type, p_size, p_retailprice
+    FROM part, (SELECT unnest(range(1, 51)) AS n)""",
+)
+def scale_up(spark, sf):
+    return synth.scale_up(load(spark, sf, "part"), "p_partkey", labels={"p_name": "", "p_brand": "-"})
+
+
+_SQL_DIVISOR = "(SELECT max(d) FROM (SELECT unnest(range(1, 27)) AS d) WHERE {key} % d = 0)"
+
+
+@query(
+    "largest_divisor",
+    f"SELECT o_orderkey, CAST({_SQL_DIVISOR.format(key='o_orderkey')} AS INTEGER) AS divisor FROM orders",
+)
+def largest_divisor(spark, sf):
+    return load(spark, sf, "orders").select(
+        "o_orderkey", synth.largest_divisor(F.col("o_orderkey")).alias("divisor")
+    )
+
+
+_SQL_DATES = f"""g AS (SELECT p_partkey, {_SQL_DIVISOR.format(key='p_partkey')} AS grp FROM part),
+    d AS (SELECT p_partkey, grp, unnest(range(0, {DAYS})) AS day FROM g),
+    t AS (SELECT *, CASE WHEN day < ({DAYS} % grp) * ({DAYS} // grp + 1) THEN day // ({DAYS} // grp + 1) + 1
+        ELSE {DAYS} % grp + (day - ({DAYS} % grp) * ({DAYS} // grp + 1)) // ({DAYS} // grp) + 1 END AS tile
+      FROM d)"""
+
+
+@query(
+    "sparse_dates",
+    f"""WITH {_SQL_DATES} SELECT p_partkey, CAST(DATE '2005-01-01' + CAST(day AS INTEGER) AS DATE)
+      AS transaction_date FROM t WHERE tile % 2 = 1""",
+)
+def sparse_dates(spark, sf):
+    ids = load(spark, sf, "part").select("p_partkey")
+    return synth.sparse_dates(ids, "p_partkey", synth.largest_divisor(F.col("p_partkey")), DAYS)
+
+
+@query(
+    "sparse_series",
+    f"""WITH {_SQL_DATES}, s AS (SELECT p_partkey, count(*) AS n FROM t WHERE tile % 2 = 1 GROUP BY 1)
+    SELECT p_partkey, n AS n_transactions, TRUE AS quantities_in_range, TRUE AS costs_in_range,
+      (SELECT CAST(sum(n) AS BIGINT) FROM s) AS greatest_id, TRUE AS ids_follow_dates FROM s""",
+)
+def sparse_series(spark, sf):
+    """The random series reduced to what is not random, per part."""
+    part = load(spark, sf, "part").select("p_partkey", "p_retailprice")
+    series = synth.sparse_series(part, "p_partkey", "p_retailprice", DAYS, seed=7)
+    priced = series.join(part, "p_partkey")
+    greatest = series.select(F.max("transaction_id")).scalar()
+    # Within a part, ids and dates must rise together.
+    ids = F.array_sort(F.collect_list(F.struct("transaction_date", "transaction_id")))
+    return priced.groupBy("p_partkey").agg(
+        F.count("*").alias("n_transactions"),
+        F.bool_and(F.col("quantity").between(1, 100)).alias("quantities_in_range"),
+        F.bool_and(
+            (F.col("actual_cost") >= 0)
+            & (F.col("actual_cost") <= F.col("p_retailprice") * F.col("quantity") * 2)
+        ).alias("costs_in_range"),
+        ids.alias("_ids"),
+    ).select(
+        "p_partkey", "n_transactions", "quantities_in_range", "costs_in_range",
+        greatest.alias("greatest_id"),
+        (F.transform("_ids", lambda x: x["transaction_id"])
+         == F.array_sort(F.transform("_ids", lambda x: x["transaction_id"]))).alias("ids_follow_dates"),
+    )
