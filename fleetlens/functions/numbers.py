@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Wide integer for intermediate products: byte counters times 100 times 10^scale cannot overflow.
+_MAX_BIGINT = 2**63 - 1
+# Integers for products that do not fit a BIGINT.
 _WIDE = T.DecimalType(38, 0)
 _POWER = T.DecimalType(18, 0)
 
@@ -27,17 +30,25 @@ def ratio(num, den, precision: int, scale: int, factor: int = 1, on_zero=None) -
     """``factor * num / den`` as ``DECIMAL(precision, scale)``, rounded half away from zero.
 
     ``num`` and ``den`` are integer columns.  Only integers are divided, so the result does not
-    depend on floating point.  A zero divisor gives ``on_zero`` (NULL by default).
+    depend on floating point.  Quotient and remainder are scaled apart, which keeps ordinary values
+    in BIGINT; a divisor too large for that is handled in wide decimals.  A zero divisor gives
+    ``on_zero`` (NULL by default).
     """
-    n, d = as_col(num).cast(_WIDE), as_col(den).cast(_WIDE)
-    shift = F.lit(factor * 10**scale).cast(_POWER)
-    two = F.lit(2).cast(T.DecimalType(1, 0))
-    size = F.nullif(F.abs(d), F.lit(0).cast(_WIDE))
-    units = F.call_function("div", F.abs(n) * shift * two + size, size * two)
-    signed = F.when((n < 0) != (d < 0), -units).otherwise(units)
-    out = (signed.cast(T.DecimalType(20, 0)) / F.lit(10**scale).cast(_POWER)).cast(
-        T.DecimalType(precision, scale)
+    n, d = as_col(num).cast("bigint"), as_col(den).cast("bigint")
+    shift = factor * 10**scale
+    size = F.nullif(F.abs(d), F.lit(0).cast("bigint"))
+    whole, rest = F.call_function("div", F.abs(n), size), F.abs(n) % size
+    narrow = F.call_function("div", rest * (2 * shift) + size, size * 2)
+    wide = F.call_function(
+        "div",
+        rest.cast(_WIDE) * F.lit(2 * shift).cast(_POWER) + size.cast(_WIDE),
+        size.cast(_WIDE) * 2,
     )
+    part = F.when(size <= _MAX_BIGINT // (2 * shift + 1), narrow).otherwise(wide)
+    units = whole * shift + part
+    signed = F.when((n < 0) != (d < 0), -units).otherwise(units)
+    unit = F.lit(Decimal(1).scaleb(-scale)).cast(T.DecimalType(scale + 1, scale))
+    out = (signed.cast(T.DecimalType(20, 0)) * unit).cast(T.DecimalType(precision, scale))
     if on_zero is None:
         return out
     zero = F.lit(on_zero).cast(T.DecimalType(precision, scale))

@@ -28,19 +28,29 @@ def quote_name(name, quote: str = "[") -> Column:
     return concat_text(quote, body, close)
 
 
+def name_parts(name) -> Column:
+    """The parts of a dotted name from right to left, without their brackets; empty parts are NULL.
+
+    An empty array when there are more than four parts.
+    """
+    pieces = F.reverse(F.split(as_col(name), _DOT_OUTSIDE_BRACKETS))
+
+    def bare(piece: Column) -> Column:
+        bracketed = piece.startswith("[") & piece.endswith("]") & (F.length(piece) >= 2)
+        inner = F.substring(piece, F.lit(2), F.length(piece) - 2)
+        value = F.when(bracketed, F.replace(inner, F.lit("]]"), F.lit("]"))).otherwise(piece)
+        return F.nullif(value, F.lit(""))
+
+    few = F.filter(F.array(pieces), lambda p: F.size(p) <= 4)
+    return F.flatten(F.transform(few, lambda p: F.transform(p, bare)))
+
+
 def parse_name(name, part: int) -> Column:
     """Part ``part`` (1 = rightmost) of a dotted name of at most four, possibly bracketed, parts.
 
     NULL when the part is absent or empty, or when there are more than four parts.
     """
-    pieces = F.split(as_col(name), _DOT_OUTSIDE_BRACKETS)
-    piece = F.get(F.reverse(pieces), F.lit(part - 1))
-    bracketed = piece.startswith("[") & piece.endswith("]") & (F.length(piece) >= 2)
-    unwrapped = F.replace(
-        F.substring(piece, F.lit(2), F.length(piece) - 2), F.lit("]]"), F.lit("]")
-    )
-    value = F.when(bracketed, unwrapped).otherwise(piece)
-    return F.when(F.size(pieces) <= 4, F.nullif(value, F.lit("")))
+    return F.get(name_parts(name), F.lit(part - 1))
 
 
 def like_regex(pattern, literal_underscore: bool = True) -> Column:

@@ -49,6 +49,7 @@ _TARGET_FLAGS = [
     "on_read_only_filegroup",
     "resumable_index_operation",
 ]
+_OWNER = ["schema_id", "schema_name", "object_name", "object_type", "is_memory_optimized"]
 
 
 def partition_level_statistics(version: float, edition: int, partition_level: bool = True) -> bool:
@@ -105,23 +106,52 @@ def _read_only_groups(catalog: Mapping[str, DataFrame], keys: Sequence[str]) ->
     return catalog["filegroups"].filter("is_read_only").select(*keys, "data_space_id").distinct()
 
 
-def _index_rows(
-    catalog: Mapping[str, DataFrame], keys: Sequence[str], partition_level: bool
+def _object_facts(
+    catalog: Mapping[str, DataFrame], keys: Sequence[str], columns: DataFrame, ms_shipped: bool
 ) -> DataFrame:
-    k = list(keys)
-    idx, obj = [*k, "object_id", "index_id"], [*k, "object_id"]
-    facts = _column_facts(catalog, k)
-    columns = catalog["columns"].select(*obj, "column_id", "is_filestream", "is_computed")
-    per_column = columns.join(facts, [*obj, "column_id"], "left")
-    per_object = per_column.groupBy(*obj).agg(
+    """Tables and views with their names and object-level flags: one row per object."""
+    k, obj = list(keys), [*keys, "object_id"]
+    objects = catalog["objects"].filter(F.trim("type").isin(*OBJECT_TYPES))
+    if not ms_shipped:
+        objects = objects.filter(~F.col("is_ms_shipped"))
+    flags = columns.groupBy(*obj).agg(
         _any(F.col("image"), "_image"),
         _any(F.col("lob"), "_object_lob"),
         _any(F.col("is_filestream"), "_filestream"),
     )
+    columnstore = catalog["indexes"].groupBy(*obj).agg(_any(F.col("type").isin(5, 6), "_column"))
+    lob_spaces = _read_only_groups(catalog, k).select(
+        *k, F.col("data_space_id").alias("lob_data_space_id"), F.lit(True).alias("_lob_ro")
+    )
+    tables = catalog["tables"].select(*obj, "is_memory_optimized", "lob_data_space_id")
+    return (
+        objects.select(*obj, "schema_id", F.col("name").alias("object_name"),
+                       F.rtrim("type").alias("object_type"))
+        .join(tables, obj, "left")
+        .join(flags, obj, "left")
+        .join(columnstore, obj, "left")
+        .join(catalog["schemas"].select(*k, "schema_id", F.col("name").alias("schema_name")),
+              [*k, "schema_id"])
+        .join(lob_spaces, [*k, "lob_data_space_id"], "left")
+        .drop("lob_data_space_id")
+    )
+
+
+def _index_rows(
+    catalog: Mapping[str, DataFrame],
+    keys: Sequence[str],
+    columns: DataFrame,
+    objects: DataFrame,
+    partition_level: bool,
+) -> DataFrame:
+    """Indexes per partition.  Joins on the index come first, the one on the object last, so the
+    rows are repartitioned once for each."""
+    k = list(keys)
+    idx, obj = [*k, "object_id", "index_id"], [*k, "object_id"]
     in_key = (F.col("key_ordinal") > 0) | (F.col("partition_ordinal") > 0)
     per_index = (
         catalog["index_columns"]
-        .join(per_column, [*obj, "column_id"])
+        .join(columns, [*obj, "column_id"])
         .groupBy(*idx)
         .agg(
             _any(F.col("lob"), "_index_lob"),
@@ -129,28 +159,29 @@ def _index_rows(
             _any(F.col("stamp"), "_stamp"),
         )
     )
-    columnstore = catalog["indexes"].groupBy(*obj).agg(_any(F.col("type").isin(5, 6), "_column"))
     read_only = _read_only_groups(catalog, k)
+    spread_by = ["partition_number"] if partition_level else []
     spread = (
         catalog["destination_data_spaces"]
         .join(read_only, [*k, "data_space_id"], "left_semi")
         .select(
             *k,
             F.col("partition_scheme_id").alias("data_space_id"),
-            *([F.col("destination_id").alias("partition_number")] if partition_level else []),
+            F.col("destination_id").alias("partition_number"),
         )
+        .select(*k, "data_space_id", *spread_by)
         .distinct()
         .withColumn("_spread_ro", F.lit(True))
     )
-    paused = catalog["resumable_operations"].filter("state_desc = 'PAUSED'")
-    paused_all = paused.filter("partition_number is null").select(*idx).distinct().withColumn(
-        "_paused_all", F.lit(True)
-    )
-    paused_part = (
-        paused.filter("partition_number is not null")
-        .select(*idx, "partition_number")
-        .distinct()
-        .withColumn("_paused_part", F.lit(True))
+    # An index has few partitions, so the paused ones travel as a set.
+    paused = (
+        catalog["resumable_operations"]
+        .filter("state_desc = 'PAUSED'")
+        .groupBy(*idx)
+        .agg(
+            _any(F.col("partition_number").isNull(), "_paused_all"),
+            F.collect_set("partition_number").alias("_paused_parts"),
+        )
     )
     stats = catalog["stats"].select(
         *obj,
@@ -160,21 +191,6 @@ def _index_rows(
         "no_recompute",
         "is_incremental",
     )
-    parts = catalog["partitions"].select(*idx, "partition_id", "partition_number")
-    counts = parts.groupBy(*idx).agg(
-        F.count_distinct("partition_number").cast("int").alias("partition_count")
-    )
-    lob_spaces = (
-        catalog["tables"]
-        .join(
-            read_only.withColumnRenamed("data_space_id", "lob_data_space_id"),
-            [*k, "lob_data_space_id"],
-            "left_semi",
-        )
-        .select(*obj)
-        .distinct()
-        .withColumn("_lob_ro", F.lit(True))
-    )
     rows = (
         catalog["indexes"]
         .filter("type between 1 and 7 and not is_disabled and not is_hypothetical")
@@ -186,20 +202,28 @@ def _index_rows(
             "data_space_id",
         )
         .join(stats, idx, "left")
-        .join(parts, idx, "left")
-        .join(counts, idx, "left")
-        .join(per_object, obj, "left")
         .join(per_index, idx, "left")
-        .join(columnstore, obj, "left")
-        .join(read_only.withColumn("_direct_ro", F.lit(True)), [*k, "data_space_id"], "left")
-        .join(
-            spread, [*k, "data_space_id", *(["partition_number"] if partition_level else [])], "left"
+        .join(paused, idx, "left")
+    )
+    if partition_level:
+        parts = catalog["partitions"].select(*idx, "partition_id", "partition_number")
+        counts = parts.groupBy(*idx).agg(
+            F.count_distinct("partition_number").cast("int").alias("partition_count")
         )
-        .join(lob_spaces, obj, "left")
-        .join(paused_all, idx, "left")
-        .join(paused_part, [*idx, "partition_number"], "left")
+        rows = rows.join(counts, idx, "left").join(parts, idx, "left")
+    else:
+        for name, kind in (("partition_id", "bigint"), ("partition_number", "int"),
+                           ("partition_count", "int")):
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
+    rows = (
+        rows.join(objects, obj)
+        .join(read_only.withColumn("_direct_ro", F.lit(True)), [*k, "data_space_id"], "left")
+        .join(spread, [*k, "data_space_id", *spread_by], "left")
     )
     clustered, nonclustered = F.col("index_type") == 1, F.col("index_type") == 2
+    paused_here = F.array_contains("_paused_parts", F.col("partition_number"))
+    if not partition_level:
+        paused_here = F.size("_paused_parts") > 0
     flags = {
         "is_image_text": clustered & F.col("_image"),
         "is_new_lob": (clustered & F.col("_object_lob")) | (nonclustered & F.col("_index_lob")),
@@ -210,28 +234,23 @@ def _index_rows(
         "on_read_only_filegroup": F.coalesce("_spread_ro", F.lit(False))
         | F.coalesce("_direct_ro", F.lit(False))
         | (clustered & F.coalesce("_lob_ro", F.lit(False))),
-        "resumable_index_operation": F.coalesce("_paused_all", "_paused_part"),
+        "resumable_index_operation": F.col("_paused_all") | F.coalesce(paused_here, F.lit(False)),
     }
     out = rows.withColumns({n: F.coalesce(c, F.lit(False)) for n, c in flags.items()})
-    if not partition_level:
-        out = out.drop("partition_id", "partition_number", "partition_count").distinct()
-        out = out.withColumns(
-            {
-                "partition_id": F.lit(None).cast("bigint"),
-                "partition_number": F.lit(None).cast("int"),
-                "partition_count": F.lit(None).cast("int"),
-            }
-        )
     return out.select(
         *idx, "index_name", "index_type", "allow_page_locks", *_TARGET_FLAGS, "statistics_id",
         "statistics_name", "no_recompute", "is_incremental", "partition_id", "partition_number",
-        "partition_count",
+        "partition_count", *_OWNER,
     )
 
 
 def _statistics_rows(
-    catalog: Mapping[str, DataFrame], keys: Sequence[str], per_partition: bool
+    catalog: Mapping[str, DataFrame],
+    keys: Sequence[str],
+    objects: DataFrame,
+    per_partition: bool,
 ) -> DataFrame:
+    """Statistics that belong to no index."""
     obj = [*keys, "object_id"]
     indexed = catalog["indexes"].select(*obj, F.col("index_id").alias("stats_id"))
     alone = catalog["stats"].join(indexed, [*obj, "stats_id"], "left_anti")
@@ -241,7 +260,8 @@ def _statistics_rows(
     else:
         alone = alone.withColumn("partition_number", F.lit(None).cast("int"))
     nothing = {n: F.lit(None).cast("boolean") for n in ["allow_page_locks", *_TARGET_FLAGS]}
-    return alone.select(
+    owners = objects.select(*obj, *_OWNER)
+    return alone.join(owners, obj).select(
         *obj,
         F.lit(None).cast("int").alias("index_id"),
         F.lit(None).cast("string").alias("index_name"),
@@ -254,6 +274,7 @@ def _statistics_rows(
         F.lit(None).cast("bigint").alias("partition_id"),
         "partition_number",
         F.lit(None).cast("int").alias("partition_count"),
+        *_OWNER,
     )
 
 
@@ -274,26 +295,18 @@ def index_stat_targets(
     ``COLUMNS`` or None.  Existence tests are one aggregated flag table per grain, joined once.
     """
     k = list(keys)
+    columns = catalog["columns"].select(
+        *k, "object_id", "column_id", "is_filestream", "is_computed"
+    ).join(_column_facts(catalog, k), [*k, "object_id", "column_id"], "left")
+    objects = _object_facts(catalog, k, columns, ms_shipped)
     branches = []
     if actions or update_statistics in ("ALL", "INDEX"):
-        branches.append(_index_rows(catalog, k, partition_level))
+        branches.append(_index_rows(catalog, k, columns, objects, partition_level))
     if update_statistics in ("ALL", "COLUMNS"):
-        branches.append(_statistics_rows(catalog, k, incremental_partitions))
+        branches.append(_statistics_rows(catalog, k, objects, incremental_partitions))
     if not branches:
         raise ValueError("nothing to do: no actions and no statistics")
-    rows = reduce(DataFrame.unionByName, branches)
-    objects = catalog["objects"].filter(F.trim("type").isin(*OBJECT_TYPES))
-    if not ms_shipped:
-        objects = objects.filter(~F.col("is_ms_shipped"))
-    owners = (
-        objects.select(*k, "object_id", "schema_id", F.col("name").alias("object_name"),
-                       F.rtrim("type").alias("object_type"))
-        .join(catalog["schemas"].select(*k, "schema_id", F.col("name").alias("schema_name")),
-              [*k, "schema_id"])
-        .join(catalog["tables"].select(*k, "object_id", "is_memory_optimized"),
-              [*k, "object_id"], "left")
-    )
-    return rows.join(owners, [*k, "object_id"]).distinct()
+    return reduce(DataFrame.unionByName, branches).distinct()
 
 
 def order_targets(

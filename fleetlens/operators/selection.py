@@ -14,6 +14,7 @@ from fleetlens.functions.text import (
     file_system_name,
     has_wildcard,
     like_regex,
+    name_parts,
     parse_name,
     quote_name,
 )
@@ -108,6 +109,7 @@ def parse_rules(items: DataFrame, kind: str = "databases", keep: Sequence[str] =
         # A whole bracketed name is unwrapped; a bracket class inside a pattern stays.
         names = {parts[0]: F.when(bracketed, parse_name("_pattern", 1)).otherwise(F.col("_pattern"))}
     else:
+        rules = rules.withColumn("_parts", name_parts("_pattern"))
         names = _name_parts(parts)
     out = [*keep, *[c.alias(n) for n, c in names.items()]]
     if kind == "databases":
@@ -117,7 +119,7 @@ def parse_rules(items: DataFrame, kind: str = "databases", keep: Sequence[str] =
 
 def _name_parts(parts: Sequence[str]) -> dict[str, Column]:
     """Parts of a dotted pattern; index patterns may leave out the index."""
-    p = {i: parse_name("_pattern", i) for i in (1, 2, 3, 4)}
+    p = {i: F.get("_parts", F.lit(i - 1)) for i in (1, 2, 3, 4)}
     if len(parts) == 2:
         fits = p[4].isNull() & p[3].isNull()
         return {parts[0]: F.when(fits, p[2]), parts[1]: F.when(fits, p[1])}

@@ -10,6 +10,7 @@ from __future__ import annotations
 import operator
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +40,18 @@ def _from_micros(column: str, like: T.DataType):
     return F.timestamp_micros(column).cast(like)
 
 
-def _in_order(batches: Iterator[pd.DataFrame], columns: Sequence[str]) -> pd.DataFrame:
-    rows = pd.concat([b[list(columns)] for b in batches], ignore_index=True)
-    return rows.sort_values("_us", kind="stable")
+def _in_order(batches: Iterator[pd.DataFrame], columns: Sequence[str]) -> np.ndarray:
+    """The new rows of a key as integers, by time: column 0 is the event time."""
+    rows = np.concatenate([b[list(columns)].to_numpy() for b in batches])
+    return rows[np.argsort(rows[:, 0], kind="stable")]
+
+
+def _by_time(batches: Iterator[pd.DataFrame]) -> list[tuple[int, float]]:
+    """(event time, metric) of the new rows of a key, by time."""
+    pairs = []
+    for batch in batches:
+        pairs += zip(batch["_us"].tolist(), batch["_metric"].tolist())
+    return sorted(pairs, key=lambda p: p[0])
 
 
 def stream_counter_delta(
@@ -56,7 +66,7 @@ def stream_counter_delta(
 
     Same rules as :func:`~fleetlens.operators.counters.successive_delta`: the first snapshot of a
     key emits nothing, and a counter that went down gives NULL deltas with ``reset``.  A snapshot
-    not newer than the kept one is dropped.  ``expire_after_ms`` (with a watermark) forgets keys that
+    not newer than the kept one is dropped, as is one without a counter value.  ``expire_after_ms`` (with a watermark) forgets keys that
     stay silent for so long.
     """
     keys, counters = list(keys), list(counters)
@@ -69,26 +79,24 @@ def stream_counter_delta(
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get if state.exists else None
-        out = []
-        for row in _in_order(batches, columns).itertuples(index=False, name=None):
-            if last is not None and row[0] <= last[0]:
-                continue
-            if last is not None:
-                change = [int(new) - int(old) for new, old in zip(row[1:], last[1:])]
-                reset = any(c < 0 for c in change)
-                out.append((*key, last[0], row[0], *([None] * len(change) if reset else change),
-                            reset))
-            last = tuple(int(v) for v in row)
-        if last is not None:
-            state.update(last)
-            if expiring:
-                wake = last[0] // _MICROS_PER_MS + expire_after_ms
-                state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame.from_records(out, columns=names).astype(
-                {c: "Int64" for c in counters}
-            )
+        rows = _in_order(batches, columns)
+        if state.exists:
+            kept = np.array([state.get], dtype=rows.dtype)
+            rows = np.concatenate([kept, rows[rows[:, 0] > kept[0, 0]]])
+        # Of equal times the first counts, as in a stream.
+        rows = rows[np.concatenate([[True], np.diff(rows[:, 0]) > 0])]
+        state.update(tuple(int(v) for v in rows[-1]))
+        if expiring:
+            wake = int(rows[-1, 0]) // _MICROS_PER_MS + expire_after_ms
+            state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
+        if len(rows) < 2:
+            return
+        change = np.diff(rows[:, 1:], axis=0)
+        reset = (change < 0).any(axis=1)
+        out = dict(zip(keys, key))
+        out |= {"_previous_us": rows[:-1, 0], "_us": rows[1:, 0]}
+        out |= {c: pd.arrays.IntegerArray(change[:, i].copy(), reset) for i, c in enumerate(counters)}
+        yield pd.DataFrame({**out, "reset": reset}, columns=names)
 
     long = T.LongType()
     result = T.StructType(
@@ -108,6 +116,7 @@ def stream_counter_delta(
     carried = ["_event_time"] if watermark is not None else []
     deltas = (
         timed.select(*keys, *carried, "_us", *[F.col(c).cast("bigint").alias(c) for c in counters])
+        .dropna(subset=["_us", *counters])
         .groupBy(*keys)
         .applyInPandasWithState(
             step,
@@ -147,10 +156,10 @@ def stream_threshold_alert(
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
         last = state.get[0] if state.exists else None
         out = []
-        for us, value in _in_order(batches, ["_us", "_metric"]).itertuples(index=False, name=None):
+        for us, value in _by_time(batches):
             if last is None or us - last >= cooldown_us:
-                out.append((*key, int(us), float(value)))
-                last = int(us)
+                out.append((*key, us, value))
+                last = us
         if out:
             state.update((last,))
             yield pd.DataFrame.from_records(out, columns=names)
