@@ -157,85 +157,93 @@ def select_items(
     ``columns`` (case-insensitive LIKE with a literal ``_``) and their type and group conditions.
     ``rules=None`` selects everything; an item no rule matches is not selected.
 
-    One rule list without ``keys`` and of ordinary length is folded into the projection: no join and
-    no shuffle of the items.  Rule lists per key (for example per server), and very long ones, are
-    joined.
+    One rule list without ``keys`` is folded into the projection: no join and no shuffle of the
+    items; the names of a very long list are joined instead.  Rule lists per key (for example per
+    server) are joined on the key.
     """
     if rules is None:
         return items.withColumns(
             {"selected": F.lit(True), "start_position": F.lit(None).cast("int")}
         )
     rules = rules.withColumns({f"_re_{c}": like_regex(c) for c in columns})
-    if not keys:
+    if keys:
+        judged = _judge_by_join(items, rules, columns, keys)
+    else:
         listed = rules.limit(LITERAL_RULES + 1).collect()
         if len(listed) <= LITERAL_RULES:
-            return _select_by_expression(items, [r.asDict() for r in listed], columns)
-    return _select_by_join(items, rules, columns, keys)
-
-
-def _select_by_expression(items: DataFrame, rules: list[dict], columns: Sequence[str]) -> DataFrame:
-    includes = sorted((r for r in rules if r["selected"]), key=lambda r: r["start_position"])
-    excludes = [r for r in rules if not r["selected"]]
-
-    def any_of(some: list[dict]) -> Column:
-        hits = [F.coalesce(_rule_matches(r, columns), F.lit(False)) for r in some]
-        return reduce(lambda a, b: a | b, hits, F.lit(False))
-
+            judged = _judge_by_expression(items, listed, columns)
+        else:
+            # Names spelled out are joined; the patterns of the one list stay an expression.
+            patterned = _is_pattern(columns)
+            by_name = _judge_by_join(items, rules.filter(~patterned), columns, ())
+            judged = _judge_by_expression(by_name, rules.filter(patterned).collect(), columns)
+    return judged.withColumn(
+        "selected", F.col("start_position").isNotNull() & ~F.col("_excluded")
+    ).select(*items.columns, "selected", "start_position")
+
+
+def _is_pattern(columns: Sequence[str], prefix: str = "") -> Column:
+    parts = [F.col(f"{prefix}{c}") for c in columns]
+    return reduce(lambda a, b: a | b, [has_wildcard(p) | p.contains("[") for p in parts])
+
+
+def _judge_by_expression(items: DataFrame, rules: Sequence, columns: Sequence[str]) -> DataFrame:
+    """Items with ``start_position`` and ``_excluded``, on top of such columns if present."""
+    listed = [r.asDict() for r in rules]
+    includes = sorted((r for r in listed if r["selected"]), key=lambda r: r["start_position"])
+    excludes = [r for r in listed if not r["selected"]]
     # The rules are in position order, so the first match has the least position.
     position = F.coalesce(
         *[F.when(_rule_matches(r, columns), r["start_position"]) for r in includes],
         F.lit(None).cast("int"),
     )
-    marked = items.withColumns({"start_position": position, "_out": any_of(excludes)})
-    return marked.withColumn(
-        "selected", F.col("start_position").isNotNull() & ~F.col("_out")
-    ).drop("_out")
+    hits = [F.coalesce(_rule_matches(r, columns), F.lit(False)) for r in excludes]
+    excluded = reduce(lambda a, b: a | b, hits, F.lit(False))
+    if "_excluded" in items.columns:
+        position = F.least("start_position", position)
+        excluded = F.col("_excluded") | excluded
+    return items.withColumns({"start_position": position, "_excluded": excluded})
 
 
-def _select_by_join(
+def _judge_by_join(
     items: DataFrame, rules: DataFrame, columns: Sequence[str], keys: Sequence[str]
 ) -> DataFrame:
-    """One row per item and matching rule, reduced to one row per item.
+    """Items with ``start_position`` and ``_excluded``, from rules met by equality joins.
 
-    Rules that name an item exactly meet it by an equality join; only rules with a pattern are
-    compared with every item of their key.
+    Rules that name an item exactly meet it on the name; only rules with a pattern are compared with
+    every item of their key.
     """
     typed = [c for c in ("database_type", "availability_group") if c in rules.columns]
     identity = [*keys, *columns, *typed]
     base = items.select(*identity).distinct()
-    named = rules.withColumns({f"_rule_{c}": F.col(c) for c in [*columns, *typed]}).select(
-        *keys, *[f"_rule_{c}" for c in [*columns, *typed]], *[f"_re_{c}" for c in columns],
+    named = rules.select(
+        *[F.col(c).alias(f"_rule_{c}") for c in identity], *[f"_re_{c}" for c in columns],
         "selected", "start_position",
     )
-    patterned = reduce(
-        lambda a, b: a | b,
-        [has_wildcard(f"_rule_{c}") | F.col(f"_rule_{c}").contains("[") for c in columns],
-    )
-    conditions = [
-        F.col(f"_rule_{c}").isNull() | (F.col(f"_rule_{c}") == F.col(c)) for c in typed
-    ]
-    rekeyed = named.withColumnsRenamed({k: f"_rule_{k}" for k in keys})
     same_key = [F.col(k) == F.col(f"_rule_{k}") for k in keys]
+    same_type = [F.col(f"_rule_{c}").isNull() | (F.col(f"_rule_{c}") == F.col(c)) for c in typed]
 
-    def joined(part: DataFrame, on_names: list[Column]) -> DataFrame:
-        condition = reduce(lambda a, b: a & b, [*same_key, *on_names, *conditions])
+    def matches(part: DataFrame, same_name: list[Column]) -> DataFrame:
+        condition = reduce(lambda a, b: a & b, [*same_key, *same_name, *same_type])
         return base.join(part, condition).select(*identity, "selected", "start_position")
 
-    exact = joined(
-        rekeyed.filter(~patterned),
-        [F.lower(c) == F.lower(F.col(f"_rule_{c}")) for c in columns],
-    )
-    by_pattern = joined(
-        rekeyed.filter(patterned), [F.rlike(c, F.col(f"_re_{c}")) for c in columns]
+    patterned = _is_pattern(columns, "_rule_")
+    found = matches(
+        named.filter(~patterned), [F.lower(c) == F.lower(F.col(f"_rule_{c}")) for c in columns]
     )
-    verdict = exact.union(by_pattern).groupBy(*identity).agg(
-        (F.bool_or("selected") & ~F.bool_or(~F.col("selected"))).alias("selected"),
+    if keys:
+        found = found.union(
+            matches(
+                named.filter(patterned), [F.rlike(c, F.col(f"_re_{c}")) for c in columns]
+            )
+        )
+    verdict = found.groupBy(*identity).agg(
+        F.bool_or(~F.col("selected")).alias("_excluded"),
         F.min(F.when(F.col("selected"), F.col("start_position"))).alias("start_position"),
-    )
-    found = verdict.withColumnsRenamed({c: f"_v_{c}" for c in identity})
+    ).withColumnsRenamed({c: f"_v_{c}" for c in identity})
     same = [F.col(c).eqNullSafe(F.col(f"_v_{c}")) for c in identity]
-    return items.join(found, reduce(lambda a, b: a & b, same), "left").select(
-        *items.columns, F.coalesce("selected", F.lit(False)).alias("selected"), "start_position"
+    return items.join(verdict, reduce(lambda a, b: a & b, same), "left").select(
+        *items.columns, F.coalesce("_excluded", F.lit(False)).alias("_excluded"), "start_position"
     )
 
 
