@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -258,7 +259,13 @@ def clean_template(template: Column, directory: bool = False) -> Column:
     rules = DIRECTORY_TIDYING if directory else FILE_TIDYING
     ends = ["_", "-", "$", "/"] if directory else ["_", "-", "$"]
 
-    def one_round(value: Column) -> Column:
+    # Something is left to tidy.
+    untidy = [re.escape(found) for found, _ in rules] + [rf"\A\{e}|\{e}\z" for e in ends]
+    if not directory:
+        untidy.append(r"(?i:of\.)")
+
+    def one_round(text: Column) -> Column:
+        value = text
         for found, kept in rules:
             value = F.replace(value, F.lit(found), F.lit(kept))
         if not directory:
@@ -266,7 +273,7 @@ def clean_template(template: Column, directory: bool = False) -> Column:
             value = F.regexp_replace(value, r"(?i)of\.", ".")
         for end in ends:
             value = F.regexp_replace(value, rf"\A\{end}|\{end}\z", "")
-        return value
+        return F.when(text.rlike("|".join(untidy)), value).otherwise(text)
 
     rounds = F.length(F.regexp_replace(text, r"(?i)of|[^_$/-]", "")) + F.regexp_count(
         text, F.lit("(?i)of")
@@ -315,16 +322,23 @@ def render_template(
     """
     text = F.lit(template) if isinstance(template, str) else template
     values = {**date_tokens(asof), **tokens}
-    for name, value in values.items():
-        # Replaced by itself when there is a value: the text so far must occur once per step.
-        token = F.lit("{" + name + "}")
-        text = F.replace(text, token, F.when(value.isNull(), "").otherwise(token))
-    text = clean_template(text, directory)
+    if isinstance(template, str):
+        values = {n: v for n, v in values.items() if "{" + n + "}" in template}
+    for name in tokens:
+        if name in values:
+            # Replaced by itself when there is a value: the text so far must occur once per step.
+            token = F.lit("{" + name + "}")
+            text = F.replace(text, token, F.when(values[name].isNull(), "").otherwise(token))
+    # Tidying looks at its input several times, so the steps are separate projections.
+    tidied = df.withColumn("_template", text).withColumn(
+        "_template", clean_template(F.col("_template"), directory)
+    )
+    text = F.col("_template")
     if directory:
         text = F.replace(text, F.lit("/"), F.lit(separator))
     for name, value in values.items():
         text = F.replace(text, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
-    return df.withColumn(out, text)
+    return tidied.withColumn(out, text).drop("_template")
 
 
 def description_token(description: Column) -> Column:

@@ -310,11 +310,11 @@ def index_stat_targets(
 
 
 def order_targets(
-    targets: DataFrame, keys: Sequence[str] = (), bounded: bool | None = None
+    targets: DataFrame, keys: Sequence[str] = (), bounded: bool = False
 ) -> DataFrame:
     """Selected targets with ``item_order``: paused operations first, then list position and names.
 
-    One key is one database, so its targets fit a window when ``keys`` are given.
+    ``bounded`` as in :func:`~fleetlens.operators.distributed.ordered_scan`.
     """
     order = [
         F.desc("_paused"),
@@ -334,9 +334,7 @@ def order_targets(
             "_no_index": F.col("index_type").isNull(),
         }
     )
-    ordered = ordered_scan(
-        ready, keys, order, position="item_order", bounded=bool(keys) if bounded is None else bounded
-    )
+    ordered = ordered_scan(ready, keys, order, position="item_order", bounded=bounded)
     return ordered.drop("_paused", "_no_index")
 
 

@@ -248,14 +248,13 @@ def _judge_by_join(
 
 
 def order_items(
-    items: DataFrame, mode: str | None = None, keys: Sequence[str] = (), bounded: bool | None = None
+    items: DataFrame, mode: str | None = None, keys: Sequence[str] = (), bounded: bool = False
 ) -> DataFrame:
     """Selected items with ``item_order``, their row number in one of eleven orders.
 
     ``mode=None`` is the order of the selection list (``start_position``, then name).  Ties of the
     other modes are broken by name.  NULL comes first ascending (never-checked databases first).
-    ``bounded`` (default: when ``keys`` are given) as in
-    :func:`~fleetlens.operators.distributed.ordered_scan`.
+    ``bounded`` as in :func:`~fleetlens.operators.distributed.ordered_scan`.
     """
     if mode is None:
         order = [F.asc("start_position"), F.asc("name")]
@@ -269,7 +268,7 @@ def order_items(
         keys,
         order,
         position="item_order",
-        bounded=bool(keys) if bounded is None else bounded,
+        bounded=bounded,
     )
 
 

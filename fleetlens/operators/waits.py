@@ -145,7 +145,6 @@ def _changed(pair: DataFrame, on: Sequence[str]) -> DataFrame:
         pair.filter("has_after")
         .filter(new | grown)
         .select(*on, *[change[c].alias(c) for c in WAIT_COUNTERS])
-        .distinct()
     )
 
 
@@ -163,19 +162,25 @@ def wait_diff(before: DataFrame, after: DataFrame, keys: Sequence[str] = ()) ->
         .join(old, on, "left")
         .withColumns({"has_before": F.col("_present").isNotNull(), "has_after": F.lit(True)})
     )
-    return _changed(pair, on)
+    return _changed(pair, on).distinct()
 
 
 def wait_diff_between(
     snapshots: DataFrame, before_at, after_at, keys: Sequence[str] = (), ts: str = "snapshot_ts"
 ) -> DataFrame:
-    """:func:`wait_diff` of two instants of one landed table, in a single scan."""
+    """:func:`wait_diff` of two instants of one landed table, in a single scan.
+
+    The aggregation leaves one row per wait, so nothing is left to de-duplicate.
+    """
     on = [*keys, "wait_type"]
     return _changed(snapshot_pair(snapshots, on, ts, before_at, after_at, WAIT_COUNTERS), on)
 
 
 def wait_diff_of_pair(pair: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """:func:`wait_diff` of snapshots that are already side by side (``snapshot_pair`` layout)."""
+    """:func:`wait_diff` of snapshots that are already side by side (``snapshot_pair`` layout).
+
+    ``pair`` holds one row per key and wait.
+    """
     return _changed(pair, [*keys, "wait_type"])
 
 

@@ -28,7 +28,7 @@ EXTENSIONS = {"FULL": "bak", "DIFF": "bak", "LOG": "trn"}
 
 
 def _chosen(dbs: DataFrame, rules: DataFrame | None, mode: str | None, keys: Sequence[str],
-            bounded: bool | None) -> DataFrame:
+            bounded: bool) -> DataFrame:
     picked = select_items(dbs, rules, ["database_name"]).withColumn("name", F.col("database_name"))
     return order_items(picked, mode, keys, bounded).drop("name")
 
@@ -50,7 +50,7 @@ def backup_plan(
     eligibility: Mapping | None = None,
     file_options: Mapping | None = None,
     extensions: Mapping[str, str] = EXTENSIONS,
-    bounded: bool | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """One row per backup file to write, in work order.
 
@@ -125,7 +125,7 @@ def integrity_check_plan(
     replicas: str = "ALL",
     updateability: str = "ALL",
     edition: int = 3,
-    bounded: bool | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Databases to check, in work order (longest unchecked first by default)."""
     chosen = _chosen(dbs, rules, mode, keys, bounded)
