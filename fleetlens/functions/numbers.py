@@ -34,27 +34,39 @@ def ratio(num, den, precision: int, scale: int, factor: int = 1, on_zero=None) -
     in BIGINT; a divisor too large for that is handled in wide decimals.  A zero divisor gives
     ``on_zero`` (NULL by default).
     """
-    n, d = as_col(num).cast("bigint"), as_col(den).cast("bigint")
+    n = as_col(num).cast("bigint")
     shift = factor * 10**scale
+    limit = _MAX_BIGINT // (2 * shift + 1)
+    magnitude = F.abs(n)
+    if isinstance(den, int) and 0 < den <= limit:
+        part = F.call_function("div", magnitude % den * (2 * shift) + den, F.lit(2 * den))
+        units = F.call_function("div", magnitude, F.lit(den)) * shift + part
+        return _decimal(F.when(n < 0, -units).otherwise(units), precision, scale)
+    d = as_col(den).cast("bigint")
     size = F.nullif(F.abs(d), F.lit(0).cast("bigint"))
-    whole, rest = F.call_function("div", F.abs(n), size), F.abs(n) % size
+    rest = magnitude % size
     narrow = F.call_function("div", rest * (2 * shift) + size, size * 2)
     wide = F.call_function(
         "div",
         rest.cast(_WIDE) * F.lit(2 * shift).cast(_POWER) + size.cast(_WIDE),
         size.cast(_WIDE) * 2,
     )
-    part = F.when(size <= _MAX_BIGINT // (2 * shift + 1), narrow).otherwise(wide)
-    units = whole * shift + part
-    signed = F.when((n < 0) != (d < 0), -units).otherwise(units)
-    unit = F.lit(Decimal(1).scaleb(-scale)).cast(T.DecimalType(scale + 1, scale))
-    out = (signed.cast(T.DecimalType(20, 0)) * unit).cast(T.DecimalType(precision, scale))
+    units = F.call_function("div", magnitude, size) * shift + F.when(
+        size <= limit, narrow
+    ).otherwise(wide)
+    out = _decimal(F.when((n < 0) != (d < 0), -units).otherwise(units), precision, scale)
     if on_zero is None:
         return out
     zero = F.lit(on_zero).cast(T.DecimalType(precision, scale))
     return F.when(d == 0, zero).otherwise(out)
 
 
+def _decimal(units: Column, precision: int, scale: int) -> Column:
+    """Integer units of ``10^-scale`` as a decimal."""
+    unit = F.lit(Decimal(1).scaleb(-scale)).cast(T.DecimalType(scale + 1, scale))
+    return (units.cast(T.DecimalType(20, 0)) * unit).cast(T.DecimalType(precision, scale))
+
+
 def pages_to_mb(pages) -> Column:
     """8 KiB pages as whole megabytes (``pages * 8 / 1024`` in integer arithmetic)."""
     return int_div(as_col(pages).cast("bigint") * 8, 1024)

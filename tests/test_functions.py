@@ -20,6 +20,8 @@ def test_ratio_matches_exact_arithmetic(spark):
         got = spark.range(1).select(
             numbers.ratio(F.lit(num).cast("bigint"), F.lit(den).cast("bigint"), 25, scale)
         ).first()[0]
+        literal = spark.range(1).select(numbers.ratio(F.lit(num).cast("bigint"), den, 25, scale)).first()[0]
+        assert literal == got, (num, den, scale)
         if den == 0:
             assert got is None
         else:
