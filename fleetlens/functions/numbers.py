@@ -6,13 +6,6 @@ from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-_MAX_BIGINT = 2**63 - 1
-# Integers for products that do not fit a BIGINT.
-_WIDE = T.DecimalType(38, 0)
-_POWER = T.DecimalType(18, 0)
-
 
 def as_col(value) -> Column:
     """A column for a name, a column or a plain number."""
@@ -26,45 +19,43 @@ def int_div(num, den) -> Column:
     return F.call_function("div", as_col(num), F.nullif(as_col(den), F.lit(0)))
 
 
-def ratio(num, den, precision: int, scale: int, factor: int = 1, on_zero=None) -> Column:
+def ratio(
+    num: str, den: str | int, precision: int, scale: int, factor: int = 1, on_zero=None
+) -> Column:
     """``factor * num / den`` as ``DECIMAL(precision, scale)``, rounded half away from zero.
 
-    ``num`` and ``den`` are integer columns.  Only integers are divided, so the result does not
-    depend on floating point.  Quotient and remainder are scaled apart, which keeps ordinary values
-    in BIGINT; a divisor too large for that is handled in wide decimals.  A zero divisor gives
-    ``on_zero`` (NULL by default).
+    ``num`` and ``den`` are integer expressions (SQL text, or a number for ``den``).  Only integers
+    are divided, so the result does not depend on floating point.  Quotient and remainder are scaled
+    apart, which keeps ordinary values in BIGINT; a divisor too large for that is handled in wide
+    decimals.  A zero divisor gives ``on_zero`` (NULL by default).
     """
-    n = as_col(num).cast("bigint")
     shift = factor * 10**scale
-    limit = _MAX_BIGINT // (2 * shift + 1)
-    magnitude = F.abs(n)
+    limit = (2**63 - 1) // (2 * shift + 1)
+    n, d = f"CAST({num} AS BIGINT)", f"CAST({den} AS BIGINT)"
     if isinstance(den, int) and 0 < den <= limit:
-        part = F.call_function("div", magnitude % den * (2 * shift) + den, F.lit(2 * den))
-        units = F.call_function("div", magnitude, F.lit(den)) * shift + part
-        return _decimal(F.when(n < 0, -units).otherwise(units), precision, scale)
-    d = as_col(den).cast("bigint")
-    size = F.nullif(F.abs(d), F.lit(0).cast("bigint"))
-    rest = magnitude % size
-    narrow = F.call_function("div", rest * (2 * shift) + size, size * 2)
-    wide = F.call_function(
-        "div",
-        rest.cast(_WIDE) * F.lit(2 * shift).cast(_POWER) + size.cast(_WIDE),
-        size.cast(_WIDE) * 2,
-    )
-    units = F.call_function("div", magnitude, size) * shift + F.when(
-        size <= limit, narrow
-    ).otherwise(wide)
-    out = _decimal(F.when((n < 0) != (d < 0), -units).otherwise(units), precision, scale)
-    if on_zero is None:
-        return out
-    zero = F.lit(on_zero).cast(T.DecimalType(precision, scale))
-    return F.when(d == 0, zero).otherwise(out)
-
-
-def _decimal(units: Column, precision: int, scale: int) -> Column:
-    """Integer units of ``10^-scale`` as a decimal."""
-    unit = F.lit(Decimal(1).scaleb(-scale)).cast(T.DecimalType(scale + 1, scale))
-    return (units.cast(T.DecimalType(20, 0)) * unit).cast(T.DecimalType(precision, scale))
+        units = (
+            f"abs({n}) div {den}L * {shift}L + (abs({n}) % {den}L * {2 * shift}L + {den}L) div {2 * den}L"
+        )
+        negative = f"{n} < 0"
+    else:
+        size = f"nullif(abs({d}), 0L)"
+        rest = f"abs({n}) % {size}"
+        wide = (
+            f"(CAST({rest} AS DECIMAL(38, 0)) * CAST({2 * shift} AS DECIMAL(18, 0)) "
+            f"+ CAST({size} AS DECIMAL(38, 0))) div (CAST({size} AS DECIMAL(38, 0)) * 2)"
+        )
+        units = (
+            f"abs({n}) div {size} * {shift}L + CASE WHEN {size} <= {limit}L "
+            f"THEN ({rest} * {2 * shift}L + {size}) div ({size} * 2L) ELSE {wide} END"
+        )
+        negative = f"({n} < 0) <> ({d} < 0)"
+    signed = f"CASE WHEN {negative} THEN -({units}) ELSE {units} END"
+    unit = f"CAST('{Decimal(1).scaleb(-scale):f}' AS DECIMAL({scale + 1}, {scale}))"
+    kind = f"DECIMAL({precision}, {scale})"
+    out = f"CAST(CAST({signed} AS DECIMAL(20, 0)) * {unit} AS {kind})"
+    if on_zero is not None:
+        out = f"CASE WHEN {d} = 0 THEN CAST({on_zero} AS {kind}) ELSE {out} END"
+    return F.expr(out)
 
 
 def pages_to_mb(pages) -> Column:
@@ -72,7 +63,7 @@ def pages_to_mb(pages) -> Column:
     return int_div(as_col(pages).cast("bigint") * 8, 1024)
 
 
-def pages_to_mb_exact(pages, precision: int = 10, scale: int = 2) -> Column:
+def pages_to_mb_exact(pages: str, precision: int = 10, scale: int = 2) -> Column:
     """8 KiB pages as decimal megabytes."""
     return ratio(pages, 128, precision, scale)
 

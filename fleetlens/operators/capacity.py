@@ -39,7 +39,7 @@ def file_free_space(
         "file_name",
         "type_desc",
         pages_to_mb_exact("size").alias("current_size_mb"),
-        pages_to_mb_exact(F.col("size") - F.col("space_used")).alias("free_space_mb"),
+        pages_to_mb_exact("(size - space_used)").alias("free_space_mb"),
         "physical_name",
     )
     if not ordered:
@@ -248,7 +248,7 @@ def log_space(usage: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         *keys,
         int_div(total, 1048576).alias("total_log_size_mb"),
         int_div(total - used, 1048576).alias("free_space_mb"),
-        ratio(used, 1048576, 20, 8).alias("used_log_space_mb"),
+        ratio("used_log_space_in_bytes", 1048576, 20, 8).alias("used_log_space_mb"),
         "used_log_space_in_percent",
     )
 
@@ -320,8 +320,8 @@ def compression_savings(
     """
     compressed_kb = F.col("size_with_requested_kb")
     saving_mb = int_div(F.col("size_used_mb") * 1024 - compressed_kb, 1024)
-    sample, sample_after = F.col("sample_size_with_current_kb"), F.col("sample_size_with_requested_kb")
-    saving_pct = ratio(sample - sample_after, sample, 7, 2, factor=100)
+    sample = "sample_size_with_current_kb"
+    saving_pct = ratio(f"({sample} - sample_size_with_requested_kb)", sample, 7, 2, factor=100)
     eligible = indexes.filter("type_desc <> 'CLUSTERED COLUMNSTORE'").select(
         *keys, "table_name", "index_id", F.col("name").alias("_catalog_name")
     )

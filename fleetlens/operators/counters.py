@@ -141,7 +141,7 @@ def successive_delta(
     )
 
 
-def _thousandths(total, count) -> Column:
+def _thousandths(total: str, count: str) -> Column:
     return ratio(total, count, 12, 3, on_zero=0)
 
 
@@ -160,13 +160,13 @@ def io_latency_interval(
     traffic is not above ``min_bytes`` are dropped.  ``carry`` lists further columns of ``delta`` to
     show (for example the interval).
     """
-    read, written = F.col("num_of_bytes_read"), F.col("num_of_bytes_written")
+    traffic = "(num_of_bytes_read + num_of_bytes_written)"
     names = files.select(*keys, "database_id", "file_id", F.col("name").alias("file_name"),
                          F.col("physical_name").alias("file_path"),
                          F.col("type_desc").alias("file_type"))
     owners = dbs.select(*keys, "database_id", F.col("name").alias("database_name"))
     out = (
-        delta.filter(read + written > min_bytes)
+        delta.filter(F.expr(traffic) > min_bytes)
         .join(names, [*keys, "database_id", "file_id"])
         .join(owners, [*keys, "database_id"])
         .select(
@@ -179,12 +179,12 @@ def io_latency_interval(
             "file_path",
             "file_type",
             F.col("num_of_reads").alias("reads"),
-            ratio(read, 1048576, 12, 3).alias("read_mb"),
-            ratio(written, 1048576, 12, 3).alias("written_mb"),
+            ratio("num_of_bytes_read", 1048576, 12, 3).alias("read_mb"),
+            ratio("num_of_bytes_written", 1048576, 12, 3).alias("written_mb"),
             F.col("num_of_writes").alias("writes"),
             (F.col("num_of_reads") + F.col("num_of_writes")).alias("io_count"),
-            ratio(read, read + written, 5, 2, factor=100).alias("read_pct"),
-            ratio(written, read + written, 5, 2, factor=100).alias("write_pct"),
+            ratio("num_of_bytes_read", traffic, 5, 2, factor=100).alias("read_pct"),
+            ratio("num_of_bytes_written", traffic, 5, 2, factor=100).alias("write_pct"),
             F.col("io_stall_read_ms").alias("read_stall"),
             F.col("io_stall_write_ms").alias("write_stall"),
             _thousandths("io_stall_read_ms", "num_of_reads").alias("avg_read_stall"),
@@ -283,7 +283,7 @@ def io_latency_capture(
             "num_of_bytes_written",
             "io_stall_write_ms",
             "io_stall",
-            ratio(int_div("size_on_disk_bytes", 1024), 1024, 25, 6).alias("size_on_disk_mb"),
+            ratio("size_on_disk_bytes div 1024", 1024, 25, 6).alias("size_on_disk_mb"),
             "file_handle",
             "physical_name",
         )

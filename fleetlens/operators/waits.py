@@ -91,14 +91,13 @@ def pareto(
 
 def _profile(df: DataFrame, keys: Sequence[str], threshold: int, bounded: bool) -> DataFrame:
     kept = pareto(df, keys, "wait_type", "wait_time_ms", threshold, bounded)
-    count = F.col("waiting_tasks_count")
-    resource = F.col("wait_time_ms") - F.col("signal_wait_time_ms")
+    resource = "(wait_time_ms - signal_wait_time_ms)"
 
     def seconds(ms):
         return ratio(ms, 1000, 16, 2)
 
     def average(ms):
-        return ratio(ms, count * 1000, 16, 4)
+        return ratio(ms, "(waiting_tasks_count * 1000)", 16, 4)
 
     return kept.select(
         *keys,
@@ -106,7 +105,7 @@ def _profile(df: DataFrame, keys: Sequence[str], threshold: int, bounded: bool)
         seconds("wait_time_ms").alias("wait_s"),
         seconds(resource).alias("resource_s"),
         seconds("signal_wait_time_ms").alias("signal_s"),
-        count.alias("wait_count"),
+        F.col("waiting_tasks_count").alias("wait_count"),
         "percentage",
         average("wait_time_ms").alias("avg_wait_s"),
         average(resource).alias("avg_res_s"),

@@ -17,10 +17,10 @@ def test_ratio_matches_exact_arithmetic(spark):
         (BIG, BIG, 2), (BIG // 100, BIG - 1, 6), (BIG - 1, 3 * 10**15, 3), (999, 1000, 2), (7, 0, 2),
     ]
     for num, den, scale in cases:
-        got = spark.range(1).select(
-            numbers.ratio(F.lit(num).cast("bigint"), F.lit(den).cast("bigint"), 25, scale)
-        ).first()[0]
-        literal = spark.range(1).select(numbers.ratio(F.lit(num).cast("bigint"), den, 25, scale)).first()[0]
+        values = spark.createDataFrame([(num, den)], "n bigint, d bigint")
+        got, literal = values.select(
+            numbers.ratio("n", "d", 25, scale), numbers.ratio("n", den, 25, scale)
+        ).first()
         assert literal == got, (num, den, scale)
         if den == 0:
             assert got is None
@@ -30,7 +30,7 @@ def test_ratio_matches_exact_arithmetic(spark):
 
 
 def test_ratio_zero_divisor_default(spark):
-    got = spark.range(1).select(numbers.ratio(F.lit(5), F.lit(0), 12, 3, on_zero=0)).first()[0]
+    got = spark.range(1).select(numbers.ratio("5", "0", 12, 3, on_zero=0)).first()[0]
     assert got == Decimal("0.000")
 
 
