@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetlens.llm.lines import without_repeated_lines
 from fleetlens.llm.mixing import mixed_corpus
 from fleetlens.llm.packing import pack_documents
 from fleetlens.llm.simhash import keep_one_of_each
 from fleetlens.llm.storage import save
+from fleetlens.llm.toxicity import without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grammar learned from the labels rejects go."""
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal and nearly equal lines the first stays; a document may so become empty."""
+    return without_repeated_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,6 +38,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
     ("near_dedup", near_dedup),
     ("mixing", mixing),
     ("packing", packing),

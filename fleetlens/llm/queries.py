@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetlens.llm.lines import line_counts
 from fleetlens.llm.mixing import mix_documents
 from fleetlens.llm.packing import pack_documents
 from fleetlens.llm.simhash import simhash_components
+from fleetlens.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,3 +43,13 @@ def simhash(spark: SparkSession, sf: str) -> DataFrame:
 def mixing(spark: SparkSession, sf: str) -> DataFrame:
     mix = mix_documents(load(spark, sf, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
+@query("op7_line_dedup")
+def line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return line_counts(load(spark, sf, "documents"))
+
+
+@query("op8_toxicity")
+def toxic(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity(load(spark, sf, "documents"), load(spark, sf, "labels"))
