@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetlens.llm.lines import line_counts
 from fleetlens.llm.mixing import mix_documents
 from fleetlens.llm.packing import pack_documents
+from fleetlens.llm.permutation import permutation_neighbours
 from fleetlens.llm.simhash import simhash_components
+from fleetlens.llm.threshold import exact_top_k
 from fleetlens.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,3 +56,13 @@ def line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_toxicity")
 def toxic(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity(load(spark, sf, "documents"), load(spark, sf, "labels"))
+
+
+@query("op1_permutation_index")
+def permutation_index(spark: SparkSession, sf: str) -> DataFrame:
+    return permutation_neighbours(load(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op5_threshold_top_k")
+def threshold_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_top_k(load(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
