@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.llm.language import identify_language
 from fleetlens.llm.lines import line_counts
 from fleetlens.llm.mixing import mix_documents
 from fleetlens.llm.packing import pack_documents
@@ -66,3 +67,8 @@ def permutation_index(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_threshold_top_k")
 def threshold_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return exact_top_k(load(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op9_language")
+def language(spark: SparkSession, sf: str) -> DataFrame:
+    return identify_language(load(spark, sf, "documents"))
