@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.language import identify_language
 from fleetlens.llm.lines import line_counts
+from fleetlens.llm.lm import score_documents
 from fleetlens.llm.mixing import mix_documents
 from fleetlens.llm.packing import pack_documents
 from fleetlens.llm.permutation import permutation_neighbours
@@ -72,3 +73,8 @@ def threshold_top_k(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_language")
 def language(spark: SparkSession, sf: str) -> DataFrame:
     return identify_language(load(spark, sf, "documents"))
+
+
+@query("op6_lm_scoring")
+def lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    return score_documents(load(spark, sf, "documents"))
