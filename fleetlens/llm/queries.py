@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm.language import identify_language
+from fleetlens.llm.licenses import scan_licenses
 from fleetlens.llm.lines import line_counts
 from fleetlens.llm.lm import score_documents
-from fleetlens.llm.mixing import mix_documents
+from fleetlens.llm.mixing import mix_documents, word_count
 from fleetlens.llm.packing import pack_documents
 from fleetlens.llm.permutation import permutation_neighbours
 from fleetlens.llm.simhash import simhash_components
@@ -78,3 +79,29 @@ def language(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_lm_scoring")
 def lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return score_documents(load(spark, sf, "documents"))
+
+
+#: A document of so few words acts as the licence file of its directory, if it holds a notice.
+LICENCE_FILE_WORDS = 40
+
+
+@query("op4_licenses")
+def licenses(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files ``source/lang/doc_id``."""
+    docs = load(spark, sf, "documents")
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("_")) for c in ("source", "lang", "doc_id")]
+    files = docs.select(
+        F.concat_ws("/", *named).alias("path"),
+        "text",
+        (word_count(F.col("text")) <= LICENCE_FILE_WORDS).alias("licence_file"),
+    )
+    found = scan_licenses(files)
+    number = F.regexp_extract("path", "([^/]*)$", 1)
+    return found.select(
+        number.try_cast("long").alias("doc_id"),
+        "path",
+        "licence",
+        "origin",
+        "declared_in",
+        F.round("cosine", 6).alias("cosine"),
+    )
