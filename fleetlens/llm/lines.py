@@ -332,17 +332,19 @@ def without_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> D
     ``n_chars``, if there is one, is set to the length of the new text.  Texts without a line and
     blank lines stay as they are.
     """
-    numbered = save(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = kept_lines(numbered.select("_row", "doc_id", "text"), similarity)
+    numbered = save(
+        docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("_row")),
+        "numbered",
+    )
+    found = kept_lines(numbered.select("_row", "doc.doc_id", "doc.text"), similarity)
     stays = F.expr(
-        "array_join(filter(split(text, '\\n', -1), "
+        "array_join(filter(split(doc.text, '\\n', -1), "
         "(l, i) -> array_contains(kept, i) OR NOT l RLIKE '\\\\S'), '\n')"
     )
+    text = F.when(F.col("kept").isNull(), F.col("doc.text")).otherwise(stays)
     joined = numbered.join(found, F.col("_row") == F.col("_line_row"), "left")
-    joined = joined.withColumn(
-        "text", F.when(F.col("kept").isNull(), F.col("text")).otherwise(stays)
-    )
+    joined = joined.select("doc", text.alias("new"))
+    columns = {c: F.col("doc").getField(c) for c in docs.columns} | {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        joined = joined.withColumn("n_chars", F.length("text").cast(kind))
-    return joined.select(*docs.columns)
+        columns["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[c.alias(name) for name, c in columns.items()])

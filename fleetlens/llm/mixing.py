@@ -196,12 +196,15 @@ def mixed_corpus(
 
     Rows get a number of their own for the time of the mix, so repeated and null doc_ids are safe.
     """
-    kept = save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    narrow = kept.select(F.col("_row").alias("doc_id"), "source", "text")
+    kept = save(
+        docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")),
+        "rows",
+    )
+    narrow = kept.select(F.col("row").alias("doc_id"), "doc.source", "doc.text")
     mix = mix_documents(narrow, weights, most, seed).where("copies > 0")
-    mix = mix.select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
+    mix = mix.select(F.col("doc_id").alias("id"), "copies")
     return (
-        kept.join(mix, F.col("_row") == F.col("_id"))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*docs.columns)
+        kept.join(mix, F.col("row") == F.col("id"))
+        .select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+        .select("doc.*")
     )

@@ -145,6 +145,16 @@ def near_links(fps: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(_meet, "a long, b long")
 
 
+def rooted(prints: DataFrame) -> DataFrame:
+    """``_fp, root, first`` of the distinct fingerprints ``fp``: the component's smallest
+    fingerprint, and the smallest doc_id of this one."""
+    distinct = save(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    found = connected_components(near_links(distinct))
+    return distinct.join(found, F.col("fp") == F.col("node"), "left").select(
+        F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("root"), "first"
+    )
+
+
 def simhash_components(docs: DataFrame, width: int = 3) -> DataFrame:
     """A row per document: doc_id, fingerprint (16 hex digits) and component_id.
 
@@ -154,34 +164,36 @@ def simhash_components(docs: DataFrame, width: int = 3) -> DataFrame:
     stay repeated; an empty table gives no rows; other columns play no part.
     """
     prints = save(fingerprints(docs, width), "fingerprints")
-    distinct = save(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    found = connected_components(near_links(distinct))
-    rooted = distinct.join(found, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
+    roots = rooted(prints)
+    least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = roots.join(least, "root").select("_fp", "component_id")
     return prints.join(named, F.col("fp") == F.col("_fp")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``docs`` without the documents whose component holds a smaller doc_id.
+    """``docs`` with one row of each component: that of the smallest doc_id, null last.
 
-    One row stays for each component; of repeated rows of one doc_id the first by content stays.
+    Of repeated rows the first read stays.  All columns are kept, whatever their names.
     """
-    kept = simhash_components(docs, width).where(
-        F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ).select(F.col("doc_id").alias("_kept")).distinct()
-    # Repeats of a doc_id are rare; the aggregate below keeps one of them.
-    columns = docs.columns
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept")
-    repeated = joined.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1")
-    once = joined.join(repeated, F.col("doc_id").eqNullSafe(repeated["doc_id"]), "left_anti")
-    more = joined.join(repeated, F.col("doc_id").eqNullSafe(repeated["doc_id"]), "left_semi")
-    rest = [c for c in columns if c != "doc_id"]
-    first = more.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_r")).select(
-        *[F.col("doc_id") if c == "doc_id" else F.col("_r")[c].alias(c) for c in columns]
+    rows = save(
+        docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")),
+        "rows",
+    )
+    # The number stands in for the id; the id itself is joined to it, narrow, to choose by.
+    numbered = rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text"))
+    prints = save(fingerprints(numbered, width), "fingerprints").withColumnRenamed("doc_id", "n")
+    ids = rows.select(F.col("row"), F.col("doc.doc_id").cast("long").alias("id"))
+    known = prints.join(ids, F.col("n") == F.col("row")).select("n", "fp", "id")
+    roots = rooted(prints.withColumnRenamed("n", "doc_id"))
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("n"))
+    # First within each fingerprint, so no group of copies meets in one task.
+    own = known.groupBy("fp").agg(F.min(order).alias("best"))
+    kept = (
+        own.join(roots, F.col("fp") == F.col("_fp"))
+        .groupBy("root")
+        .agg(F.min("best").alias("best"))
+        .select(F.col("best.n").alias("kept"))
     )
-    return once.select(*columns).unionByName(first)
+    return rows.join(kept, F.col("row") == F.col("kept")).select("doc.*")
