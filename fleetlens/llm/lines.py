@@ -27,7 +27,7 @@ BANDS, ROWS = 16, 4
 BUCKET_ENTRIES = 1_000_000
 LEAST_BUCKETS = 96
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_ENTRY = np.dtype([("key", "<u8"), ("line", "<i8"), ("size", "<u4")])
+_ENTRY = np.dtype([("key", "<u8"), ("line", "<i8")])
 
 
 def normal_line(line: str) -> str:
@@ -51,9 +51,17 @@ def shingle_hashes(lines: list[str], width: int = SHINGLE) -> tuple[np.ndarray,
     owner = np.repeat(np.arange(len(lines)), count)
     edge = np.concatenate([[0], np.cumsum(count)[:-1]])
     at = np.arange(len(owner)) - edge[owner] + begin[owner]
-    rolled = np.zeros(len(points) - width, dtype=np.uint64)
-    for i in range(width):
-        rolled = rolled * np.uint64(0x100000001B3) + points[i : i + len(rolled)]
+    # Hashes of runs of doubled length, put together to runs of ``width``.
+    rolled, done, run, reach, factor = None, 0, points, 1, 0x100000001B3
+    while True:
+        if width & reach:
+            ahead = run[done : done + len(points) - width]
+            rolled = ahead if rolled is None else rolled * np.uint64(factor) + ahead
+            done += reach
+        if 2 * reach > width:
+            break
+        run = run[:-reach] * np.uint64(factor) + run[reach:]
+        factor, reach = factor * factor % 2**64, 2 * reach
     value = _mix(rolled[at])
     for i in np.flatnonzero((size > 0) & (size < width)).tolist():
         own = 1469598103934665603
@@ -63,31 +71,26 @@ def shingle_hashes(lines: list[str], width: int = SHINGLE) -> tuple[np.ndarray,
     return value, owner
 
 
-def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the bands (lines x bands) and the number of distinct shingles of every line."""
+def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """Keys of the bands (lines x bands); every line has a shingle."""
     value, owner = shingle_hashes(lines)
     bins = bands * rows
-    tagged = np.sort((owner.astype(np.uint64) << np.uint64(40)) | (value >> np.uint64(24)))
-    new = np.concatenate([[True], tagged[1:] != tagged[:-1]])[: len(tagged)]
-    size = np.bincount((tagged[new] >> np.uint64(40)).astype(np.int64), minlength=len(lines))
     place = ((value >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
     empty = np.uint64(2**64 - 1)
     least = np.full(len(lines) * bins, empty)
     np.minimum.at(least, owner * bins + place, _mix(value + _ODD) >> np.uint64(1))
     sign = least.reshape(len(lines), bins)
     # An empty bin borrows from the next full one, marked by the distance.
-    distance = np.zeros(sign.shape, dtype=np.uint64)
-    while True:
-        blank = sign == empty
-        if not blank.any():  # every line has a shingle
-            break
-        after, far = np.roll(sign, -1, axis=1), np.roll(distance, -1, axis=1) + np.uint64(1)
-        sign, distance = np.where(blank, after, sign), np.where(blank, far, distance)
+    full = np.where(sign != empty, np.arange(bins), 2 * bins)
+    twice = np.concatenate([full, full + bins], axis=1)
+    later = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :bins]
+    sign = np.take_along_axis(sign, later % bins, axis=1)
+    distance = (later - np.arange(bins)).astype(np.uint64)
     sign = _mix(sign + distance * _ODD).reshape(len(lines), bands, rows)
     keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(lines), bands)).copy()
     for i in range(rows):
         keys = _mix(keys * _ODD + sign[:, :, i])
-    return keys, size
+    return keys
 
 
 def jaccard(a: str, b: str, width: int = SHINGLE) -> float:
@@ -155,7 +158,7 @@ def _entries(buckets: int):
                     ids.append(line)
                     texts.append(text.as_py())
                     held += len(texts[-1])
-                if ids and (held > 1_000_000 or i + 1 == len(batch)):
+                if ids and (held > 400_000 or i + 1 == len(batch)):
                     yield _pack(ids, texts, buckets)
                     ids, texts, held = [], [], 0
             if len(seen) > 1_000_000:
@@ -165,11 +168,10 @@ def _entries(buckets: int):
 
 
 def _pack(ids: list[int], texts: list[str], buckets: int) -> pa.RecordBatch:
-    keys, size = band_keys(texts)
+    keys = band_keys(texts)
     entries = np.empty(keys.size, dtype=_ENTRY)
     entries["key"] = keys.ravel()
     entries["line"] = np.repeat(np.array(ids, dtype=np.int64), keys.shape[1])
-    entries["size"] = np.repeat(size, keys.shape[1])
     bucket = ((entries["key"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
@@ -203,8 +205,6 @@ def _stars(table: pa.Table) -> pa.Table:
             "grp": entries["key"][member].view("<i8"),
             "a": entries["line"][lead[member]].copy(),
             "b": entries["line"][member].copy(),
-            "size_a": entries["size"][lead[member]].astype(np.int64),
-            "size_b": entries["size"][member].astype(np.int64),
         }
     )
 
@@ -226,12 +226,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _close(similarity: float):
-    """Sizes that allow the similarity at all; they are counted on 40 bits, hence the slack."""
-    low, high = F.least("size_a", "size_b") + 2, F.greatest("size_a", "size_b")
-    return low >= similarity * high
-
-
 def line_components(lines: DataFrame, count: int, similarity: float = SIMILARITY) -> DataFrame:
     """``(node, root)`` of the lines that are linked to others; see connected_components.
 
@@ -242,33 +236,31 @@ def line_components(lines: DataFrame, count: int, similarity: float = SIMILARITY
     packed = lines.select("line", "text").mapInArrow(_entries(buckets), "bucket int, entries binary")
     stars = save(
         packed.groupBy("bucket").applyInArrow(
-            _stars, "grp long, a long, b long, size_a long, size_b long"
+            _stars, "grp long, a long, b long"
         ),
         "stars",
     )
     involved = stars.select("a").union(stars.select("b")).distinct().withColumnRenamed("a", "_l")
     chosen = lines.join(involved, F.col("line") == F.col("_l"), "left_semi")
     texts = save(chosen.groupBy("line").agg(F.first("text").alias("text")), "texts")
-    pairs = stars.where(_close(similarity)).select("a", "b").distinct()
+    pairs = stars.select("a", "b").distinct()
     links = save(_verified(pairs, texts, similarity), "links")
     found = connected_components(links)
     # Groups of three or more that are not connected yet: all pairs of theirs still apart.
-    members = stars.select("grp", F.col("a").alias("m"), F.col("size_a").alias("size")).union(
-        stars.select("grp", "b", "size_b")
-    ).distinct()
+    members = stars.select("grp", F.col("a").alias("m")).union(stars.select("grp", "b")).distinct()
     rooted = members.join(found, F.col("m") == F.col("node"), "left").select(
-        "grp", "m", "size", F.coalesce("root", "m").alias("root")
+        "grp", "m", F.coalesce("root", "m").alias("root")
     )
     split = rooted.groupBy("grp").agg(
         F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n")
     ).where("_n > 2 AND _low < _high").select(F.col("grp").alias("_g"))
     left = save(rooted.join(split, F.col("grp") == F.col("_g")).drop("_g"), "apart")
     right = left.select(
-        F.col("grp").alias("_g"), F.col("m").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("_r")
+        F.col("grp").alias("_g"), F.col("m").alias("b"), F.col("root").alias("_r")
     )
     apart = (
-        left.withColumnsRenamed({"m": "a", "size": "size_a"})
-        .join(right, (F.col("grp") == F.col("_g")) & (F.col("root") < F.col("_r")) & _close(similarity))
+        left.withColumnRenamed("m", "a")
+        .join(right, (F.col("grp") == F.col("_g")) & (F.col("root") < F.col("_r")))
         .select("a", "b")
         .distinct()
     )
