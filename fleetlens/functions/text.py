@@ -78,6 +78,20 @@ def like_regex(pattern, literal_underscore: bool = True) -> Column:
     return concat_text(r"(?isu)\A", body, r"\z")
 
 
+def one_case(name) -> Column:
+    """A name with its letters in one case, each by itself, as case-insensitive patterns compare them."""
+    text = as_col(name)
+
+    def letter(c: Column) -> Column:
+        upper = F.upper(c)
+        upper = F.when(F.length(upper) == 1, upper).otherwise(c)
+        lower = F.lower(upper)
+        return F.when(F.length(lower) == 1, lower).otherwise(upper)
+
+    each = F.array_join(F.transform(F.split(text, ""), letter), "")
+    return F.when(F.rlike(text, F.lit(r"\A\p{ASCII}*\z")), F.lower(text)).otherwise(each)
+
+
 def has_wildcard(pattern) -> Column:
     """Whether a selection pattern holds ``%``."""
     return as_col(pattern).contains("%")

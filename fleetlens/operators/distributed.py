@@ -132,6 +132,17 @@ def ordered_scan(
     return joined.select(*out)
 
 
+def top_n(df: DataFrame, n: int, order: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` rows in ``order``, of each key where there are ``keys``.
+
+    Per key every task keeps ``n`` rows before the shuffle, so a hot key is no large group.
+    """
+    if not keys:
+        return df.orderBy(*order).limit(n)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+
+
 def best_row(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The row with the greatest ``order`` values per key (NULLs last), ties by the other columns.
 

@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.functions.text import like_regex, quote_name
+from fleetlens.operators.distributed import top_n
 
 _ITEM = "array<struct<_name: string, value: string>>"
 _EVENT = f"_name string, _timestamp string, data {_ITEM}, action {_ITEM}"
 _RING_BUFFER = f"event array<struct<_name: string, _timestamp: string, data: {_ITEM}, action: {_ITEM}>>"
 
-# An event element with its content; events do not nest.
-_EVENT_NODE = r"(?s)<event(?=[\s>/])(?:[^>]*/>|[^>]*>.*?</event>)"
+# An event element with its content; events do not nest.  Quoted values, comments and CDATA may hold
+# anything, also what looks like the end of the event.
+_ATTRIBUTES = r"""(?:[^>"'/]|"[^"]*"|'[^']*'|/(?!>))*+"""
+_BODY = r"(?:[^<]++|<!\[CDATA\[.*?\]\]>|<!--.*?-->|<(?!/event>|!\[CDATA\[|!--))*+"
+_EVENT_NODE = rf"(?s)<event(?=[\s>/]){_ATTRIBUTES}(?:/>|>{_BODY}</event>)"
 
 # The kind of event a deadlock leaves, and the field holding the last good check.
 DEADLOCK_REPORT = "xml_deadlock_report"
@@ -27,7 +31,8 @@ SEARCH_VALUE_WIDTH = 3630
 
 
 def _event_time() -> Column:
-    return F.to_timestamp_ntz(F.regexp_replace(F.col("_event._timestamp"), "Z$", ""))
+    """Time of the event; NULL when it is missing or no time."""
+    return F.regexp_replace(F.col("_event._timestamp"), "Z$", "").try_cast("timestamp_ntz")
 
 
 def shred_events(
@@ -93,8 +98,11 @@ def recent_deadlocks(
     tz: str = "UTC",
     n: int = 30,
     keep: Sequence[str] = (),
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """The ``n`` newest deadlock reports of event files, in the time zone ``tz``.
+    """The ``n`` newest deadlock reports of event files (of each key), in the time zone ``tz``.
+
+    A missing or malformed time is NULL and counts as the oldest.
 
     Input rows: ``file_name``, ``object_name`` and ``event_data`` (one event element).  ``pattern``
     is a file-name pattern with ``*``, for example from
@@ -106,12 +114,10 @@ def recent_deadlocks(
         like = F.replace(wanted, F.lit("*"), F.lit("%"))
         rows = rows.filter(F.rlike("file_name", like_regex(like)))
     stamp = F.regexp_replace(F.xpath_string("event_data", F.lit("/event/@timestamp")), "Z$", "")
-    local = F.from_utc_timestamp(F.to_timestamp_ntz(stamp).cast("timestamp"), tz)
-    return (
-        rows.select(*keep, local.alias("local_time"), F.col("event_data").alias("deadlock_report"))
-        .orderBy(F.desc("local_time"), "deadlock_report")
-        .limit(n)
-    )
+    local = F.convert_timezone(F.lit("UTC"), F.lit(tz), stamp.try_cast("timestamp_ntz"))
+    kept = [*keys, *[c for c in keep if c not in keys]]
+    reports = rows.select(*kept, local.alias("local_time"), F.col("event_data").alias("deadlock_report"))
+    return top_n(reports, n, [F.desc("local_time"), F.col("deadlock_report")], keys)
 
 
 def last_good_check(
@@ -130,7 +136,7 @@ def search_all_strings(tables: Mapping[str, DataFrame], needle: str) -> DataFram
     """Every value of every string column that contains ``needle``, case-insensitively.
 
     ``tables`` maps ``schema.table`` to its rows.  One scan per table reads its string columns only.
-    ``%`` and ``_`` in the needle are wildcards.  The value is shown up to 3630 characters; the
+    ``%``, ``_`` and ``[...]`` in the needle are wildcards, a backslash is a character.  The value is shown up to 3630 characters; the
     search looks at all of it.
     """
     found = []
@@ -143,7 +149,7 @@ def search_all_strings(tables: Mapping[str, DataFrame], needle: str) -> DataFram
             F.array(
                 *[
                     F.when(
-                        F.col(c).ilike(f"%{needle}%"),
+                        F.rlike(c, like_regex(F.lit(f"%{needle}%"), literal_underscore=False)),
                         F.struct(
                             F.concat(F.lit(table + "."), quote_name(F.lit(c))).alias("column_name"),
                             F.left(F.col(c), F.lit(SEARCH_VALUE_WIDTH)).alias("column_value"),

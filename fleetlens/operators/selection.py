@@ -15,6 +15,7 @@ from fleetlens.functions.text import (
     has_wildcard,
     like_regex,
     name_parts,
+    one_case,
     parse_name,
     quote_name,
 )
@@ -58,7 +59,8 @@ ORDER_MODES = {
     "REPLICA_LAST_GOOD_CHECK_DESC": ("last_command_time", True),
 }
 
-#: Literal rule lists up to this length become one expression; longer ones are joined.
+#: Literal rule lists up to this length become one expression; the names of longer ones are joined.
+#: Both ways compare letters alike (see ``one_case``), so the length does not change the result.
 LITERAL_RULES = 500
 
 
@@ -131,16 +133,15 @@ def _name_parts(parts: Sequence[str]) -> dict[str, Column]:
     return names
 
 
-def _rule_matches(rule, columns: Sequence[str]) -> Column:
+def _rule_matches(rule, columns: Sequence[str], known: Sequence[str]) -> Column:
     """Condition of one literal rule over item columns."""
     conditions = []
     for c in columns:
         value = rule[f"_re_{c}"]
         conditions.append(F.col(c).rlike(value) if value is not None else F.lit(False))
-    if "database_type" in rule and rule["database_type"] is not None:
-        conditions.append(F.col("database_type") == rule["database_type"])
-    if "availability_group" in rule and rule["availability_group"] is not None:
-        conditions.append(F.col("availability_group") == rule["availability_group"])
+    for c in ("database_type", "availability_group"):
+        if rule.get(c) is not None:
+            conditions.append(F.col(c) == rule[c] if c in known else F.lit(False))
     return reduce(lambda a, b: a & b, conditions)
 
 
@@ -194,10 +195,10 @@ def _judge_by_expression(items: DataFrame, rules: Sequence, columns: Sequence[st
     excludes = [r for r in listed if not r["selected"]]
     # The rules are in position order, so the first match has the least position.
     position = F.coalesce(
-        *[F.when(_rule_matches(r, columns), r["start_position"]) for r in includes],
+        *[F.when(_rule_matches(r, columns, items.columns), r["start_position"]) for r in includes],
         F.lit(None).cast("int"),
     )
-    hits = [F.coalesce(_rule_matches(r, columns), F.lit(False)) for r in excludes]
+    hits = [F.coalesce(_rule_matches(r, columns, items.columns), F.lit(False)) for r in excludes]
     excluded = reduce(lambda a, b: a | b, hits, F.lit(False))
     if "_excluded" in items.columns:
         position = F.least("start_position", position)
@@ -214,14 +215,17 @@ def _judge_by_join(
     every item of their key.
     """
     typed = [c for c in ("database_type", "availability_group") if c in rules.columns]
-    identity = [*keys, *columns, *typed]
+    known = [c for c in typed if c in items.columns]
+    identity = [*keys, *columns, *known]
     base = items.select(*identity).distinct()
     named = rules.select(
-        *[F.col(c).alias(f"_rule_{c}") for c in identity], *[f"_re_{c}" for c in columns],
+        *[F.col(c).alias(f"_rule_{c}") for c in [*keys, *columns, *typed]], *[f"_re_{c}" for c in columns],
         "selected", "start_position",
     )
     same_key = [F.col(k) == F.col(f"_rule_{k}") for k in keys]
-    same_type = [F.col(f"_rule_{c}").isNull() | (F.col(f"_rule_{c}") == F.col(c)) for c in typed]
+    same_type = [F.col(f"_rule_{c}").isNull() | (F.col(f"_rule_{c}") == F.col(c)) for c in known]
+    # A rule for a type or group matches nothing where the items do not tell theirs.
+    same_type += [F.col(f"_rule_{c}").isNull() for c in typed if c not in known]
 
     def matches(part: DataFrame, same_name: list[Column]) -> DataFrame:
         condition = reduce(lambda a, b: a & b, [*same_key, *same_name, *same_type])
@@ -229,7 +233,7 @@ def _judge_by_join(
 
     patterned = _is_pattern(columns, "_rule_")
     found = matches(
-        named.filter(~patterned), [F.lower(c) == F.lower(F.col(f"_rule_{c}")) for c in columns]
+        named.filter(~patterned), [one_case(c) == one_case(f"_rule_{c}") for c in columns]
     )
     if keys:
         found = found.union(

@@ -46,11 +46,12 @@ def exclude_benign(
     """Rows whose ``col`` is not in ``names``; rows with a NULL name are dropped, as by NOT IN.
 
     ``names`` is a literal list (a pushed-down filter) or a one-column DataFrame (an anti join that
-    Spark broadcasts or shuffles by its size).
+    Spark broadcasts or shuffles by its size).  A NULL in it excludes nothing, in either form.
     """
     if isinstance(names, DataFrame):
         listed = names.select(F.col(names.columns[0]).alias(col))
         return df.filter(F.col(col).isNotNull()).join(listed, col, "left_anti")
+    names = [n for n in names if n is not None]
     if len(names) > BROADCAST_ROWS:
         return exclude_benign(df, col, df.sparkSession.createDataFrame([(n,) for n in names], [col]))
     return df.filter(~F.col(col).isin(*names)) if names else df.filter(F.col(col).isNotNull())

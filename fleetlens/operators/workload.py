@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from fleetlens.functions.numbers import int_div, ratio, seconds_between
 from fleetlens.functions.text import hour_min_sec, statement_text
-from fleetlens.operators.distributed import best_row
+from fleetlens.operators.distributed import best_row, top_n
 
 # The commands whose progress is reported.
 LONG_COMMANDS = [
@@ -63,17 +63,16 @@ def top_cpu_missing_index(
     n: int = 50,
     keys: Sequence[str] = (),
 ) -> DataFrame:
-    """The ``n`` statements with the greatest peak CPU time among those with a missing-index hint."""
+    """The ``n`` statements (of each key) with the greatest peak CPU time that have a missing-index hint."""
     hints = missing.withColumnRenamed("last_sql_handle", "sql_handle")
     on = [*keys, "query_hash", "query_plan_hash", "sql_handle"]
     # Only whether a hint exists matters for the output, so the apply is a semi join.
     hinted = stats.join(hints.select(*on), on, "left_semi")
-    top = (
-        hinted.join(texts.select(*keys, "sql_handle", "text"), [*keys, "sql_handle"])
-        .join(plans.select(*keys, "plan_handle", "query_plan"), [*keys, "plan_handle"])
-        .orderBy(F.desc("max_worker_time"), "sql_handle", "statement_start_offset")
-        .limit(n)
+    found = hinted.join(texts.select(*keys, "sql_handle", "text"), [*keys, "sql_handle"]).join(
+        plans.select(*keys, "plan_handle", "query_plan"), [*keys, "plan_handle"]
     )
+    order = [F.desc("max_worker_time"), F.col("sql_handle"), F.col("statement_start_offset")]
+    top = top_n(found, n, order, keys)
     return top.select(
         *keys,
         "sql_handle",
@@ -104,7 +103,7 @@ def querystore_top_cpu(
     n: int = 100,
     keys: Sequence[str] = (),
 ) -> DataFrame:
-    """The ``n`` most CPU-hungry recent plans, then only those that have a missing-index hint.
+    """The ``n`` most CPU-hungry recent plans (of each key), then only those that have a missing-index hint.
 
     The cut to ``n`` comes before the hint is looked up, so fewer rows may remain.
     """
@@ -118,14 +117,13 @@ def querystore_top_cpu(
     queries = query.filter(~F.col("is_internal_query")).select(
         *keys, "query_id", "query_text_id", "query_hash", "object_name"
     )
-    top = (
+    found = (
         recent.join(plans, [*keys, "plan_id"])
         .join(queries, [*keys, "query_id"])
         .join(text.select(*keys, "query_text_id", "query_sql_text"), [*keys, "query_text_id"])
-        .orderBy(F.desc("avg_cpu_time"), F.desc("last_execution_time"), "plan_id",
-                 "count_executions")
-        .limit(n)
     )
+    newest = [F.desc("avg_cpu_time"), F.desc("last_execution_time")]
+    top = top_n(found, n, [*newest, F.col("plan_id"), F.col("count_executions")], keys)
     # The hint itself is not shown: the apply only keeps rows that have one.
     on = [*keys, "query_hash", "query_plan_hash"]
     hinted = top.join(missing.select(*on), on, "left_semi")
@@ -197,7 +195,7 @@ def seeding_progress(df: DataFrame, tz: str = "UTC", keys: Sequence[str] = ()) -
         return int_div(int_div(name, 1024), 1024)
 
     def local(name: str) -> Column:
-        return F.from_utc_timestamp(F.col(name).cast("timestamp"), tz)
+        return F.convert_timezone(F.lit("UTC"), F.lit(tz), F.col(name).cast("timestamp_ntz"))
 
     return df.select(
         *keys,

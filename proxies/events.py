@@ -95,6 +95,22 @@ def recent_deadlocks(spark, sf):
     return events.recent_deadlocks(files, pattern, tz="+01:00")
 
 
+@query(
+    "recent_deadlocks_per_server",
+    f"""SELECT user_id % 7 AS server, ts + INTERVAL 1 HOUR AS local_time, {_SQL_EVENT} AS deadlock_report
+    FROM events WHERE event_type = 'error'
+    QUALIFY row_number() OVER (PARTITION BY user_id % 7 ORDER BY ts DESC, {_SQL_EVENT}) <= 3""",
+)
+def recent_deadlocks_per_server(spark, sf):
+    files = load(spark, sf, "events").select(
+        (F.col("user_id") % 7).alias("server"),
+        F.lit("a.xel").alias("file_name"),
+        F.when(F.col("event_type") == "error", events.DEADLOCK_REPORT).alias("object_name"),
+        event_element().alias("event_data"),
+    )
+    return events.recent_deadlocks(files, tz="+01:00", n=3, keys=["server"])
+
+
 @query(
     "parent_pattern",
     """SELECT page_id, regexp_replace(url, '[^/]*$', '') || '*.html' AS pattern FROM pages""",
@@ -122,9 +138,14 @@ def last_good_check(spark, sf):
 
 
 SEARCHED = {
+    "region": ["r_name"],
     "nation": ["n_name"],
     "part": ["p_name", "p_brand", "p_type"],
     "customer": ["c_name", "c_mktsegment"],
+    "supplier": ["s_name"],
+    "orders": ["o_orderstatus", "o_orderpriority"],
+    "lineitem": ["l_returnflag", "l_linestatus"],
+    "events": ["event_type", "props"],
     "documents": ["text", "lang", "source"],
     "pages": ["url", "html"],
     "conversations": ["role", "text"],

@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 from fleetlens.operators import synth
 from proxies.base import load, query
 
-DAYS = 60
+DAYS = synth.SERIES_DAYS
+
+
+#: Distance of two copies of a part: beyond the part keys of the largest test tables.
+STEP = 1_000_000
 
 
 @query(
     "scale_up",
-    """SELECT p_partkey + n * 1000 AS p_partkey, p_name || CAST(n * 1000 AS VARCHAR) AS p_name,
-      p_brand || '-' || CAST(n * 1000 AS VARCHAR) AS p_brand, p_type, p_size, p_retailprice
+    f"""SELECT p_partkey + n * {STEP} AS p_partkey, p_name || CAST(n * {STEP} AS VARCHAR) AS p_name,
+      p_brand || '-' || CAST(n * {STEP} AS VARCHAR) AS p_brand, p_type, p_size, p_retailprice
     FROM part, (SELECT unnest(range(1, 51)) AS n)""",
 )
 def scale_up(spark, sf):
-    return synth.scale_up(load(spark, sf, "part"), "p_partkey", labels={"p_name": "", "p_brand": "-"})
+    labels = {"p_name": "", "p_brand": "-"}
+    return synth.scale_up(load(spark, sf, "part"), "p_partkey", step=STEP, labels=labels)
 
 
 _SQL_DIVISOR = "(SELECT max(d) FROM (SELECT unnest(range(1, 27)) AS d) WHERE {key} % d = 0)"
