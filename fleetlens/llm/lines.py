@@ -2,7 +2,8 @@
 
 Equal lines are found by a 128-bit key.  Distinct lines get a one-permutation MinHash signature of
 their character shingles; bands of it put likely neighbours into groups.  A group first gives the
-pairs of its members with one centre; exact Jaccard similarity decides; groups whose members are
+pairs of its members with one centre; pairs whose signatures agree at all well are compared by exact
+Jaccard similarity; groups whose members are
 not all connected then give every pair that is still apart, so no candidate is left out.  Verified
 pairs make components, and of each component the first line of the first document stays.
 """
@@ -22,8 +23,11 @@ from fleetlens.llm.storage import save
 #: Characters of a shingle: long enough that long unrelated lines share few.
 SHINGLE = 9
 SIMILARITY = 0.8
-#: Bands of rows: a pair at the least similarity is missed with chance (1 - 0.8^4)^16 = 0.0002.
-BANDS, ROWS = 16, 4
+#: Bands of rows: a pair at the least similarity is missed with chance (1 - 0.8^5)^20 = 0.0004.
+BANDS, ROWS = 20, 5
+#: Share of the signature that a pair must have in common to be compared in full: 0.3 below the
+#: least similarity, some seven standard deviations.
+SKETCH = 0.5
 BUCKET_ENTRIES = 1_000_000
 LEAST_BUCKETS = 96
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -71,10 +75,9 @@ def shingle_hashes(lines: list[str], width: int = SHINGLE) -> tuple[np.ndarray,
     return value, owner
 
 
-def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """Keys of the bands (lines x bands); every line has a shingle."""
+def signatures(lines: list[str], bins: int = BANDS * ROWS) -> np.ndarray:
+    """One-permutation MinHash (lines x bins); every line has a shingle."""
     value, owner = shingle_hashes(lines)
-    bins = bands * rows
     place = ((value >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
     empty = np.uint64(2**64 - 1)
     least = np.full(len(lines) * bins, empty)
@@ -85,8 +88,12 @@ def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> np.ndar
     twice = np.concatenate([full, full + bins], axis=1)
     later = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :bins]
     sign = np.take_along_axis(sign, later % bins, axis=1)
-    distance = (later - np.arange(bins)).astype(np.uint64)
-    sign = _mix(sign + distance * _ODD).reshape(len(lines), bands, rows)
+    return _mix(sign + (later - np.arange(bins)).astype(np.uint64) * _ODD)
+
+
+def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """Keys of the bands (lines x bands)."""
+    sign = signatures(lines, bands * rows).reshape(len(lines), bands, rows)
     keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(lines), bands)).copy()
     for i in range(rows):
         keys = _mix(keys * _ODD + sign[:, :, i])
@@ -209,8 +216,35 @@ def _stars(table: pa.Table) -> pa.Table:
     )
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose lines are similar enough."""
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with a byte of every signature bin."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 500):
+            part = batch.slice(i, 500)
+            sign = signatures(part.column(1).to_pylist()).astype(np.uint8)
+            yield part.append_column("sketch", pa.array([s.tobytes() for s in sign], pa.binary()))
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose signatures agree in enough bins."""
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                for c in (2, 3)
+            )
+            good = (x == y).mean(axis=1) >= SKETCH
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+def _both(pairs: DataFrame, lines: DataFrame, column: str) -> DataFrame:
+    """``a, b`` and ``column`` of either line."""
+    left, right = (lines.select(F.col("line").alias(c), F.col(column).alias(f"{column}_{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", f"{column}_a", f"{column}_b")
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose lines are similar enough: by their sketches, then in full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,10 +254,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
             ]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left = texts.select(F.col("line").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("line").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a long, b long")
+    likely = _both(pairs, lines, "sketch").mapInArrow(_likely, "a long, b long")
+    return _both(likely, lines, "text").mapInArrow(run, "a long, b long")
 
 
 def line_components(lines: DataFrame, count: int, similarity: float = SIMILARITY) -> DataFrame:
@@ -242,7 +274,8 @@ def line_components(lines: DataFrame, count: int, similarity: float = SIMILARITY
     )
     involved = stars.select("a").union(stars.select("b")).distinct().withColumnRenamed("a", "_l")
     chosen = lines.join(involved, F.col("line") == F.col("_l"), "left_semi")
-    texts = save(chosen.groupBy("line").agg(F.first("text").alias("text")), "texts")
+    texts = chosen.groupBy("line").agg(F.first("text").alias("text"))
+    texts = save(texts.mapInArrow(_sketched, "line long, text string, sketch binary"), "texts")
     pairs = stars.select("a", "b").distinct()
     links = save(_verified(pairs, texts, similarity), "links")
     found = connected_components(links)
