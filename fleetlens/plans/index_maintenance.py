@@ -74,6 +74,22 @@ def index_maintenance_plan(
     planned = ordered.join(measured, [*idx, *on_part], "left").join(
         whole, [*k, "object_id", "statistics_id"], "left"
     )
+    if incremental:
+        # Incremental statistics are judged by the counters of the partition itself, where known.
+        of_partition = stats_properties.filter("partition_number is not null").select(
+            *k, "object_id", F.col("stats_id").alias("statistics_id"), "partition_number",
+            F.col("rows").alias("_rows"), F.col("modification_counter").alias("_modified"),
+        )
+        own = F.col("is_incremental") & F.col("_rows").isNotNull()
+        planned = (
+            planned.join(of_partition, [*k, "object_id", "statistics_id", "partition_number"], "left")
+            .withColumns({
+                "row_count": F.when(own, F.col("_rows")).otherwise(F.col("row_count")),
+                "modification_counter": F.when(own, F.col("_modified")).otherwise(
+                    F.col("modification_counter")),
+            })
+            .drop("_rows", "_modified")
+        )
     acted = choose_action(
         allowed_actions(planned, version, edition), preferences, min_pages, max_pages, l1, l2
     )

@@ -480,20 +480,27 @@ STATS_PROPERTIES = {
 }
 
 
-@query(
-    "index_maintenance_plan",
-    f"""{_SQL_TARGETS}, {_SQL_FRAGMENTATION},
+#: Partitions with counters of their own in the incremental variant; the even ones are unmodified.
+PARTS = 64
+
+
+def _plan_sql(counter: str) -> str:
+    return f"""{_SQL_TARGETS}, {_SQL_FRAGMENTATION},
     properties AS (SELECT {sql_columns(STATS_PROPERTIES)} FROM lineitem
       GROUP BY l_partkey, {STATS['stats_id']}),
+    parts AS (SELECT object_id, stats_id, unnest(range(1, {PARTS} + 1)) AS part, modification_counter
+      FROM properties),
     o AS (SELECT *, row_number() OVER (ORDER BY coalesce(resumable_index_operation, FALSE) DESC, schema_name,
         object_name, (index_type IS NULL)::INT, index_type NULLS FIRST, index_name NULLS FIRST,
         statistics_name NULLS FIRST, partition_number NULLS FIRST, object_id) AS item_order FROM targets),
-    m AS (SELECT o.*, fragmentation_level, page_count, rows AS row_count, modification_counter,
+    m AS (SELECT o.*, fragmentation_level, page_count, q.rows AS row_count, {counter} AS modification_counter,
         coalesce(o.index_id IS NOT NULL AND NOT on_read_only_filegroup
           AND NOT coalesce(is_memory_optimized, FALSE), FALSE) AS ok
       FROM o LEFT JOIN fragmentation f ON o.object_id = f.object_id AND o.index_id = f.index_id
           AND o.partition_number = f.partition_number
-        LEFT JOIN properties q ON o.object_id = q.object_id AND o.statistics_id = q.stats_id),
+        LEFT JOIN properties q ON o.object_id = q.object_id AND o.statistics_id = q.stats_id
+        LEFT JOIN parts p ON o.object_id = p.object_id AND o.statistics_id = p.stats_id
+          AND o.partition_number = p.part),
     g AS (SELECT *, CASE WHEN index_id IS NOT NULL AND NOT on_read_only_filegroup THEN {_GROUP} END AS fg,
         ok AND index_type IN (1, 2, 3, 4, 5) AND (allow_page_locks OR index_type = 5) AS can_reorg,
         ok AND index_type IN (1, 2, 3, 4, 5) AS can_off,
@@ -512,9 +519,11 @@ STATS_PROPERTIES = {
         AND ((NOT {_PART} AND coalesce(action NOT IN ('INDEX_REBUILD_ONLINE', 'INDEX_REBUILD_OFFLINE'), TRUE))
           OR ({_PART} AND (coalesce(partition_number = partition_count, FALSE) OR is_incremental))), FALSE)
         AS update_statistics
-    FROM c""",
-)
-def maintenance_plan(spark, sf):
+    FROM c"""
+
+
+@query("index_maintenance_plan", _plan_sql("q.modification_counter"))
+def maintenance_plan(spark, sf, per_partition=False):
     stats_id = F.expr(STATS["stats_id"]).alias("stats_id")
     properties = (
         load(spark, sf, "lineitem")
@@ -522,6 +531,15 @@ def maintenance_plan(spark, sf):
         .agg(*_aggregates(STATS_PROPERTIES, ["object_id", "stats_id", "partition_number"]))
         .withColumn("partition_number", F.lit(None).cast("int"))
     )
+    if per_partition:
+        own = properties.withColumns({
+            "partition_number": F.explode(F.sequence(F.lit(1), F.lit(PARTS))),
+        })
+        own = own.withColumn(
+            "modification_counter",
+            F.when(F.col("partition_number") % 2 == 1, F.col("modification_counter")).otherwise(0),
+        )
+        properties = properties.unionByName(own)
     plan = index_maintenance_plan(
         catalog(spark, sf), physical_stats(spark, sf), properties, update_statistics="ALL",
         only_modified=True,
@@ -530,3 +548,14 @@ def maintenance_plan(spark, sf):
         "item_order", "object_id", "index_id", "statistics_id", "partition_number", "page_count",
         "fragmentation_group", "action", "update_statistics",
     )
+
+
+@query(
+    "index_maintenance_plan_incremental",
+    _plan_sql(
+        "CASE WHEN is_incremental AND p.part IS NOT NULL "
+        "THEN CASE WHEN p.part % 2 = 1 THEN p.modification_counter ELSE 0 END ELSE q.modification_counter END"
+    ),
+)
+def maintenance_plan_incremental(spark, sf):
+    return maintenance_plan(spark, sf, per_partition=True)
