@@ -305,7 +305,8 @@ def line_components(lines: DataFrame, count: int, similarity: float = SIMILARITY
 
 
 def kept_lines(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Of ``_row, doc_id, text``: per _row its number of ``lines`` and the positions ``kept``.
+    """Of ``_row, doc_id, text``: per _row (as ``_line_row``) its doc_id (as ``_line_doc``), its number
+    of ``lines`` and the positions ``kept``.
 
     Of each component the first line stays, in order of doc_id, _row and position.
     """
@@ -324,9 +325,9 @@ def kept_lines(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         .agg(F.min("first").alias("f"))
     )
     kept = best.groupBy("f.row").agg(F.array_sort(F.collect_list("f.pos")).alias("kept"))
-    counts = narrow.groupBy("row").agg(F.count("*").alias("lines"))
+    counts = narrow.groupBy("doc", "row").agg(F.count("*").alias("lines"))
     return counts.join(kept.withColumnRenamed("row", "_k"), F.col("row") == F.col("_k"), "left").select(
-        F.col("row").alias("_line_row"), "lines", F.coalesce("kept", F.array().cast("array<int>")).alias("kept")
+        F.col("row").alias("_line_row"), F.col("doc").alias("_line_doc"), "lines", F.coalesce("kept", F.array().cast("array<int>")).alias("kept")
     )
 
 
@@ -343,11 +344,9 @@ def line_counts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         F.col("text").cast("string").alias("text"),
         F.monotonically_increasing_id().alias("_row"),
     )
-    # Narrow and cheap to keep, so rows hold their number when a scan is repeated.
-    found = kept_lines(rows, similarity)
-    named = save(rows.select("doc_id", "_row"), "numbers")
-    return found.join(named, F.col("_line_row") == F.col("_row")).select(
-        "doc_id", "lines", F.size("kept").cast("long").alias("kept_lines"), "kept"
+    # Row numbers are used within the one scan that is saved.
+    return kept_lines(rows, similarity).select(
+        F.col("_line_doc").alias("doc_id"), "lines", F.size("kept").cast("long").alias("kept_lines"), "kept"
     )
 
 
