@@ -108,15 +108,12 @@ def jaccard(a: str, b: str, width: int = SHINGLE) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def line_table(rows: DataFrame) -> DataFrame:
-    """``doc, row, pos, line, line2, text`` of every line that has a word.
-
-    From ``_row``, ``doc_id`` and ``text``.
-    (line, line2) is the 128-bit key of the normal line.
-    """
-    import xxhash
+def _read_lines():
+    """Lines of batches of ``_row, doc_id, text``, see line_table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         digest = xxhash.xxh3_128_intdigest
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
@@ -140,22 +137,36 @@ def line_table(rows: DataFrame) -> DataFrame:
                         for column, value in zip(out, (doc, row, pos, *parts, line), strict=True):
                             column.append(value)
                         held += len(line)
-                if held > 16_000_000:
+                if held > 4_000_000:
                     yield drain()
                     held = 0
             yield drain()
 
-    narrow = rows.select("_row", F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return run
+
+
+def _of_rows(rows: DataFrame) -> DataFrame:
+    return rows.select("_row", F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def line_table(rows: DataFrame) -> DataFrame:
+    """``doc, row, pos, line, line2, text`` of every line that has a word.
+
+    From ``_row``, ``doc_id`` and ``text``.  (line, line2) is the 128-bit key of the normal line.
+    """
     schema = "doc long, row long, pos int, line long, line2 long, text string"
-    return narrow.mapInArrow(run, schema)
+    return _of_rows(rows).mapInArrow(_read_lines(), schema)
 
 
 def _entries(buckets: int):
     """Band entries of the lines, packed by bucket; a line seen before in the task is left out."""
 
+    read = _read_lines()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        # Reading and packing share one worker.
+        for batch in (b.select(["line", "text"]) for b in read(batches)):
             ids, texts, held = [], [], 0
             for i, (line, text) in enumerate(
                 zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
@@ -168,7 +179,7 @@ def _entries(buckets: int):
                 if ids and (held > 400_000 or i + 1 == len(batch)):
                     yield _pack(ids, texts, buckets)
                     ids, texts, held = [], [], 0
-            if len(seen) > 1_000_000:
+            if len(seen) > 300_000:
                 seen.clear()
 
     return run
@@ -258,14 +269,14 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
     return _both(likely, lines, "text").mapInArrow(run, "a long, b long")
 
 
-def line_components(lines: DataFrame, count: int, similarity: float = SIMILARITY) -> DataFrame:
+def line_components(rows: DataFrame, count: int, similarity: float = SIMILARITY) -> DataFrame:
     """``(node, root)`` of the lines that are linked to others; see connected_components.
 
-    ``lines`` has ``count`` rows; ids are the lower halves of the keys.
+    ``rows`` (as for line_table) have ``count`` lines; ids are the lower halves of the keys.
     """
     entries = count * BANDS
     buckets = max(LEAST_BUCKETS, -(-entries // BUCKET_ENTRIES))
-    packed = lines.select("line", "text").mapInArrow(_entries(buckets), "bucket int, entries binary")
+    packed = _of_rows(rows).mapInArrow(_entries(buckets), "bucket int, entries binary")
     stars = save(
         packed.groupBy("bucket").applyInArrow(
             _stars, "grp long, a long, b long"
@@ -273,7 +284,7 @@ def line_components(lines: DataFrame, count: int, similarity: float = SIMILARITY
         "stars",
     )
     involved = stars.select("a").union(stars.select("b")).distinct().withColumnRenamed("a", "_l")
-    chosen = lines.join(involved, F.col("line") == F.col("_l"), "left_semi")
+    chosen = line_table(rows).join(involved, F.col("line") == F.col("_l"), "left_semi")
     texts = chosen.groupBy("line").agg(F.first("text").alias("text"))
     texts = save(texts.mapInArrow(_sketched, "line long, text string, sketch binary"), "texts")
     pairs = stars.select("a", "b").distinct()
@@ -310,9 +321,8 @@ def kept_lines(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Of each component the first line stays, in order of doc_id, _row and position.
     """
-    lines = line_table(rows)
-    narrow = save(lines.drop("text"), "lines")
-    found = line_components(lines, narrow.count(), similarity)
+    narrow = save(line_table(rows).drop("text"), "lines")
+    found = line_components(rows, narrow.count(), similarity)
     nodes = found.union(found.select("root", "root").distinct())
     firsts = narrow.groupBy("line", "line2").agg(F.min(F.struct("doc", "row", "pos")).alias("first"))
     # Lines without a link stand for themselves, by both halves of their key.

@@ -37,7 +37,7 @@ class WordEncoder:
     end of a word is a byte of its own; any other word is given to the tokenizer itself.
     """
 
-    def __init__(self, path: str | None = None, limit: int = 700_000):
+    def __init__(self, path: str | None = None, limit: int = 300_000):
         import json
 
         import regex

@@ -157,7 +157,7 @@ def learn_lexicon(labelled: DataFrame, least: int = 3, ratio: float = 15.0, most
                 words = set(WORD.findall((text or "").lower()))
                 terms = words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in STEMS))
                 seen[toxic].update(terms)
-                if len(seen[0]) + len(seen[1]) > 500_000:
+                if len(seen[0]) + len(seen[1]) > 150_000:
                     yield drain()
         yield drain()
 
