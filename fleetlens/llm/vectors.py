@@ -42,14 +42,15 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
 def blockwise_best(
     rows: DataFrame,
     queries: DataFrame,
-    search: Callable[[pa.Table, pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]],
+    search: Callable[[pa.Table, pa.Table], tuple],
     k: int,
     score_type: str,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best rows of each query.
 
     ``search`` gets a block of rows and a block of queries and returns (query position, row
-    position, score) of up to ``k`` rows for each query.  A task holds one block of each side,
+    position, score) of up to ``k`` rows for each query, and their vec_ids where a row stands for
+    several.  A task holds one block of each side,
     whatever the tables' sizes; ties go to the smaller vec_id, a null one first.
     """
     row_blocks = max(1, -(-rows.count() // BLOCK))
@@ -67,14 +68,15 @@ def blockwise_best(
 
     def run(own: pa.Table, asked: pa.Table) -> pa.Table:
         if own.num_rows and asked.num_rows:
-            q, r, score = search(own, asked)
+            q, r, score, *ids = search(own, asked)
         else:
             q = r = score = np.zeros(0, np.int64)
+            ids = [pa.array([], pa.int64())]
         return pa.table(
             {
                 "qn": asked["n"].take(pa.array(q)),
                 "query_id": asked["vec_id"].take(pa.array(q)),
-                "vec_id": own["vec_id"].take(pa.array(r)),
+                "vec_id": ids[0] if ids else own["vec_id"].take(pa.array(r)),
                 "score": pa.array(score, pa.float64() if score_type == "double" else pa.int64()),
             }
         )
