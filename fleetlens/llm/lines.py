@@ -2,8 +2,8 @@
 
 Equal lines are found by a 128-bit key.  Distinct lines get a one-permutation MinHash signature of
 their character shingles; bands of it put likely neighbours into groups.  A group first gives the
-pairs of its members with one centre; pairs whose signatures agree at all well are compared by exact
-Jaccard similarity; groups whose members are
+pairs of its members with one centre; pairs are compared by exact Jaccard similarity, those of two
+long lines only if their signatures agree at all well; groups whose members are
 not all connected then give every pair that is still apart, so no candidate is left out.  Verified
 pairs make components, and of each component the first line of the first document stays.
 """
@@ -28,6 +28,8 @@ BANDS, ROWS = 20, 5
 #: Share of the signature that a pair must have in common to be compared in full: 0.3 below the
 #: least similarity, some seven standard deviations.
 SKETCH = 0.5
+#: Distinct shingles from which a signature is taken to tell that; most of its bins are then full.
+SKETCHED = 200
 BUCKET_ENTRIES = 1_000_000
 LEAST_BUCKETS = 96
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -75,6 +77,16 @@ def shingle_hashes(lines: list[str], width: int = SHINGLE) -> tuple[np.ndarray,
     return value, owner
 
 
+def shingle_counts(lines: list[str]) -> np.ndarray:
+    """Distinct shingles of every line."""
+    value, owner = shingle_hashes(lines)
+    order = np.lexsort((value, owner))
+    value, owner = value[order], owner[order]
+    new = np.ones(len(value), dtype=bool)
+    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+    return np.bincount(owner[new], minlength=len(lines))
+
+
 def signatures(lines: list[str], bins: int = BANDS * ROWS) -> np.ndarray:
     """One-permutation MinHash (lines x bins); every line has a shingle."""
     value, owner = shingle_hashes(lines)
@@ -228,24 +240,42 @@ def _stars(table: pa.Table) -> pa.Table:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines with a byte of every signature bin."""
+    """Lines with a byte of every signature bin and four of the number of distinct shingles."""
     for batch in batches:
         for i in range(0, batch.num_rows, 500):
             part = batch.slice(i, 500)
-            sign = signatures(part.column(1).to_pylist()).astype(np.uint8)
-            yield part.append_column("sketch", pa.array([s.tobytes() for s in sign], pa.binary()))
+            texts = part.column(1).to_pylist()
+            sign, size = signatures(texts).astype(np.uint8), shingle_counts(texts).astype("<u4")
+            sketch = [s.tobytes() + n.tobytes() for s, n in zip(sign, size, strict=True)]
+            yield part.append_column("sketch", pa.array(sketch, pa.binary()))
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures agree in enough bins."""
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                for c in (2, 3)
-            )
-            good = (x == y).mean(axis=1) >= SKETCH
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+def likely_pairs(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of sketches (rows of bytes) can be similar enough.
+
+    Sizes bound the similarity exactly.  Signatures are asked only if both lines have shingles
+    enough for them to tell; a pair with a shorter line is always compared in full.
+    """
+    m, n = (np.ascontiguousarray(a[:, -4:]).view("<u4").ravel().astype(np.int64) for a in (x, y))
+    least, most = np.minimum(m, n), np.maximum(m, n)
+    agree = (x[:, :-4] == y[:, :-4]).mean(axis=1) >= SKETCH
+    return (least >= similarity * most - 1e-6) & (agree | (least < SKETCHED))
+
+
+def _likely(similarity: float):
+    """Pairs that likely_pairs lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (
+                    np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                    for c in (2, 3)
+                )
+                good = likely_pairs(x, y, similarity)
+                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
 
 
 def _both(pairs: DataFrame, lines: DataFrame, column: str) -> DataFrame:
@@ -265,7 +295,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
             ]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    likely = _both(pairs, lines, "sketch").mapInArrow(_likely, "a long, b long")
+    likely = _both(pairs, lines, "sketch").mapInArrow(_likely(similarity), "a long, b long")
     return _both(likely, lines, "text").mapInArrow(run, "a long, b long")
 
 
