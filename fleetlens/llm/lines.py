@@ -2,15 +2,17 @@
 
 Equal lines are found by a 128-bit key.  Distinct lines get a one-permutation MinHash signature of
 their character shingles; bands of it put likely neighbours into groups.  A group first gives the
-pairs of its members with one centre; pairs are compared by exact Jaccard similarity, those of two
-long lines only if their signatures agree at all well; groups whose members are
-not all connected then give every pair that is still apart, so no candidate is left out.  Verified
+pairs of its members with one centre, or with the centres of the slices of text they came in; pairs are compared by exact Jaccard similarity, those of two
+long lines only if their signatures agree at all well; groups whose
+members are not all connected try further centres, and lines still apart are joined by the rarest of
+their shingles, which any similar pair shares, so no candidate is left out.  Verified
 pairs make components, and of each component the first line of the first document stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,10 @@ SKETCHED = 200
 BUCKET_ENTRIES = 1_000_000
 LEAST_BUCKETS = 96
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Rounds of new centres for groups that are not connected yet.
+CENTRES = 2
 _ENTRY = np.dtype([("key", "<u8"), ("line", "<i8")])
+_STAR = np.dtype([("grp", "<i8"), ("a", "<i8"), ("b", "<i8")])
 
 
 def normal_line(line: str) -> str:
@@ -95,12 +100,31 @@ def signatures(lines: list[str], bins: int = BANDS * ROWS) -> np.ndarray:
     least = np.full(len(lines) * bins, empty)
     np.minimum.at(least, owner * bins + place, _mix(value + _ODD) >> np.uint64(1))
     sign = least.reshape(len(lines), bins)
-    # An empty bin borrows from the next full one, marked by the distance.
-    full = np.where(sign != empty, np.arange(bins), 2 * bins)
-    twice = np.concatenate([full, full + bins], axis=1)
-    later = np.minimum.accumulate(twice[:, ::-1], axis=1)[:, ::-1][:, :bins]
-    sign = np.take_along_axis(sign, later % bins, axis=1)
-    return _mix(sign + (later - np.arange(bins)).astype(np.uint64) * _ODD)
+    # An empty bin borrows from the first full one in an order of its own, so bins that borrow are
+    # as independent as full ones and a band of a short line is as selective as one of a long line.
+    rank, order = _lenders(bins)
+    full = sign != empty
+    for begin in range(0, len(lines), 500):
+        part = slice(begin, begin + 500)
+        some = np.flatnonzero(full[part].any(axis=1) & ~full[part].all(axis=1)) + begin
+        if len(some):
+            row, lender = np.nonzero(full[some])
+            first = np.searchsorted(row, np.arange(len(some)))
+            best = np.minimum.reduceat(rank[lender], first, axis=0)
+            sign[some] = np.take_along_axis(sign[some], order[np.arange(bins), best], axis=1)
+    return _mix(sign)
+
+
+@lru_cache(maxsize=4)
+def _lenders(bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of every lender (row) for every bin (column), and the lender of every bin and rank.
+
+    A bin is the first lender of its own.
+    """
+    order = np.random.default_rng(29).permuted(np.tile(np.arange(bins), (bins, 1)), axis=1)
+    order = np.array([np.concatenate([[i], o[o != i]]) for i, o in enumerate(order)])
+    rank = np.argsort(order, axis=1).T
+    return np.ascontiguousarray(rank.astype(np.uint8 if bins <= 256 else np.int32)), order
 
 
 def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -188,7 +212,7 @@ def _entries(buckets: int):
                     ids.append(line)
                     texts.append(text.as_py())
                     held += len(texts[-1])
-                if ids and (held > 400_000 or i + 1 == len(batch)):
+                if ids and (held > 400_000 or len(ids) == 4000 or i + 1 == len(batch)):
                     yield _pack(ids, texts, buckets)
                     ids, texts, held = [], [], 0
             if len(seen) > 300_000:
@@ -198,45 +222,62 @@ def _entries(buckets: int):
 
 
 def _pack(ids: list[int], texts: list[str], buckets: int) -> pa.RecordBatch:
+    """Entries by bucket.
+
+    Lines of these texts with one key are a star already, in a bucket behind the others, and only
+    its centre is an entry: a key that many lines have costs its bucket one entry per slice.
+    """
     keys = band_keys(texts)
     entries = np.empty(keys.size, dtype=_ENTRY)
     entries["key"] = keys.ravel()
     entries["line"] = np.repeat(np.array(ids, dtype=np.int64), keys.shape[1])
+    entries, stars = _starred(entries)
     bucket = ((entries["key"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
     entries = entries[order]
     full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+    packed = [entries[cuts[b] : cuts[b + 1]].tobytes() for b in full]
+    if len(stars):
+        full.append(buckets + ids[0] % buckets)
+        packed.append(stars.tobytes())
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(full, pa.int32()),
-            pa.array([entries[cuts[b] : cuts[b + 1]].tobytes() for b in full]),
-        ],
-        names=["bucket", "entries"],
+        [pa.array(full, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "entries"]
     )
 
 
-def _stars(table: pa.Table) -> pa.Table:
-    """Every member of a group of two or more with the group's centre.
+def _starred(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One entry per key, the centre's, and the other members of its group with it.
 
     The centre is the member of the smallest hash of line and group, so a line's groups have
     different ones.
     """
-    entries = np.frombuffer(b"".join(table.column("entries").to_pylist()), dtype=_ENTRY)
     entries = entries[np.lexsort((_mix(entries["line"].view("<u8") ^ entries["key"]), entries["key"]))]
+    if not len(entries):
+        return entries, np.zeros(0, _STAR)
     again = (entries["key"][1:] == entries["key"][:-1]) & (entries["line"][1:] == entries["line"][:-1])
-    entries = entries[np.concatenate([[True], ~again])] if len(entries) else entries
-    first = np.concatenate([[True], entries["key"][1:] != entries["key"][:-1]]) if len(entries) else np.zeros(0, bool)
+    entries = entries[np.concatenate([[True], ~again])]
+    first = np.concatenate([[True], entries["key"][1:] != entries["key"][:-1]])
     start = np.flatnonzero(first)
     lead = np.repeat(start, np.diff(np.append(start, len(entries))))
-    member = ~first
-    return pa.table(
-        {
-            "grp": entries["key"][member].view("<i8"),
-            "a": entries["line"][lead[member]].copy(),
-            "b": entries["line"][member].copy(),
-        }
-    )
+    stars = np.empty((~first).sum(), dtype=_STAR)
+    stars["grp"] = entries["key"][~first].view("<i8")
+    stars["a"], stars["b"] = entries["line"][lead[~first]], entries["line"][~first]
+    return entries[start], stars
+
+
+def _stars(buckets: int):
+    """Every member of a group of two or more with a centre of the group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        raw = b"".join(table.column("entries").to_pylist())
+        if table.column("bucket")[0].as_py() < buckets:
+            stars = _starred(np.frombuffer(raw, dtype=_ENTRY))[1]
+        else:
+            stars = np.frombuffer(raw, dtype=_STAR)
+        return pa.table({c: stars[c].copy() for c in ("grp", "a", "b")})
+
+    return run
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +350,7 @@ def line_components(rows: DataFrame, count: int, similarity: float = SIMILARITY)
     packed = _of_rows(rows).mapInArrow(_entries(buckets), "bucket int, entries binary")
     stars = save(
         packed.groupBy("bucket").applyInArrow(
-            _stars, "grp long, a long, b long"
+            _stars(buckets), "grp long, a long, b long"
         ),
         "stars",
     )
@@ -320,29 +361,85 @@ def line_components(rows: DataFrame, count: int, similarity: float = SIMILARITY)
     pairs = stars.select("a", "b").distinct()
     links = save(_verified(pairs, texts, similarity), "links")
     found = connected_components(links)
-    # Groups of three or more that are not connected yet: all pairs of theirs still apart.
     members = stars.select("grp", F.col("a").alias("m")).union(stars.select("grp", "b")).distinct()
+    for turn in range(CENTRES + 1):
+        left = _apart(members, found)
+        if left.isEmpty():
+            break
+        if turn < CENTRES:
+            pairs = _with_new_centres(left, turn)
+        else:
+            pairs = _sharing_rare_shingles(left, texts, similarity)
+        more = save(_verified(pairs, texts, similarity), "links")
+        if not more.isEmpty():
+            found = connected_components(found.toDF("a", "b").union(more))
+        members = left.select("grp", "m")
+    return found
+
+
+def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``grp, m, root`` of the groups of three or more that are not connected yet."""
     rooted = members.join(found, F.col("m") == F.col("node"), "left").select(
         "grp", "m", F.coalesce("root", "m").alias("root")
     )
     split = rooted.groupBy("grp").agg(
         F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n")
     ).where("_n > 2 AND _low < _high").select(F.col("grp").alias("_g"))
-    left = save(rooted.join(split, F.col("grp") == F.col("_g")).drop("_g"), "apart")
-    right = left.select(
-        F.col("grp").alias("_g"), F.col("m").alias("b"), F.col("root").alias("_r")
-    )
-    apart = (
-        left.withColumnRenamed("m", "a")
-        .join(right, (F.col("grp") == F.col("_g")) & (F.col("root") < F.col("_r")))
-        .select("a", "b")
-        .distinct()
+    return save(rooted.join(split, F.col("grp") == F.col("_g")).drop("_g"), "apart")
+
+
+def _with_new_centres(left: DataFrame, turn: int) -> DataFrame:
+    """Pairs of a group's members with one more of them, if they are apart."""
+    pick = F.struct(F.xxhash64("m", "grp", F.lit(turn)).alias("h"), "m", "root")
+    centre = left.groupBy("grp").agg(F.min(pick).alias("c"))
+    centre = centre.select(F.col("grp").alias("_g"), F.col("c.m").alias("a"), F.col("c.root").alias("_r"))
+    joined = left.join(centre, (F.col("grp") == F.col("_g")) & (F.col("root") != F.col("_r")))
+    return joined.select("a", F.col("m").alias("b")).distinct()
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``line, root, s`` of the distinct shingles ``s`` of lines."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 2000):
+            part = batch.slice(i, 2000)
+            value, owner = shingle_hashes(part.column(2).to_pylist())
+            pairs = np.unique(np.stack([owner.astype(np.int64), value.view(np.int64)]), axis=1)
+            at = pa.array(pairs[0])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(at), part.column(1).take(at), pa.array(pairs[1])],
+                names=["line", "root", "s"],
+            )
+
+
+def _sharing_rare_shingles(left: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of lines that are apart and share one of their rarest shingles.
+
+    Of lines of n shingles, similar ones share at least ``similarity`` * n, so with all shingles in
+    one order they share one of the first n - similarity * n + 1.  The rarest come first: what
+    many lines have, such as a template, makes no pairs.  The first shingle that two lines share
+    leaves room for no more than the rest of the shorter remainder, so most are told apart by their
+    places; that bound is exact as well.
+    """
+    lines = left.select(F.col("m").alias("_m"), "root").distinct()
+    lines = texts.join(lines, F.col("line") == F.col("_m")).select("line", "root", "text")
+    each = save(lines.mapInArrow(_shingle_rows, "line long, root long, s long"), "shingles")
+    lines_with = each.groupBy(F.col("s").alias("_s")).agg(F.count("*").alias("held"))
+    # A shingle of one line cannot be shared, but has its place in the order.
+    sets = (
+        each.join(lines_with, F.col("s") == F.col("_s"))
+        .groupBy("line", "root")
+        .agg(F.array_sort(F.collect_list(F.struct("held", "s"))).alias("all"))
+        .withColumn("n", F.size("all"))
     )
-    tried = pairs.union(pairs.select("b", "a"))
-    more = save(_verified(apart.join(tried, ["a", "b"], "left_anti"), texts, similarity), "links")
-    if more.isEmpty():
-        return found
-    return connected_components(found.toDF("a", "b").union(more))
+    needed = F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-6))
+    rare = F.slice("all", F.lit(1), (F.col("n") - needed + 1).cast("int"))
+    keys = sets.select("line", "root", "n", F.posexplode(rare).alias("at", "e")).where("e.held > 1")
+    keys = save(keys.select("line", "root", "n", "at", "e.s"), "rare")
+    other = keys.toDF("_line", "_root", "_n", "_at", "_s")
+    least = F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("_n")) - F.lit(1e-6)
+    near = F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at")) >= least
+    joined = keys.join(other, (F.col("s") == F.col("_s")) & (F.col("root") < F.col("_root")) & near)
+    return joined.select(F.col("line").alias("a"), F.col("_line").alias("b")).distinct()
 
 
 def kept_lines(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
