@@ -7,6 +7,7 @@ the mean over all its positions.  The network is trained in numpy by backpropaga
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -14,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.llm.sampling import hash_limit
+
 HIDDEN = 8
 #: Bytes of a segment when texts are labelled; whole texts are cut into such segments.
 SEGMENT = 128
-#: The fit: at most about this many documents, segments of so many bytes, batches and their size.
+#: The fit: at most about this many documents, as many of each language, segments of so many bytes, batches and their size.
 FIT_DOCUMENTS, FIT_BYTES, FIT_STEPS, FIT_BATCH = 3000, 48, 160, 256
 
 Weights = dict[str, np.ndarray]
@@ -181,17 +184,21 @@ def held_out(folds: int = 3, fold: int = 1) -> Column:
 def identify_language(docs: DataFrame, most: int = FIT_DOCUMENTS) -> DataFrame:
     """A row per document: doc_id, held_out, lang_pred and score, by the whole text.
 
-    Learned from about ``most`` documents at most, drawn by a hash of doc_id from those with a lang
-    and outside the held-out fold; only their text and lang are used.  A null text, or one without
+    Learned from documents with a lang and outside the held-out fold, of which about ``most`` are
+    drawn by a hash of doc_id, the same number for every lang (all of a lang that has fewer), so a
+    rare lang is learned in a table of any size.  Only their text and lang are used.  A null text, or one without
     a letter, is ``und`` with score 0, as is every text when there is nothing to learn from; one
     lang alone is the answer for all.  Repeated rows are labelled alike, an empty table gives no
     rows.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     known = known.where(F.col("doc_id").isNotNull())
-    share = min(1.0, most / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    # Four slices from hashed places of each text, so the fit's data are bounded.
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    quota = max(1, most // max(1, len(counts)))
+    limits = json.dumps({lang: hash_limit(quota, n) for lang, n in counts.items()})
+    limit = F.from_json(F.lit(limits), "map<string, bigint>")[F.col("lang")]
+    drawn = known.where(F.xxhash64("doc_id") <= limit)
+    # The fit's windows come from anywhere in a text: four slices from hashed places of it.
     slices = F.expr(
         "array_join(transform(sequence(0, 3), i -> substring(text, 1 + cast(pmod(xxhash64(doc_id, i), "
         "greatest(length(text) - 200, 1)) as int), 200)), ' ')"

@@ -32,7 +32,7 @@ BINS = BANDS * BAND
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 #: Full bins are looked for along the walk so often before the rest is found by rank.
 WALK = 8
-#: Centres that an open bucket tries at once, in the rounds after the first.
+#: By how much the centres that an open bucket tries at once grow from round to round.
 CENTRES = 4
 LEAST_SALTS = 64
 #: Pairs of one centre that meet in one task, about.
@@ -238,12 +238,26 @@ def _with_component(members: DataFrame, roots: DataFrame) -> DataFrame:
     return named.join(ends.where("low < high").select("bucket"), "bucket", "left_semi")
 
 
+def _marked(members: DataFrame, turn: int) -> DataFrame:
+    """``members`` of open buckets with ``centre``: about ``CENTRES ** (turn + 1)`` of a bucket, and
+    at least the one that comes first.  The order is the same in all buckets, so that they choose
+    the same rows and their pairs coincide."""
+    place = F.call_function("shiftrightunsigned", F.xxhash64("row", F.lit(turn)), F.lit(11))
+    placed = members.withColumn("place", place / F.lit(2.0**53))
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("place").alias("first"))
+    limit = F.greatest("first", F.lit(float(CENTRES ** (turn + 1))) / F.col("size"))
+    return placed.join(sizes, "bucket").select(
+        "bucket", "row", "component", (F.col("place") <= limit).alias("centre")
+    )
+
+
 def linked_sets(sets: DataFrame, percent: int = 80) -> DataFrame:
     """``(node, root)`` of rows of distinct ``sets (row, members, bands)`` that links connect."""
-    pairs = save(star_pairs(sets), "pairs")
-    met = pairs.select("a").union(pairs.select("b")).distinct()
+    tested = save(star_pairs(sets), "pairs")
+    met = tested.select("a").union(tested.select("b")).distinct()
     sets = save(sets.join(met, F.col("row") == F.col("a"), "left_semi"), "candidates")
-    links = save(confirmed(pairs, sets, percent), "links")
+    links = save(confirmed(tested, sets, percent), "links")
+    tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     roots = save(connected_components(links), "roots")
     members = sets.select("row", F.explode("bands").alias("bucket"))
     turn = 0
@@ -251,23 +265,24 @@ def linked_sets(sets: DataFrame, percent: int = 80) -> DataFrame:
         open_ = save(_with_component(members, roots), "open")
         if open_.isEmpty():
             return roots
-        # The same order in all buckets, so buckets choose the same centres and pairs coincide.
-        orders = [
-            F.min(F.struct(F.xxhash64("row", F.lit(turn * CENTRES + i)), "row", "component"))
-            for i in range(CENTRES)
-        ]
-        centres = open_.groupBy("bucket").agg(F.array_distinct(F.array(*orders)).alias("centres"))
-        joined = open_.join(centres, "bucket")
+        marked = save(_marked(open_, turn), "marked")
+        centres = marked.where("centre").select(
+            "bucket", F.col("row").alias("to"), F.col("component").alias("other")
+        )
         pairs = save(
-            joined.select("row", "component", F.explode("centres").alias("c"))
-            .where("c.component <> component")
-            .select(F.least("row", "c.row").alias("a"), F.greatest("row", "c.row").alias("b"))
-            .distinct(),
+            marked.join(centres, "bucket")
+            .where("component <> other")
+            .select(F.least("row", "to").alias("a"), F.greatest("row", "to").alias("b"))
+            .distinct()
+            .join(tested, ["a", "b"], "left_anti"),
             "pairs",
         )
-        links = save(links.union(confirmed(pairs, sets, percent)), "links")
-        roots = save(connected_components(links), "roots")
-        members = joined.where(~F.exists("centres", lambda c: c.row == F.col("row"))).select("row", "bucket")
+        found = save(confirmed(pairs, sets, percent), "links")
+        if not found.isEmpty():
+            links = links.union(found)
+            roots = save(connected_components(links), "roots")
+        tested = tested.union(pairs)
+        members = marked.where("not centre").select("row", "bucket")
         turn += 1
 
 

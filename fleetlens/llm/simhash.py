@@ -130,7 +130,9 @@ def _meet(table: pa.Table) -> pa.Table:
         first = np.concatenate([[True], point[1:] != point[:-1]])
         near = np.where(mark < few, fp, np.uint64(2**64 - 1))
         centre = np.minimum.reduceat(near, np.flatnonzero(first))[np.cumsum(first) - 1]
-        linked = (fp != centre) & (np.bitwise_count(fp ^ centre) <= RADIUS)
+        # Without a near member there is no centre, and nobody to link to.
+        starred = np.logical_or.reduceat(mark < few, np.flatnonzero(first))[np.cumsum(first) - 1]
+        linked = starred & (fp != centre) & (np.bitwise_count(fp ^ centre) <= RADIUS)
         a, b = forest(fp[linked].view(np.int64), centre[linked].view(np.int64))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 

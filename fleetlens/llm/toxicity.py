@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.llm.sampling import hash_limit
 from fleetlens.llm.storage import save
 
 #: Seed words of the grammar (fixed values); insults are mostly learned from labels.
@@ -270,8 +271,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, most: int = 40_000) -> Da
         F.col("doc_id").alias("_id")
     ).agg(F.max("toxic").cast("long").alias("toxic"))
     known = save(known, "labels")
-    share = min(1.0, most / max(1, known.count()))
-    taken = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    taken = known.where(F.xxhash64("_id") <= hash_limit(most, known.count()))
     # About ``most`` pairs of numbers: a bounded side.
     joined = docs.select("doc_id", "text").join(F.broadcast(taken), F.col("doc_id") == F.col("_id"))
     return save(joined.select("text", "toxic"), "labelled")
