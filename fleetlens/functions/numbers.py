@@ -6,6 +6,8 @@ from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 
 def as_col(value) -> Column:
     """A column for a name, a column or a plain number."""
@@ -68,9 +70,32 @@ def pages_to_mb_exact(pages: str, precision: int = 10, scale: int = 2) -> Column
     return ratio(pages, 128, precision, scale)
 
 
-def text_of(value) -> Column:
-    """String form of a number column."""
-    return as_col(value).cast("string")
+def elapsed_micros(start: str, end: str) -> Column:
+    """Microseconds from one timestamp (SQL text) to another of the same kind.
+
+    Zone-less timestamps are subtracted as they are, so the session zone and its daylight saving
+    play no part.
+    """
+    seconds = f"CAST(CAST({end} - {start} AS INTERVAL SECOND) AS DECIMAL(18, 6))"
+    return F.expr(f"CAST({seconds} * 1000000 AS BIGINT)")
+
+
+_EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
+def micros_of(column: str, kind: T.DataType) -> Column:
+    """A timestamp as microseconds since 1970; a zone-less one as if it were UTC."""
+    if isinstance(kind, T.TimestampNTZType):
+        return elapsed_micros(_EPOCH, f"`{column}`")
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
+def from_micros(column: str, kind: T.DataType) -> Column:
+    """The timestamp that :func:`micros_of` was given."""
+    if isinstance(kind, T.TimestampNTZType):
+        since = f"make_dt_interval(0, 0, 0, CAST(`{column}` AS DECIMAL(20, 0)) / 1000000)"
+        return F.expr(f"{_EPOCH} + {since}")
+    return F.timestamp_micros(column).cast(kind)
 
 
 def seconds_between(start, end) -> Column:

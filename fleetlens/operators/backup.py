@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.numbers import int_div, seconds_between
 from fleetlens.functions.text import concat_text, file_system_name
+from fleetlens.operators.distributed import all_of
 
 # Default folder and file name templates, file extensions and limits.
 DIRECTORY_STRUCTURE = (
@@ -108,6 +109,47 @@ def backup_type(
     )
 
 
+#: Which member of an availability group takes a backup, by kind and whether it is copy-only.
+#: ``preferred`` is the replica that the group's backup preference names.
+TAKEN_BY = {
+    ("FULL", False): "primary",
+    ("FULL", True): "preferred",
+    ("DIFF", False): "primary",
+    ("DIFF", True): "primary",
+    ("LOG", False): "preferred",
+    ("LOG", True): "primary",
+}
+
+
+def _backed_up_from(kind: str) -> Column:
+    """Whether there is what a backup of this kind continues."""
+    if kind == "FULL":
+        return F.lit(True)
+    if kind == "DIFF":
+        continued = F.col("differential_base_lsn").isNotNull()
+    else:
+        continued = F.col("recovery_model").isin(*LOGGED_MODELS) & F.col("last_log_backup_lsn").isNotNull()
+    # The master database is always backed up whole.
+    return continued & (F.col("database_name") != "master")
+
+
+def _taken_here(kind: str, copy_only: bool, override_preference: bool) -> Column:
+    """Whether this server is the one of its group that takes the backup; without a group it is."""
+    alone = F.col("availability_group").isNull()
+    if TAKEN_BY[kind, copy_only] == "primary":
+        return alone | F.coalesce(F.col("role") == "PRIMARY", F.lit(False))
+    if override_preference:
+        return F.lit(True)
+    return alone | F.coalesce("is_preferred_replica", F.lit(False))
+
+
+def _log_due(asof: Column, min_log_size_mb: float, min_log_age_s: int) -> Column:
+    """Enough log since the last backup, or long enough ago; unknown counts as due."""
+    large = F.col("log_since_last_log_backup_mb") >= min_log_size_mb
+    old = seconds_between("log_backup_time", asof) >= min_log_age_s
+    return F.coalesce(large, F.lit(True)) | F.coalesce(old, F.lit(True))
+
+
 def backup_eligible(
     dbs: DataFrame,
     asof: Column,
@@ -121,47 +163,34 @@ def backup_eligible(
 ) -> DataFrame:
     """Databases with ``eligible``: whether the planned ``backup_type`` can and should be taken.
 
-    Every rule forbids a combination; a rule whose inputs are unknown (NULL) makes the database
-    ineligible, exactly as a filter would.
+    A database must be open to a backup, have what the kind of backup continues, be on the server
+    that takes it (:data:`TAKEN_BY`), and be wanted by the run.  An answer that depends on something
+    unknown (NULL) is no.
     """
-    kind, group = F.col("backup_type"), F.col("availability_group").isNotNull()
-    role, preferred = F.col("role"), F.col("is_preferred_replica")
-    full, diff, log = kind == "FULL", kind == "DIFF", kind == "LOG"
-    not_primary = (role != "PRIMARY") | role.isNull()
-    not_preferred = ~preferred | preferred.isNull()
-    keeps_preference = F.lit(not override_preference)
-    forbidden = [
-        (F.col("user_access_desc") == "SINGLE_USER") & ~F.col("is_accessible"),
-        F.col("is_in_standby"),
-        log & (F.col("recovery_model") == "SIMPLE"),
-        log & F.col("recovery_model").isin(*LOGGED_MODELS) & F.col("last_log_backup_lsn").isNull(),
-        diff & F.col("differential_base_lsn").isNull(),
-        kind.isin("DIFF", "LOG") & (F.col("database_name") == "master"),
-        group & full & F.lit(not copy_only) & not_primary,
-        group & full & F.lit(copy_only) & not_preferred & keeps_preference,
-        group & diff & not_primary,
-        group & log & F.lit(not copy_only) & not_preferred & keeps_preference,
-        group & log & F.lit(copy_only) & not_primary,
-        (F.col("log_shipping_role") == "PRIMARY")
-        & F.col("log_shipping_role").isNotNull()
-        & log
-        & F.lit(exclude_log_shipped),
-        F.col("is_read_only") & F.lit(updateability == "READ_WRITE"),
-        ~F.col("is_read_only") & F.lit(updateability == "READ_ONLY"),
-        log & F.lit(updateability == "READ_ONLY") & F.lit(software == "DATA_DOMAIN_BOOST"),
-    ]
+    is_open = (
+        (F.col("state_desc") == "ONLINE")
+        & (F.col("is_accessible") | (F.col("user_access_desc") != "SINGLE_USER"))
+        & ~F.col("is_in_standby")
+    )
+    wanted = {"READ_WRITE": [~F.col("is_read_only")], "READ_ONLY": [F.col("is_read_only")]}
+    common = [is_open, *wanted.get(updateability, [])]
+    log = []
+    if exclude_log_shipped:
+        log.append(~F.coalesce(F.col("log_shipping_role") == "PRIMARY", F.lit(False)))
     if min_log_size_mb is not None and min_log_age_s is not None:
-        size, last = F.col("log_since_last_log_backup_mb"), F.col("log_backup_time")
-        due = (
-            (size >= min_log_size_mb)
-            | size.isNull()
-            | (seconds_between(last, asof) >= min_log_age_s)
-            | last.isNull()
+        log.append(_log_due(asof, min_log_size_mb, min_log_age_s))
+    if updateability == "READ_ONLY" and software == "DATA_DOMAIN_BOOST":
+        log.append(F.lit(False))  # this software takes no logs of read-only databases
+
+    verdict = F.lit(False)
+    for kind in ("FULL", "DIFF", "LOG"):
+        possible = all_of(
+            *common,
+            _backed_up_from(kind),
+            _taken_here(kind, copy_only, override_preference),
+            *(log if kind == "LOG" else []),
         )
-        forbidden.append(log & ~due)
-    verdict = F.col("state_desc") == "ONLINE"
-    for rule in forbidden:
-        verdict = verdict & ~rule
+        verdict = F.when(F.col("backup_type") == kind, possible).otherwise(verdict)
     return dbs.withColumn("eligible", F.coalesce(verdict, F.lit(False)))
 
 
@@ -225,24 +254,29 @@ def backup_file_count(
 def stripe_files(plan: DataFrame, directories: Sequence[str] | Column) -> DataFrame:
     """One row per backup file: ``file_number``, ``directory_number``, ``directory_path``.
 
-    The files are spread over the directories in equal, consecutive runs.  A file beyond them has no
-    directory.  ``directories`` is a list, or an array column.
+    The files are spread over the directories in equal, consecutive runs.  A number of files that
+    the directories do not divide cannot be spread so; such a plan is refused with an error when its
+    rows are made, and nothing is written to half of the folders.  ``directories`` is a list, or an
+    array column.
     """
     paths = directories
     if not isinstance(paths, Column):
         paths = F.array(*[F.lit(d) for d in directories])
-    run = int_div("number_of_files", F.size(paths))
-    number = int_div(F.col("file_number") - 1, run) + 1
+    files, folders = F.col("number_of_files"), F.size("_paths")
+    uneven = F.raise_error(
+        F.concat(files.cast("string"), F.lit(" files cannot be spread evenly over "),
+                 folders.cast("string"), F.lit(" directories"))
+    ).cast("int")
+    even = (folders > 0) & (files % folders == 0)
+    run = F.when(even, int_div(files, folders)).otherwise(uneven)
+    number = (int_div(F.col("file_number") - 1, F.col("_run")) + 1).cast("int")
     return (
         plan.withColumn("_paths", paths)
-        .withColumn("file_number", F.explode(F.expr("sequence(1, number_of_files)")))
-        .withColumn("directory_number", number.cast("int"))
+        .withColumn("_run", run)
+        .withColumn("file_number", F.explode(F.expr("sequence(1, _run * size(_paths))")))
+        .withColumn("directory_number", number)
         .withColumn("directory_path", F.get("_paths", F.col("directory_number") - 1))
-        .withColumn(
-            "directory_number",
-            F.when(F.col("directory_number") <= F.size("_paths"), F.col("directory_number")),
-        )
-        .drop("_paths")
+        .drop("_paths", "_run")
     )
 
 

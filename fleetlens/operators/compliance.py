@@ -87,13 +87,6 @@ def missing_on_replica(
     only missing (database, replica) pairs become rows.
     """
     k = list(keys)
-    if not k:
-        # One group only: give it a constant key, so the join below stays an equality join.
-        one = {"_group": F.lit(0)}
-        return missing_on_replica(
-            databases.withColumns(one), replicas.withColumns(one),
-            replica_databases.withColumns(one), ["_group"],
-        ).drop("_group")
     secondaries = replicas.filter("role = 'Secondary'").groupBy(*k).agg(
         F.collect_set(F.struct("name", "seeding_mode", "version_major")).alias("_secondaries")
     )
@@ -101,7 +94,12 @@ def missing_on_replica(
         F.collect_set("replica").alias("_present")
     )
     normal = databases.filter("status = 'Normal'").select(*k, "database_name", "recovery_model")
-    joined = normal.join(secondaries, k).join(present, [*k, "database_name"], "left")
+    if k:
+        expected = normal.join(secondaries, k)
+    else:
+        # One group: its few replicas are one value, so no row needs a join to meet them.
+        expected = normal.withColumn("_secondaries", secondaries.scalar())
+    joined = expected.join(present, [*k, "database_name"], "left")
     absent = F.filter(
         "_secondaries",
         lambda s: ~F.coalesce(F.array_contains(F.col("_present"), s["name"]), F.lit(False)),
@@ -297,6 +295,7 @@ def permission_statements(
             *k, statement.alias("statement"), F.lit(order).cast("decimal(4,1)").alias("result_order")
         )
 
+    # The headings of the sections and their places.
     header_texts = [
         ("1.0", F.lit("-- [-- DB CONTEXT --] --")),
         ("1.1", concat_text("USE ", quote_name("database_name"))),

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.functions.numbers import int_div, ratio
-from fleetlens.operators.distributed import BROADCAST_ROWS
+from fleetlens.functions.numbers import elapsed_micros, int_div, ratio
+from fleetlens.operators.distributed import BROADCAST_ROWS, all_of
 
 IO_COUNTER_COLUMNS = [
     "num_of_reads",
@@ -90,6 +90,19 @@ def pair_delta(pair: DataFrame, on: Sequence[str], counters: Sequence[str]) -> D
     )
 
 
+def readings(df: DataFrame, keys: Sequence[str], ts: str, counters: Sequence[str]) -> DataFrame:
+    """One row per key and time with the greatest known value of each counter.
+
+    So repeated and contradicting rows of one instant count the same in any order of arrival.  Rows
+    without a time cannot be ordered and are left out.
+    """
+    return (
+        df.filter(F.col(ts).isNotNull())
+        .groupBy(*keys, ts)
+        .agg(*[F.max(c).alias(c) for c in counters])
+    )
+
+
 def successive_delta(
     df: DataFrame,
     keys: Sequence[str],
@@ -97,43 +110,55 @@ def successive_delta(
     counters: Sequence[str],
     slice_unit: str | None = "day",
 ) -> DataFrame:
-    """Delta of every snapshot to the previous one of the same key.
+    """Delta of every snapshot to the last known values of the same key.
 
-    The first snapshot of a key emits nothing.  When any counter went down the counters were reset:
-    all deltas are NULL and ``reset`` is true.
+    The first snapshot of a key emits nothing.  Each counter is compared with the last value that
+    was read of it: a NULL reading has a NULL delta and is skipped by the next one, so it hides no
+    reset.  When any counter went down the counters were reset: all deltas are NULL and ``reset`` is
+    true.  Several rows of one key and time are one snapshot (:func:`readings`); rows without a
+    time are left out.
 
     A key is scanned in time slices (``slice_unit``: a ``date_trunc`` unit), so a key with a very
-    long history is not one task; the last row of each slice is carried into the next one.
-    ``slice_unit=None`` uses one window per key.
+    long history is not one task.  What a slice knows at its end, the last value per counter, is an
+    aggregate; the known values are carried over the slices of a key and into each of them.
+    ``slice_unit=None`` uses one slice per key.
     """
     keys, counters = list(keys), list(counters)
-    state = F.struct(F.col(ts).alias("t"), *[F.col(c).alias(f"c{i}")
-                                              for i, c in enumerate(counters)])
-    if slice_unit is None:
-        rows = df.withColumn("_prev", F.lag(state).over(Window.partitionBy(*keys).orderBy(ts)))
-    else:
-        sliced = df.withColumn("_slice", F.date_trunc(slice_unit, F.col(ts)))
-        last = sliced.groupBy(*keys, "_slice").agg(F.max(state).alias("_last"))
-        # One row per key and slice: the history of a key in slices is short.
-        carry = last.select(
-            *keys,
-            "_slice",
-            F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_carry"),
-        )
-        inside = Window.partitionBy(*keys, "_slice").orderBy(ts)
-        rows = (
-            sliced.withColumn("_inner", F.lag(state).over(inside))
-            .join(carry, [*keys, "_slice"])
-            .withColumn("_prev", F.coalesce("_inner", "_carry"))
-        )
-    change = [F.col(c) - F.col("_prev")[f"c{i}"] for i, c in enumerate(counters)]
-    reset = F.least(F.lit(0), *change) < 0
+    known = [f"_known_{i}" for i in range(len(counters))]
+    part = F.lit(0) if slice_unit is None else F.date_trunc(slice_unit, F.col(ts))
+    in_slice = [*keys, "_slice"]
+    # Dealt by slice once: the readings, the windows and the ends of the slices use it.
+    dealt = df.select(*keys, ts, *counters, part.alias("_slice")).repartition(*in_slice)
+    rows = readings(dealt, in_slice, ts, counters)
+    ends = rows.groupBy(*in_slice).agg(
+        F.max(ts).alias("_time"),
+        *[
+            F.max(F.when(F.col(c).isNotNull(), F.struct(ts, F.col(c).alias("value"))))["value"].alias(k)
+            for c, k in zip(counters, known)
+        ],
+    )
+    # One row per key and slice: the history of a key in slices is short.
+    earlier = _before(keys, "_slice")
+    carry = ends.select(
+        *[F.col(c).alias(f"_on_{i}") for i, c in enumerate(in_slice)],
+        F.lag("_time").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_carry_time"),
+        *[F.last(k, ignorenulls=True).over(earlier).alias(f"_carry{k}") for k in known],
+    )
+    inside = _before(in_slice, ts)
+    same = all_of(*[F.col(c).eqNullSafe(F.col(f"_on_{i}")) for i, c in enumerate(in_slice)])
+    joined = (
+        rows.withColumns({k: F.last(c, ignorenulls=True).over(inside) for c, k in zip(counters, known)})
+        .withColumn("_time", F.last(ts).over(inside))
+        .join(carry, same)
+        .withColumn("_previous", F.coalesce("_time", "_carry_time"))
+    )
+    change = [F.col(c) - F.coalesce(k, f"_carry{k}") for c, k in zip(counters, known)]
     return (
-        rows.filter(F.col("_prev").isNotNull())
-        .withColumn("reset", reset)
+        joined.filter(F.col("_previous").isNotNull())
+        .withColumn("reset", F.least(F.lit(0), *change) < 0)
         .select(
             *keys,
-            F.col("_prev")["t"].alias(f"previous_{ts}"),
+            F.col("_previous").alias(f"previous_{ts}"),
             ts,
             *[F.when(~F.col("reset"), d).alias(c) for d, c in zip(change, counters)],
             "reset",
@@ -141,6 +166,11 @@ def successive_delta(
     )
 
 
+def _before(keys: Sequence[str], order: str):
+    """The rows of the same keys that come before the current one."""
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def _thousandths(total: str, count: str) -> Column:
     return ratio(total, count, 12, 3, on_zero=0)
 
@@ -290,6 +320,12 @@ def io_latency_capture(
     )
 
 
+def _instant(df: DataFrame, column: str) -> Column:
+    """A timestamp column as it is; anything else as a timestamp."""
+    kind = df.schema[column].dataType
+    return F.col(column) if isinstance(kind, T.TimestampNTZType) else F.col(column).cast("timestamp")
+
+
 def perf_counter_rates(
     before: DataFrame,
     after: DataFrame,
@@ -309,10 +345,9 @@ def perf_counter_rates(
     names = F.broadcast(listed) if len(wanted) <= BROADCAST_ROWS else listed
     identity = [*keys, "object_name", "counter_name", "instance_name"]
     old = before.select(*identity, F.col("cntr_value").alias("_old"),
-                        F.col("collected_time").alias("_since"))
-    elapsed_ms = F.unix_millis(F.col("collected_time").cast("timestamp")) - F.unix_millis(
-        F.col("_since").cast("timestamp")
-    )
+                        _instant(before, "collected_time").alias("_since"))
+    after = after.withColumn("_until", _instant(after, "collected_time"))
+    elapsed_ms = int_div(elapsed_micros("_since", "_until"), 1000)
     value = F.when(
         F.col("cntr_type") == RATE_COUNTER,
         int_div((F.col("cntr_value") - F.col("_old")) * 1000, elapsed_ms),

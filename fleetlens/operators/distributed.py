@@ -6,14 +6,23 @@ one task.  The functions here give the same numbers without that task.
 
 from __future__ import annotations
 
+import json
 import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from fleetlens.functions.numbers import micros_of
 
 #: Largest lookup that may be broadcast (rows); larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Rows of a slice of an ordered scan, about, and how many slices there may be before they grow.
+SLICE_ROWS = 200_000
+MOST_SLICES = 4096
+#: A column in ascending order, or a column and whether it descends.
+Order = str | tuple[str, bool]
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -59,77 +68,129 @@ def _exclusive(order: Sequence[Column | str], keys: Sequence[str]) -> Window:
     )
 
 
+def _comparable(df: DataFrame, name: str) -> Column:
+    """A column in a form that a literal can hold exactly, in the same order."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return micros_of(name, kind)
+    return F.unix_date(name) if isinstance(kind, T.DateType) else F.col(name)
+
+
+def _precedes(left: Column, right: Column, descending: Sequence[bool]) -> Column:
+    """Whether the struct ``left`` comes before ``right``: NULL first ascending, last descending."""
+    result = F.lit(False)
+    for i, down in reversed(list(enumerate(descending))):
+        x, y = left[f"f{i}"], right[f"f{i}"]
+        low, high = (y, x) if down else (x, y)
+        less = F.coalesce(low < high, low.isNull() & high.isNotNull())
+        result = less | (x.eqNullSafe(y) & result)
+    return result
+
+
+def slice_number(
+    df: DataFrame, order: Sequence[Order], slice_rows: int = SLICE_ROWS
+) -> Column | None:
+    """The number of the slice a row is in, when ``df`` is cut in ``order`` into slices of about
+    ``slice_rows`` rows; None where one slice is enough.
+
+    The bounds are those rows whose hash is divisible by the size of a slice, so they depend on the
+    content alone.  They are literals: a recomputed task cuts where the lost one did.  There are
+    about ``MOST_SLICES`` of them at most; beyond, slices grow.
+    """
+    fields = [(c, False) if isinstance(c, str) else c for c in order]
+    narrow = df.select(*[_comparable(df, c).alias(f"f{i}") for i, (c, _) in enumerate(fields)])
+    rows = narrow.count()
+    if rows <= slice_rows:
+        return None
+    every = max(slice_rows, rows // MOST_SLICES)
+    chosen = narrow.filter(F.pmod(F.xxhash64(*narrow.columns), F.lit(every)) == 0).distinct()
+    down = [d for _, d in fields]
+    found = chosen.orderBy(*[F.desc(c) if d else F.asc(c) for c, d in zip(narrow.columns, down)])
+    listed = [r.asDict() for r in found.collect()]
+    if not listed:
+        return None
+    text = json.dumps(listed, default=str)
+    bounds = F.from_json(F.lit(text), T.ArrayType(narrow.schema))
+    here = F.struct(*[_comparable(df, c).alias(f"f{i}") for i, (c, _) in enumerate(fields)])
+    steps = [1 << i for i in reversed(range(len(listed).bit_length()))]
+
+    def further(at: Column, step: Column) -> Column:
+        beyond = (at + step <= len(listed)) & ~_precedes(here, F.get(bounds, at + step - 1), down)
+        return F.when(beyond, at + step).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[Column],
+    order: Sequence[Order],
     before: Mapping[str, str] | None = None,
     totals: Mapping[str, str] | None = None,
     position: str | None = None,
     bounded: bool = False,
+    slice_rows: int = SLICE_ROWS,
+    until: Column | None = None,
 ) -> DataFrame:
     """Row positions and running sums per key, in a total order.
 
-    ``order`` must be unique within a key.  ``position`` names a 1-based row number; ``before`` maps
-    output names to columns summed over the rows *before* the current one; ``totals`` maps output
-    names to columns summed over the whole key.
+    ``order`` (names, or pairs of a name and whether it descends) must be unique within a key.
+    ``position`` names a 1-based row number; ``before`` maps output names to columns summed over the
+    rows *before* the current one; ``totals`` maps output names to columns summed over the whole key.
+    ``until`` is a condition on the ``before`` and ``totals`` columns that, once false, stays false
+    for the rest of a key: slices behind that place are left out unsorted.
 
     ``bounded=True`` states that one key's rows fit one task by construction of the data (for
-    example the wait types of one server) and uses a plain window.  Otherwise the rows are range
-    partitioned by (keys, order), so even a single key is cut into many slices of similar size;
-    the slices are frozen by a checkpoint (a recomputation could cut elsewhere), each slice is
-    scanned on its own, and the small table of slice sums supplies the offsets.
+    example the wait types of one server) and uses a plain window, as is done for a table of one
+    slice.  Otherwise the rows are cut into slices (:func:`slice_number`), so even a single key is
+    spread over many tasks; the small table of slice sums supplies the offsets, and each slice is
+    scanned on its own.  Nothing is written: the slices can be recomputed.
     """
     before, totals = dict(before or {}), dict(totals or {})
     keys = list(keys)
-    if bounded:
+    sort = [F.asc(c) if isinstance(c, str) else (F.desc(c[0]) if c[1] else F.asc(c[0])) for c in order]
+    number = None if bounded else slice_number(df, [*keys, *order], slice_rows)
+    if number is None:
         per_key = Window.partitionBy(*keys)
-        columns = {n: F.coalesce(F.sum(c).over(_exclusive(order, keys)), F.lit(0))
+        columns = {n: F.coalesce(F.sum(c).over(_exclusive(sort, keys)), F.lit(0))
                    for n, c in before.items()}
         columns |= {n: F.sum(c).over(per_key) for n, c in totals.items()}
         if position:
-            columns[position] = F.row_number().over(per_key.orderBy(*order)).cast("bigint")
+            columns[position] = F.row_number().over(per_key.orderBy(*sort)).cast("bigint")
         return df.withColumns(columns)
 
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
-    frozen = ranged.withColumn("_slice", F.spark_partition_id()).checkpoint()
-
+    sliced = df.withColumn("_slice", number)
     summed = sorted(set(before.values()) | set(totals.values()))
     sums = [F.sum(c).alias(f"_sum_{i}") for i, c in enumerate(summed)]
-    slices = frozen.groupBy(*keys, "_slice").agg(F.count("*").alias("_rows"), *sums)
-    # One row per key and slice; a key spans at most as many slices as there are partitions.
+    slices = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_rows"), *sums)
+    # One row per key and slice; a key spans at most as many slices as there are bounds.
     earlier = _exclusive(["_slice"], keys)
     index = {c: f"_sum_{i}" for i, c in enumerate(summed)}
     offsets = slices.select(
         *keys,
         "_slice",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_row_offset"),
-        *[
-            F.coalesce(F.sum(index[c]).over(earlier), F.lit(0)).alias(f"_offset_{n}")
-            for n, c in before.items()
-        ],
-        *[
-            F.sum(index[c]).over(Window.partitionBy(*keys)).alias(f"_total_{n}")
-            for n, c in totals.items()
-        ],
+        *[F.coalesce(F.sum(index[c]).over(earlier), F.lit(0)).alias(n) for n, c in before.items()],
+        *[F.sum(index[c]).over(Window.partitionBy(*keys)).alias(n) for n, c in totals.items()],
     )
+    if until is not None:
+        offsets = offsets.filter(until)
     in_slice = [*keys, "_slice"]
+    added = {n: f"_offset_{n}" for n in [*before, *totals]}
+    other = offsets.withColumnsRenamed({c: f"_o{c}" for c in in_slice} | added)
+    joined = sliced.join(other, all_of(*[F.col(c).eqNullSafe(F.col(f"_o{c}")) for c in in_slice]))
     local = {
-        f"_before_{n}": F.coalesce(F.sum(c).over(_exclusive(order, in_slice)), F.lit(0))
+        f"_before_{n}": F.coalesce(F.sum(c).over(_exclusive(sort, in_slice)), F.lit(0))
         for n, c in before.items()
     }
     if position:
-        local["_local"] = F.row_number().over(Window.partitionBy(*in_slice).orderBy(*order))
-    scanned = frozen.withColumns(local)
-    other = offsets.withColumnsRenamed({c: f"_o{c}" for c in in_slice})
-    joined = scanned.join(other, all_of(*[F.col(c).eqNullSafe(F.col(f"_o{c}")) for c in in_slice]))
+        local["_local"] = F.row_number().over(Window.partitionBy(*in_slice).orderBy(*sort))
     out = [F.col(c) for c in df.columns]
     out += [(F.col(f"_offset_{n}") + F.col(f"_before_{n}")).alias(n) for n in before]
-    out += [F.col(f"_total_{n}").alias(n) for n in totals]
+    out += [F.col(f"_offset_{n}").alias(n) for n in totals]
     if position:
         out.append((F.col("_row_offset") + F.col("_local")).alias(position))
-    return joined.select(*out)
+    return joined.withColumns(local).select(*out)
 
 
 def top_n(df: DataFrame, n: int, order: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:

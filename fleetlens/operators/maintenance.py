@@ -317,16 +317,16 @@ def order_targets(
     ``bounded`` as in :func:`~fleetlens.operators.distributed.ordered_scan`.
     """
     order = [
-        F.desc("_paused"),
-        F.asc("start_position"),
-        F.asc("schema_name"),
-        F.asc("object_name"),
-        F.asc("_no_index"),
-        F.asc("index_type"),
-        F.asc("index_name"),
-        F.asc("statistics_name"),
-        F.asc("partition_number"),
-        F.asc("object_id"),
+        ("_paused", True),
+        "start_position",
+        "schema_name",
+        "object_name",
+        "_no_index",
+        "index_type",
+        "index_name",
+        "statistics_name",
+        "partition_number",
+        "object_id",
     ]
     ready = targets.filter("selected").withColumns(
         {

@@ -261,12 +261,12 @@ def order_items(
     ``bounded`` as in :func:`~fleetlens.operators.distributed.ordered_scan`.
     """
     if mode is None:
-        order = [F.asc("start_position"), F.asc("name")]
+        order = ["start_position", "name"]
     else:
         column, descending = ORDER_MODES[mode]
-        order = [F.desc(column) if descending else F.asc(column)]
+        order = [(column, descending)]
         if column != "name":
-            order.append(F.asc("name"))
+            order.append("name")
     return ordered_scan(
         items.filter("selected"),
         keys,

@@ -85,6 +85,11 @@ def sparse_dates(
     )
 
 
+def _hashed_unit(*parts) -> Column:
+    """A number in [0, 1) from the hash of the parts; the same on every run."""
+    return F.call_function("shiftrightunsigned", F.xxhash64(*parts), F.lit(11)) / F.lit(2.0**53)
+
+
 def sparse_series(
     df: DataFrame,
     id_col: str,
@@ -93,20 +98,56 @@ def sparse_series(
     start: str = SERIES_START,
     seed: int = 0,
 ) -> DataFrame:
-    """Random transactions on the sparse days of every id, numbered by date.
-
-    Quantities are 1 to 100, costs up to twice the list price.  ``transaction_id`` runs without gaps
-    over all rows and is assigned in range slices, not in one task.
+    """Random transactions on the sparse days of every id, numbered by date, then id.
+
+    Quantities are 1 to 100, costs up to twice the list price; both are hashes of id and day, so
+    reruns agree.  ``transaction_id`` runs without gaps over all rows.  It is counted, not sorted:
+    which groups are active on a day is known from the calendar, so the rows of all days before
+    follow from the sizes of the ``LARGEST_GROUP`` groups, and the rows of the same day before an id
+    from how many ids of each group come before it.  Only the ids are put in order; each row then
+    gets its number where it is made.
     """
-    dated = sparse_dates(
-        df.select(id_col, price_col), id_col, largest_divisor(F.col(id_col)), days, start
+    groups = range(1, LARGEST_GROUP + 1)
+    one = df.select(id_col, price_col).withColumn("_group", largest_divisor(F.col(id_col)))
+    flags = {f"_is_{g}": (F.col("_group") == g).cast("bigint") for g in groups}
+    ids = ordered_scan(
+        one.withColumns(flags), [], [id_col], before={f"_before_{g}": f"_is_{g}" for g in groups}
     )
-    quantity = (F.floor(F.rand(seed) * 100) + 1).cast("int")
-    drawn = dated.withColumn("quantity", quantity).withColumn(
-        "actual_cost",
-        (F.col(price_col) * F.col("quantity") * F.rand(seed + 1) * 2).cast("decimal(19,4)"),
+    sizes = {r["_group"]: r["count"] for r in one.groupBy("_group").count().collect()}
+    # A row per day of the calendar: the groups that are active on it.
+    calendar = one.sparkSession.range(days).select(
+        "id", *[(ntile_of(F.col("id") + 1, days, F.lit(g)) % 2 == 1).alias(f"g{g}") for g in groups]
     )
-    numbered = ordered_scan(
-        drawn, [], [F.asc("transaction_date"), F.asc(id_col)], position="transaction_id"
+    active = [[g for g in groups if r[f"g{g}"]] for r in calendar.orderBy("id").collect()]
+    offset, offsets = 0, []
+    for on in active:
+        offsets.append(offset)
+        offset += sum(sizes.get(g, 0) for g in on)
+    masks = [sum(1 << g for g in on) for on in active]
+    today = F.get(_literal_longs(masks), F.col("_day"))
+    earlier_days = F.get(_literal_longs(offsets), F.col("_day"))
+
+    def is_on(g: int | Column) -> Column:
+        return F.call_function("bit_get", F.col("_today"), g if isinstance(g, Column) else F.lit(g)) == 1
+
+    dated = (
+        ids.drop(*flags)
+        .withColumn("_day", F.explode(F.sequence(F.lit(0), F.lit(days - 1))))
+        .withColumn("_today", today)
+        .filter(is_on(F.col("_group")))
     )
-    return numbered.select("transaction_id", id_col, "transaction_date", "quantity", "actual_cost")
+    same_day = sum((F.when(is_on(g), F.col(f"_before_{g}")).otherwise(0) for g in groups), F.lit(0))
+    quantity = (F.pmod(F.xxhash64(id_col, "_day", F.lit(seed)), F.lit(100)) + 1).cast("int")
+    share = _hashed_unit(id_col, "_day", F.lit(seed + 1))
+    return dated.withColumn("quantity", quantity).select(
+        (earlier_days + same_day + 1).cast("bigint").alias("transaction_id"),
+        id_col,
+        F.date_add(F.lit(start).cast("date"), F.col("_day")).alias("transaction_date"),
+        "quantity",
+        (F.col(price_col) * F.col("quantity") * share * 2).cast("decimal(19,4)").alias("actual_cost"),
+    )
+
+
+def _literal_longs(values: list[int]) -> Column:
+    """A literal array, from one text."""
+    return F.from_json(F.lit(str(values)), "array<bigint>")

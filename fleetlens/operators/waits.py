@@ -69,20 +69,21 @@ def pareto(
 
     A row is kept while the share of the rows *before* it is below the threshold, so the row that
     crosses it is kept.  Equal weights are ranked by name.  ``name`` must be unique per key and
-    ``weight`` an integer.  Adds ``percentage`` and ``row_num``.  ``bounded`` as in
+    ``weight`` a non-negative integer.  Only the slices of weights that hold kept rows are sorted.  Adds ``percentage`` and ``row_num``.  ``bounded`` as in
     :func:`~fleetlens.operators.distributed.ordered_scan`.
     """
+    wide = "decimal(38,0)"
+    kept = F.col("_heavier").cast(wide) * 100 < F.col("_total").cast(wide) * threshold
     ranked = ordered_scan(
         df,
         keys,
-        [F.desc(weight), F.asc(name)],
+        [(weight, True), name],
         before={"_heavier": weight},
         totals={"_total": weight},
         position="row_num",
         bounded=bounded,
+        until=kept,
     )
-    wide = "decimal(38,0)"
-    kept = F.col("_heavier").cast(wide) * 100 < F.col("_total").cast(wide) * threshold
     return (
         ranked.filter(kept)
         .withColumn("percentage", ratio(weight, "_total", 5, 2, factor=100))

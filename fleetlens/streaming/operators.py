@@ -1,57 +1,188 @@
-"""Keyed-state streaming operators.
+"""Keyed streaming operators that work in event-time order, whatever order the rows arrive in.
 
-State is one row per key.  A micro-batch hands each key's new rows to one task, so bound the batch
-(``maxFilesPerTrigger``, ``maxBytesPerTrigger`` or ``maxOffsetsPerTrigger``); a key has one row per
-snapshot, which keeps its share of a batch small.
+A row waits in the state of its key until the watermark has passed its time; then no earlier row
+can come any more, and all rows that are due leave in time order.  So the result does not depend on
+how the input is cut into files and batches, and equals that of the batch operator over the same
+rows.  Rows behind the watermark are late and are dropped; the last rows of a stream stay until
+something newer arrives.  A source that falls silent can send heartbeats: rows with a time and a
+flag (``beat``) that only move the watermark.
+
+State is kept per key in RocksDB: new rows are appended without reading those that wait.  Call
+:func:`use_ordered_state` before such a stream starts.
 """
 
 from __future__ import annotations
 
 import operator
 from collections.abc import Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from fleetlens.functions.numbers import from_micros, micros_of
+from fleetlens.operators.alerts import greedy_thinning
 from fleetlens.operators.events import login_failures, shred_events
 
 _MICROS_PER_MS = 1000
 _OPERATORS = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le,
               "=": operator.eq}
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _with_micros(stream: DataFrame, ts: str, watermark: str | None) -> DataFrame:
-    """Event time as a watermarked timestamp and as microseconds (exact in pandas)."""
-    timed = stream.withColumn("_event_time", F.col(ts).cast("timestamp"))
-    if watermark is not None:
-        timed = timed.withWatermark("_event_time", watermark)
-    return timed.withColumn("_us", F.unix_micros("_event_time"))
+def use_ordered_state(spark: SparkSession) -> None:
+    """Let the session keep streaming state in RocksDB, as lists and timers need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
 
 
-def _key_fields(stream: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
-    return [T.StructField(k, stream.schema[k].dataType) for k in keys]
+class InTimeOrder(StatefulProcessor):
+    """Rows ``(us, ...)`` of a key, kept until the watermark passes them.
+
+    ``release`` gets the rows that are due as a frame (unordered, with everything up to the
+    watermark), and the carried value of the key; it returns the rows to emit and the new value.
+    """
+
+    def __init__(self, waiting: str, carried: str, silence_ms: int | None = None) -> None:
+        self._schemas = waiting, carried
+        self._names = [field.split()[0] for field in waiting.split(", ")]
+        self._silence_ms = silence_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._waiting = handle.getListState("waiting", self._schemas[0])
+        self._carried = handle.getValueState("carried", self._schemas[1])
+        self._wake = handle.getValueState("wake", "ms long")
+
+    def release(self, key: tuple, rows: pd.DataFrame, carried: tuple | None):
+        raise NotImplementedError
 
+    def _wake_at(self, ms: int, now: int | None) -> None:
+        """One timer per key: the earliest."""
+        if now is not None:
+            if now <= ms:
+                return
+            self._handle.deleteTimer(now)
+        self._handle.registerTimer(ms)
+        self._wake.update((ms,))
 
-def _from_micros(column: str, like: T.DataType):
-    return F.timestamp_micros(column).cast(like)
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * _MICROS_PER_MS
+        earliest = None
+        for batch in rows:
+            fresh = batch[batch["us"] > passed]
+            if len(fresh):
+                self._waiting.appendList(list(fresh[self._names].itertuples(index=False, name=None)))
+                first = int(fresh["us"].min())
+                earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            now = self._wake.get()
+            self._wake_at(-(-earliest // _MICROS_PER_MS), now[0] if now else None)
+        return iter(())
 
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        self._wake.clear()
+        rows = pd.DataFrame.from_records(list(self._waiting.get()), columns=self._names)
+        due = rows["us"] <= watermark * _MICROS_PER_MS
+        carried = self._carried.get()
+        out = None
+        if due.any():
+            self._waiting.clear()
+            left = rows[~due]
+            if len(left):
+                self._waiting.put(list(left.itertuples(index=False, name=None)))
+                self._wake_at(-(-int(left["us"].min()) // _MICROS_PER_MS), None)
+            out, carried = self.release(key, rows[due], carried)
+            self._carried.update(carried)
+        if due.all() and carried is not None and self._silence_ms is not None:
+            # carried[0] is the last time of the key.
+            forget = carried[0] // _MICROS_PER_MS + self._silence_ms
+            if forget < watermark:
+                self._carried.clear()
+            else:
+                self._wake_at(forget + 1, None)
+        if out is not None and len(out):
+            yield out
 
-def _in_order(batches: Iterator[pd.DataFrame], columns: Sequence[str]) -> np.ndarray:
-    """The new rows of a key as integers, by time: column 0 is the event time."""
-    rows = np.concatenate([b[list(columns)].to_numpy() for b in batches])
-    return rows[np.argsort(rows[:, 0], kind="stable")]
+    def close(self) -> None:
+        pass
 
 
-def _by_time(batches: Iterator[pd.DataFrame]) -> list[tuple[int, float]]:
-    """(event time, metric) of the new rows of a key, by time."""
-    pairs = []
-    for batch in batches:
-        pairs += zip(batch["_us"].tolist(), batch["_metric"].tolist())
-    return sorted(pairs, key=lambda p: p[0])
+def last_known(values: np.ndarray, missing: np.ndarray) -> np.ndarray:
+    """For every row and column, the last row up to it with a value, or -1."""
+    at = np.where(missing, -1, np.arange(len(values))[:, None])
+    return np.maximum.accumulate(at, axis=0)
+
+
+class _Deltas(InTimeOrder):
+    def __init__(self, keys: Sequence[str], counters: Sequence[str], silence_ms: int | None) -> None:
+        n = range(len(counters))
+        fields = ", ".join(["us long", *(f"c{i} long, n{i} boolean" for i in n)])
+        super().__init__(fields, fields, silence_ms)
+        self.keys, self.counters = list(keys), list(counters)
+
+    def release(self, key: tuple, rows: pd.DataFrame, carried: tuple | None):
+        n = range(len(self.counters))
+        us = rows["us"].to_numpy(np.int64)
+        values = np.stack([rows[f"c{i}"].to_numpy(np.int64) for i in n], axis=1)
+        missing = np.stack([rows[f"n{i}"].to_numpy(bool) for i in n], axis=1)
+        # Rows of one time are one reading, with the greatest value of each counter.
+        order = np.argsort(us, kind="stable")
+        us, values, missing = us[order], values[order], missing[order]
+        values = np.where(missing, np.iinfo(np.int64).min, values)
+        first = np.flatnonzero(np.diff(us, prepend=us[0] - 1))
+        us = us[first]
+        values = np.maximum.reduceat(values, first)
+        missing = np.logical_and.reduceat(missing, first)
+        if carried is not None:
+            us = np.concatenate([[carried[0]], us])
+            values = np.concatenate([[carried[1::2]], values]).astype(np.int64)
+            missing = np.concatenate([[carried[2::2]], missing]).astype(bool)
+        at = last_known(values, missing)
+        anew = np.zeros(len(us), bool)
+        if self._silence_ms is not None:
+            anew[1:] = np.diff(us) > self._silence_ms * _MICROS_PER_MS
+            since = np.maximum.accumulate(np.where(anew, np.arange(len(us)), 0))
+            at = np.where(at >= since[:, None], at, -1)
+        columns = np.arange(len(self.counters))
+        unknown = missing[1:] | (at[:-1] < 0)
+        change = np.where(unknown, 0, values[1:] - values[at[:-1], columns])
+        reset = (change < 0).any(axis=1)
+        out = dict(zip(self.keys, key)) | {"_previous_us": us[:-1], "_us": us[1:]}
+        for i, c in enumerate(self.counters):
+            out[c] = pd.arrays.IntegerArray(change[:, i].copy(), unknown[:, i] | reset)
+        names = [*self.keys, "_previous_us", "_us", *self.counters, "reset"]
+        frame = pd.DataFrame({**out, "reset": reset}, columns=names)[~anew[1:]]
+        known = [int(us[-1])]
+        for i in n:
+            never = bool(at[-1, i] < 0)
+            known += [0 if never else int(values[at[-1, i], i]), never]
+        return frame, tuple(known)
+
+
+def _timed(stream: DataFrame, ts: str, watermark: str) -> DataFrame:
+    """Event time as microseconds ``us``, and watermarked."""
+    us = micros_of(ts, stream.schema[ts].dataType)
+    return stream.withColumn("us", us).withColumn("_event_time", F.timestamp_micros("us")).withWatermark(
+        "_event_time", watermark
+    )
+
+
+def _with_time(beat: str | None, condition: Column | None = None) -> Column:
+    """The condition for rows that count.  It reads the event time, so that Spark does not move it
+    below the watermark, which all rows shall move."""
+    counts = condition if condition is not None else F.lit(True)
+    if beat is not None:
+        counts = counts & ~F.col(beat)
+    return F.when(F.col("_event_time").isNotNull(), counts)
+
+
+def _key_fields(stream: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
+    return [T.StructField(k, stream.schema[k].dataType) for k in keys]
 
 
 def stream_counter_delta(
@@ -59,45 +190,18 @@ def stream_counter_delta(
     keys: Sequence[str],
     ts: str,
     counters: Sequence[str],
-    watermark: str | None = None,
+    watermark: str,
     expire_after_ms: int | None = None,
+    beat: str | None = None,
 ) -> DataFrame:
-    """Delta of every arriving snapshot to the previous one of its key.
+    """Delta of every snapshot to the last known values of its key, in time order.
 
-    Same rules as :func:`~fleetlens.operators.counters.successive_delta`: the first snapshot of a
-    key emits nothing, and a counter that went down gives NULL deltas with ``reset``.  A snapshot
-    not newer than the kept one is dropped, as is one without a counter value.  ``expire_after_ms`` (with a watermark) forgets keys that
-    stay silent for so long.
+    The rows of :func:`~fleetlens.operators.counters.successive_delta`, each as soon as the
+    watermark has passed its time.  Rows that arrive behind the watermark are left out, as are rows
+    without a time and heartbeats (where ``beat`` is true).  With ``expire_after_ms`` a key that is
+    silent for longer starts anew: its state goes, and its next snapshot emits nothing.
     """
     keys, counters = list(keys), list(counters)
-    expiring = expire_after_ms is not None
-    if expiring and watermark is None:
-        raise ValueError("expire_after_ms needs a watermark")
-    columns = ["_us", *counters]
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = _in_order(batches, columns)
-        if state.exists:
-            kept = np.array([state.get], dtype=rows.dtype)
-            rows = np.concatenate([kept, rows[rows[:, 0] > kept[0, 0]]])
-        # Of equal times the first counts, as in a stream.
-        rows = rows[np.concatenate([[True], np.diff(rows[:, 0]) > 0])]
-        state.update(tuple(int(v) for v in rows[-1]))
-        if expiring:
-            wake = int(rows[-1, 0]) // _MICROS_PER_MS + expire_after_ms
-            state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
-        if len(rows) < 2:
-            return
-        change = np.diff(rows[:, 1:], axis=0)
-        reset = (change < 0).any(axis=1)
-        out = dict(zip(keys, key))
-        out |= {"_previous_us": rows[:-1, 0], "_us": rows[1:, 0]}
-        out |= {c: pd.arrays.IntegerArray(change[:, i].copy(), reset) for i, c in enumerate(counters)}
-        yield pd.DataFrame({**out, "reset": reset}, columns=names)
-
     long = T.LongType()
     result = T.StructType(
         [
@@ -108,34 +212,43 @@ def stream_counter_delta(
             T.StructField("reset", T.BooleanType()),
         ]
     )
-    names = result.fieldNames()
-    state_schema = T.StructType(
-        [T.StructField("us", long), *[T.StructField(f"c{i}", long) for i in range(len(counters))]]
-    )
-    timed = _with_micros(stream, ts, watermark)
-    carried = ["_event_time"] if watermark is not None else []
+    kind = stream.schema[ts].dataType
+    rows = _timed(stream, ts, watermark).filter(_with_time(beat))
+    values = []
+    for i, c in enumerate(counters):
+        value = F.col(c).cast("bigint")
+        values += [F.coalesce(value, F.lit(0)).alias(f"c{i}"), value.isNull().alias(f"n{i}")]
     deltas = (
-        timed.select(*keys, *carried, "_us", *[F.col(c).cast("bigint").alias(c) for c in counters])
-        .dropna(subset=["_us", *counters])
+        rows.select(*keys, "_event_time", "us", *values)
         .groupBy(*keys)
-        .applyInPandasWithState(
-            step,
-            result,
-            state_schema,
-            "append",
-            GroupStateTimeout.EventTimeTimeout if expiring else GroupStateTimeout.NoTimeout,
+        .transformWithStateInPandas(
+            _Deltas(keys, counters, expire_after_ms), result, "Append", "EventTime"
         )
     )
-    kind = stream.schema[ts].dataType
     return deltas.select(
         *keys,
-        _from_micros("_previous_us", kind).alias(f"previous_{ts}"),
-        _from_micros("_us", kind).alias(ts),
+        from_micros("_previous_us", kind).alias(f"previous_{ts}"),
+        from_micros("_us", kind).alias(ts),
         *counters,
         "reset",
     )
 
 
+class _Alerts(InTimeOrder):
+    def __init__(self, keys: Sequence[str], cooldown_us: int) -> None:
+        super().__init__("us long, value double", "last long")
+        self.keys, self.cooldown_us = list(keys), cooldown_us
+
+    def release(self, key: tuple, rows: pd.DataFrame, carried: tuple | None):
+        once = rows.groupby("us", sort=True)["value"].max()
+        us = once.index.to_numpy(np.int64)
+        start = np.iinfo(np.int64).min if carried is None else carried[0] + self.cooldown_us
+        chosen = greedy_thinning(us, self.cooldown_us, start)
+        out = dict(zip(self.keys, key)) | {"_us": us[chosen], "_metric": once.to_numpy()[chosen]}
+        last = (int(us[chosen[-1]]),) if len(chosen) else carried
+        return pd.DataFrame(out, columns=[*self.keys, "_us", "_metric"]), last
+
+
 def stream_threshold_alert(
     stream: DataFrame,
     keys: Sequence[str],
@@ -144,26 +257,16 @@ def stream_threshold_alert(
     op: str = ">",
     threshold: float = 50.0,
     cooldown_s: float = 10.0,
-    watermark: str | None = None,
+    *,
+    watermark: str,
+    beat: str | None = None,
 ) -> DataFrame:
     """Rows whose metric crosses the threshold, at most one per key and cooldown (event time).
 
-    A row older than the last alert of its key raises none.
+    The rows of :func:`~fleetlens.operators.alerts.threshold_alerts`, each as soon as the watermark
+    has passed its time.  Late rows and heartbeats raise none.
     """
     keys = list(keys)
-    cooldown_us = int(cooldown_s * 1_000_000)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        last = state.get[0] if state.exists else None
-        out = []
-        for us, value in _by_time(batches):
-            if last is None or us - last >= cooldown_us:
-                out.append((*key, us, value))
-                last = us
-        if out:
-            state.update((last,))
-            yield pd.DataFrame.from_records(out, columns=names)
-
     result = T.StructType(
         [
             *_key_fields(stream, keys),
@@ -171,26 +274,19 @@ def stream_threshold_alert(
             T.StructField("_metric", T.DoubleType()),
         ]
     )
-    names = result.fieldNames()
-    # Rows below the threshold never leave the JVM.
-    crossing = _with_micros(stream, ts, watermark).filter(
-        _OPERATORS[op](F.col(metric), F.lit(threshold))
-    )
-    carried = ["_event_time"] if watermark is not None else []
+    # Rows below the threshold never leave the JVM, but they move the watermark.
+    crosses = _OPERATORS[op](F.col(metric), F.lit(threshold))
+    crossing = _timed(stream, ts, watermark).filter(_with_time(beat, crosses))
     alerts = (
-        crossing.select(*keys, *carried, "_us", F.col(metric).cast("double").alias("_metric"))
+        crossing.select(*keys, "_event_time", "us", F.col(metric).cast("double").alias("value"))
         .groupBy(*keys)
-        .applyInPandasWithState(
-            step,
-            result,
-            T.StructType([T.StructField("last_us", T.LongType())]),
-            "append",
-            GroupStateTimeout.NoTimeout,
+        .transformWithStateInPandas(
+            _Alerts(keys, int(cooldown_s * 1_000_000)), result, "Append", "EventTime"
         )
     )
     return alerts.select(
         *keys,
-        _from_micros("_us", stream.schema[ts].dataType).alias(ts),
+        from_micros("_us", stream.schema[ts].dataType).alias(ts),
         F.col("_metric").alias(metric),
         F.lit(op).alias("op"),
         F.lit(float(threshold)).alias("threshold"),

@@ -90,28 +90,26 @@ for _kind in ("LOG", "DIFF"):
         return typed(spark, sf, kind).select("database_name", "base_is_snapshot", "backup_type")
 
 
-_NOT_PRIMARY = "(role <> 'PRIMARY' OR role IS NULL)"
-_NOT_PREFERRED = "(NOT is_preferred_replica OR is_preferred_replica IS NULL)"
-_SQL_ELIGIBLE = f"""state_desc = 'ONLINE' AND NOT (user_access_desc = 'SINGLE_USER' AND NOT is_accessible)
-    AND NOT is_in_standby AND NOT (backup_type = 'LOG' AND recovery_model = 'SIMPLE')
-    AND NOT (backup_type = 'LOG' AND recovery_model IN ('FULL', 'BULK_LOGGED') AND last_log_backup_lsn IS NULL)
-    AND NOT (backup_type = 'DIFF' AND differential_base_lsn IS NULL)
-    AND NOT (backup_type IN ('DIFF', 'LOG') AND database_name = 'master')
-    AND NOT (availability_group IS NOT NULL AND backup_type = 'FULL' AND {_NOT_PRIMARY})
-    AND NOT (availability_group IS NOT NULL AND backup_type = 'DIFF' AND {_NOT_PRIMARY})
-    AND NOT (availability_group IS NOT NULL AND backup_type = 'LOG' AND {_NOT_PREFERRED})"""
+_ON_PRIMARY = "(availability_group IS NULL OR coalesce(role = 'PRIMARY', FALSE))"
+_ON_PREFERRED = "(availability_group IS NULL OR coalesce(is_preferred_replica, FALSE))"
+_SQL_OPEN = """state_desc = 'ONLINE' AND NOT is_in_standby
+    AND (is_accessible OR user_access_desc <> 'SINGLE_USER')"""
+_SQL_HAS_BASE = "differential_base_lsn IS NOT NULL AND database_name <> 'master'"
+_SQL_HAS_CHAIN = """recovery_model IN ('FULL', 'BULK_LOGGED') AND last_log_backup_lsn IS NOT NULL
+      AND database_name <> 'master'"""
+_SQL_ELIGIBLE = f"""{_SQL_OPEN} AND CASE backup_type WHEN 'FULL' THEN {_ON_PRIMARY}
+    WHEN 'DIFF' THEN {_SQL_HAS_BASE} AND {_ON_PRIMARY}
+    WHEN 'LOG' THEN {_SQL_HAS_CHAIN} AND {_ON_PREFERRED} ELSE FALSE END"""
 
 
 @query(
     "backup_eligible",
     f"""WITH {_sql_typed('LOG')}
-    SELECT database_name, coalesce({_SQL_ELIGIBLE}
-      AND NOT (log_shipping_role = 'PRIMARY' AND log_shipping_role IS NOT NULL AND backup_type = 'LOG')
-      AND NOT is_read_only
-      AND NOT (backup_type = 'LOG' AND NOT (log_since_last_log_backup_mb >= 1000
-        OR log_since_last_log_backup_mb IS NULL
-        OR date_diff('second', log_backup_time, TIMESTAMP '2001-08-05 09:07:03') >= 600
-        OR log_backup_time IS NULL)), FALSE) AS eligible
+    SELECT database_name, coalesce({_SQL_ELIGIBLE} AND NOT is_read_only
+      AND (backup_type <> 'LOG' OR (coalesce(log_shipping_role, '') <> 'PRIMARY'
+        AND (coalesce(log_since_last_log_backup_mb >= 1000, TRUE)
+          OR coalesce(date_diff('second', log_backup_time, TIMESTAMP '2001-08-05 09:07:03') >= 600, TRUE)))),
+      FALSE) AS eligible
     FROM t""",
 )
 def backup_eligible(spark, sf):
@@ -124,12 +122,8 @@ def backup_eligible(spark, sf):
 @query(
     "backup_eligible_copy_only",
     f"""WITH {_sql_typed('DIFF')}
-    SELECT database_name, coalesce(state_desc = 'ONLINE'
-      AND NOT (user_access_desc = 'SINGLE_USER' AND NOT is_accessible) AND NOT is_in_standby
-      AND NOT (backup_type = 'DIFF' AND differential_base_lsn IS NULL)
-      AND NOT (backup_type = 'DIFF' AND database_name = 'master')
-      AND NOT (availability_group IS NOT NULL AND backup_type = 'FULL' AND {_NOT_PREFERRED})
-      AND NOT (availability_group IS NOT NULL AND backup_type = 'DIFF' AND {_NOT_PRIMARY}), FALSE) AS eligible
+    SELECT database_name, coalesce({_SQL_OPEN} AND CASE backup_type WHEN 'FULL' THEN {_ON_PREFERRED}
+      WHEN 'DIFF' THEN {_SQL_HAS_BASE} AND {_ON_PRIMARY} END, FALSE) AS eligible
     FROM t""",
 )
 def backup_eligible_copy_only(spark, sf):

@@ -103,6 +103,30 @@ def successive_delta(spark, sf):
     return counters.successive_delta(rows, ["user_id", "event_type"], "ts", ["c", "event_id"])
 
 
+def gappy_cents():
+    """Values of which every fifth event was not read."""
+    return F.when(F.col("event_id") % 5 != 0, cents("value"))
+
+
+@query(
+    "successive_delta_gaps",
+    f"""WITH e AS (SELECT user_id, event_type, ts, event_id,
+           CASE WHEN event_id % 5 <> 0 THEN {sql_cents('value')} END AS c FROM events),
+    l AS (SELECT *, lag(ts) OVER p AS previous_ts, c - last_value(c IGNORE NULLS) OVER w AS dc,
+                 event_id - last_value(event_id IGNORE NULLS) OVER w AS di
+          FROM e WINDOW p AS (PARTITION BY user_id, event_type ORDER BY ts),
+            w AS (PARTITION BY user_id, event_type ORDER BY ts
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    r AS (SELECT *, (coalesce(dc, 0) < 0 OR coalesce(di, 0) < 0) AS reset FROM l)
+    SELECT user_id, event_type, previous_ts, ts, CASE WHEN NOT reset THEN dc END AS c,
+           CASE WHEN NOT reset THEN di END AS event_id, reset
+    FROM r WHERE previous_ts IS NOT NULL""",
+)
+def successive_delta_gaps(spark, sf):
+    rows = load(spark, sf, "events").withColumn("c", gappy_cents())
+    return counters.successive_delta(rows, ["user_id", "event_type"], "ts", ["c", "event_id"])
+
+
 # --- file I/O: one file per supplier, in the database of its nation -------------------------------
 
 def io_pair(spark, sf: str) -> DataFrame:

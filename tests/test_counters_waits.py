@@ -7,7 +7,12 @@ from conftest import as_set
 from pyspark.sql import functions as F
 
 from fleetlens.operators import capacity, counters, waits
-from fleetlens.operators.distributed import best_row, broadcast_if_small, ordered_scan
+from fleetlens.operators.distributed import (
+    best_row,
+    broadcast_if_small,
+    ordered_scan,
+    slice_number,
+)
 
 DAY = datetime(2024, 1, 1)
 
@@ -26,6 +31,38 @@ def test_one_reset_counter_voids_all(rows):
     assert (row.c, row.d, row.reset) == (None, None, True)
 
 
+def test_a_reading_that_is_missing_hides_no_reset(rows):
+    hours = [DAY + timedelta(hours=10 * i) for i in range(5)]
+    df = rows("k string, ts timestamp, c bigint, d bigint", ("a", hours[0], 10, None), ("a", hours[1], None, 7),
+              ("a", hours[2], 4, 9), ("a", hours[3], 4, None), ("a", hours[4], None, 12), ("a", None, 0, 0))
+    got = counters.successive_delta(df, ["k"], "ts", ["c", "d"]).orderBy("ts").collect()
+    assert [(r.c, r.d, r.reset) for r in got] == [
+        (None, None, False), (None, None, True), (0, None, False), (None, 3, False)]
+    assert [r.previous_ts for r in got] == hours[:-1]
+
+
+def test_rows_of_one_time_are_one_reading(rows):
+    later = DAY + timedelta(days=2)
+    df = rows("k string, ts timestamp, c bigint", (None, DAY, 1), (None, DAY, 3), (None, DAY, None), (None, later, 5),
+              (None, later, 4))
+    assert as_set(counters.successive_delta(df, ["k"], "ts", ["c"])) == [(None, DAY, later, 2, False)]
+
+
+def test_elapsed_time_has_no_zone(spark, rows):
+    """Across the change to summer time, zone-less stamps are an hour apart, not none."""
+    ddl = "object_name string, counter_name string, instance_name string, cntr_value bigint, cntr_type int, collected_time timestamp_ntz"
+    name = ("o", "c", "i")
+    before = rows(ddl, (*name, 0, counters.RATE_COUNTER, datetime(2024, 3, 31, 1, 30)))
+    after = rows(ddl, (*name, 7200, counters.RATE_COUNTER, datetime(2024, 3, 31, 3, 30)))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        got = counters.perf_counter_rates(before, after, [("o", "c")]).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got.cntr_value == 1
+
+
 @pytest.mark.parametrize("unit", ["hour", "day", "month"])
 def test_slices_do_not_change_deltas(spark, unit):
     random.seed(3)
@@ -141,25 +178,58 @@ def test_scan_of_a_hot_key(spark):
     data = [("hot", i) for i in range(2000)] + [("cold", i) for i in range(10)] + [(None, i) for i in range(30)]
     df = spark.createDataFrame(data, "k string, v bigint").repartition(5)
     args = dict(before={"earlier": "v"}, totals={"total": "v"}, position="n")
-    spread = ordered_scan(df, ["k"], [F.asc("v")], **args)
-    assert as_nulls(spread) == as_nulls(ordered_scan(df, ["k"], [F.asc("v")], bounded=True, **args))
+    for order in (["v"], [("v", True)]):
+        spread = ordered_scan(df, ["k"], order, slice_rows=150, **args)
+        assert as_nulls(spread) == as_nulls(ordered_scan(df, ["k"], order, bounded=True, **args))
 
 
 def as_nulls(df):
     return sorted(tuple(str(v) for v in r) for r in df.collect())
 
 
-def test_scan_spreads_one_key_over_tasks(spark):
-    # Small data would be coalesced into one task; a large range is not.
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        df = spark.range(4000).withColumn("w", F.col("id") % 3)
-        scanned = ordered_scan(df, [], [F.desc("w"), F.asc("id")], position="n")
-        assert scanned.agg(F.max("n")).first()[0] == 4000
-        tasks = scanned.groupBy(F.spark_partition_id().alias("p")).count().collect()
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert len(tasks) > 2 and max(r["count"] for r in tasks) < 3000
+def test_scan_spreads_one_key_over_slices(spark):
+    df = spark.range(4000).withColumn("w", F.col("id") % 3)
+    number = slice_number(df, [("w", True), "id"], 200)
+    sizes = [r["count"] for r in df.groupBy(number.alias("s")).count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 1500
+    scanned = ordered_scan(df, [], [("w", True), "id"], position="n", slice_rows=200)
+    want = sorted((-(i % 3), i) for i in range(4000))
+    assert [r.id for r in scanned.orderBy("n").collect()] == [i for _, i in want]
+    assert scanned.agg(F.max("n")).first()[0] == 4000
+
+
+def test_slices_of_all_kinds_of_columns(spark):
+    """NULLs, equal leading values, times with and without zone, decimals, texts with quotes."""
+    random.seed(8)
+    data = [
+        (
+            random.choice([None, DAY, DAY + timedelta(microseconds=random.randint(0, 10**9))]),
+            DAY + timedelta(days=random.randint(0, 3)),
+            random.choice([None, DAY.date(), (DAY + timedelta(days=400)).date()]),
+            Decimal(random.randint(-5, 5)) / 4,
+            random.choice(["", "a'b", 'q"', "\\", None, "é"]),
+            random.choice([True, False]),
+            i,
+        )
+        for i in range(600)
+    ]
+    ddl = "t timestamp, z timestamp_ntz, d date, m decimal(9,2), s string, b boolean, id int"
+    df = spark.createDataFrame(data, ddl)
+    for order in (["t", "z", "id"], [("t", True), ("d", True), "id"], [("m", True), "s", ("id", True)], ["b", ("z", True), ("s", True), "id"]):
+        sliced = ordered_scan(df, [], order, position="n", slice_rows=20)
+        assert as_nulls(sliced) == as_nulls(ordered_scan(df, [], order, position="n", bounded=True)), order
+
+
+def test_pareto_drops_slices_behind_the_cut(spark):
+    random.seed(12)
+    pairs = [(f"w{i:04d}", random.choice([0, 1, 2, 3, 900, 1000])) for i in range(900)]
+    df = spark.createDataFrame(pairs, "name string, w bigint")
+    kept = F.col("_h") * 100 < F.col("_t") * 50
+    order, sums = [("w", True), "name"], {"before": {"_h": "w"}, "totals": {"_t": "w"}}
+    scanned = ordered_scan(df, [], order, **sums, slice_rows=40, until=kept)
+    assert 0 < scanned.count() < 400
+    whole = ordered_scan(df, [], order, **sums, bounded=True)
+    assert as_nulls(scanned.filter(kept)) == as_nulls(whole.filter(kept))
 
 
 def test_wait_diff_branches(rows):

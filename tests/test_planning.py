@@ -162,8 +162,10 @@ def test_stripes_cover_each_file_once(spark):
     per = files.groupBy("id", "directory_path").count().collect()
     assert all(r["count"] == r["id"] for r in per) and len(per) == 48
     assert files.groupBy("id", "file_number").count().filter("count > 1").count() == 0
-    uneven = plan.limit(1).withColumn("number_of_files", F.lit(5))
-    assert backup.stripe_files(uneven, ["a", "b"]).filter("directory_path is null").count() == 1
+    for number in (1, 5):
+        uneven = plan.limit(1).withColumn("number_of_files", F.lit(number))
+        with pytest.raises(Exception, match="cannot be spread evenly"):
+            backup.stripe_files(uneven, ["a", "b"]).collect()
 
 
 def test_long_names_are_cut(spark):
