@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.text import concat_text, like_regex, quote_name
-from fleetlens.operators.distributed import BROADCAST_ROWS
+from fleetlens.operators.distributed import BROADCAST_ROWS, all_of
 
 # Fixed value: first major version with automatic seeding.
 SEEDING_VERSION = 13
@@ -233,13 +233,15 @@ def orphaned_users(
         .filter(F.col("sid") != F.col("_login_sid"))
         .select(
             *db_principals.columns,
-            concat_text(
-                "ALTER USER [", F.col("name"), "] WITH LOGIN = [", F.col("name"), "]"
-            ).alias("statement"),
+            _repair_user().alias("statement"),
         )
     )
 
 
+def _repair_user() -> Column:
+    return concat_text("ALTER USER [", F.col("name"), "] WITH LOGIN = [", F.col("name"), "]")
+
+
 def _grant(target: Column | None, grantee: Column) -> Column:
     """A guarded GRANT or DENY text for the current permission row."""
     with_option = F.col("state") == "W"
@@ -281,19 +283,6 @@ def permission_statements(
     ``database_name``.  Result: keys, ``statement``, ``result_order`` (``DECIMAL(4,1)``).
     """
     k = list(keys)
-    people = principals.filter(F.col("type").isin(*USER_TYPES))
-    names = principals.select(
-        *k,
-        F.col("principal_id").alias("grantee_principal_id"),
-        F.col("name").alias("grantee"),
-        F.col("type").alias("_grantee_type"),
-    )
-    granted = permissions.join(names, [*k, "grantee_principal_id"])
-
-    def section(df: DataFrame, order: str, statement: Column) -> DataFrame:
-        return df.select(
-            *k, statement.alias("statement"), F.lit(order).cast("decimal(4,1)").alias("result_order")
-        )
 
     # The headings of the sections and their places.
     header_texts = [
@@ -326,113 +315,177 @@ def permission_statements(
         ),
     )
 
+    sections = [
+        headers,
+        _principal_rows(principals, server_principals, k),
+        _membership_rows(principals, members, k),
+        _permission_rows(principals, permissions, columns, objects, types, schemas, databases, k),
+    ]
+    out = reduce(DataFrame.unionByName, sections).distinct()
+    return out.orderBy(*k, "result_order", "statement") if ordered else out
+
+
+def _line(order: str, statement: Column, when: Column) -> Column:
+    """A line of a section, or NULL."""
+    place = F.lit(order).cast("decimal(4,1)").alias("result_order")
+    return F.when(when, F.struct(statement.alias("statement"), place))
+
+
+def _lines(df: DataFrame, keys: Sequence[str], *lines: Column) -> DataFrame:
+    """The lines that each row gives, in one pass."""
+    return df.select(*keys, F.inline(F.array_compact(F.array(*lines))))
+
+
+def _principal_rows(principals: DataFrame, logins: DataFrame, keys: list[str]) -> DataFrame:
+    """Users, repairs of orphaned users, and roles: what a principal gives by itself."""
+    found = logins.select(
+        *[F.col(c).alias(f"_l_{c}") for c in keys],
+        F.lower("name").alias("_l_fold"),
+        F.col("sid").alias("_l_sid"),
+    )
+    is_person = F.col("type").isin(*USER_TYPES)
+    folded = F.lower("name")
+    orphan = all_of(
+        *[F.col(c) == F.col(f"_l_{c}") for c in keys],
+        folded == F.col("_l_fold"),
+        F.col("sid") != F.col("_l_sid"),
+        is_person & ~folded.isin(*[n.lower() for n in SYSTEM_USERS]),
+    )
     create = _create_user()
-    users = section(
-        people.filter(~F.lower("name").isin("guest", "dbo")), "3.1", create
-    ).filter("statement is not null")
-    orphans = orphaned_users(principals, server_principals, k)
-    orphan_rows = section(orphans, "4.1", F.col("statement"))
-    roles = section(
-        principals.filter("type = 'R' and not is_fixed_role"),
-        "5.1",
-        concat_text(
-            "IF DATABASE_PRINCIPAL_ID(",
-            quote_name("name", "'"),
-            ") IS NULL CREATE ROLE ",
-            quote_name("name"),
-        ),
+    is_role = (F.col("type") == "R") & ~F.col("is_fixed_role")
+    role = concat_text(
+        "IF DATABASE_PRINCIPAL_ID(", quote_name("name", "'"), ") IS NULL CREATE ROLE ", quote_name("name")
+    )
+    return _lines(
+        principals.join(found, orphan, "left"),
+        keys,
+        _line("3.1", create, is_person & ~folded.isin("guest", "dbo") & create.isNotNull()),
+        _line("4.1", _repair_user(), F.col("_l_fold").isNotNull()),
+        _line("5.1", role, is_role),
+    )
+
+
+def _membership_rows(principals: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
+    people = principals.filter(
+        F.col("type").isin(*USER_TYPES) & (F.col("principal_id") > LAST_FIXED_PRINCIPAL)
     )
-    member_names = people.filter(F.col("principal_id") > LAST_FIXED_PRINCIPAL).select(
-        *k, F.col("principal_id").alias("member_principal_id"), F.col("name").alias("_member")
+    member_names = people.select(
+        *keys, F.col("principal_id").alias("member_principal_id"), F.col("name").alias("_member")
     )
     role_names = principals.select(
-        *k, F.col("principal_id").alias("role_principal_id"), F.col("name").alias("_role")
+        *keys, F.col("principal_id").alias("role_principal_id"), F.col("name").alias("_role")
     )
-    memberships = section(
-        members.join(member_names, [*k, "member_principal_id"]).join(
-            role_names, [*k, "role_principal_id"], "left"
-        ),
-        "5.2",
-        concat_text(
-            "IF DATABASE_PRINCIPAL_ID(",
-            quote_name("_member", "'"),
-            ") IS NOT NULL EXEC sp_addrolemember @rolename = ",
-            quote_name("_role", "'"),
-            ", @membername = ",
-            quote_name("_member", "'"),
-        ),
+    named = members.join(member_names, [*keys, "member_principal_id"]).join(
+        role_names, [*keys, "role_principal_id"], "left"
+    )
+    statement = concat_text(
+        "IF DATABASE_PRINCIPAL_ID(",
+        quote_name("_member", "'"),
+        ") IS NOT NULL EXEC sp_addrolemember @rolename = ",
+        quote_name("_role", "'"),
+        ", @membername = ",
+        quote_name("_member", "'"),
     )
+    return _lines(named, keys, _line("5.2", statement, F.lit(True)))
+
+
+def _permission_rows(
+    principals: DataFrame,
+    permissions: DataFrame,
+    columns: DataFrame,
+    objects: DataFrame,
+    types: DataFrame,
+    schemas: DataFrame,
+    databases: DataFrame,
+    keys: list[str],
+) -> DataFrame:
+    """The lines of all permissions, from one scan of every table.
 
+    A permission meets its grantee, and what its ``major_id`` may be, once; each section it belongs
+    to is a copy of the row, and the copies that need a schema's name look it up together.
+    """
+    names = principals.select(
+        *keys,
+        F.col("principal_id").alias("grantee_principal_id"),
+        F.col("name").alias("grantee"),
+        F.col("type").alias("_grantee_type"),
+    )
     object_names = objects.select(
-        *k,
+        *keys,
         F.col("object_id").alias("major_id"),
         F.col("name").alias("_object"),
-        F.col("schema_name").alias("_schema"),
+        F.col("schema_name").alias("_object_schema"),
         F.col("type").alias("_object_type"),
     )
     column_names = columns.select(
-        *k,
+        *keys,
         F.col("object_id").alias("major_id"),
         F.col("column_id").alias("minor_id"),
         F.col("name").alias("_column"),
     )
-    in_scope = (F.lower("database_name") == "master") | (
-        F.col("_object_type").isNotNull() & (F.trim("_object_type") != "S")
-    )
-    if k:
-        located = granted.join(databases, k)
+    type_names = types.select(
+        *keys,
+        F.col("user_type_id").alias("major_id"),
+        F.col("name").alias("_type_name"),
+        F.col("schema_id").alias("_type_schema"),
+        F.lit(True).alias("_is_type"),
+    )
+    granted = permissions.join(names, [*keys, "grantee_principal_id"])
+    if keys:
+        # A permission of an unlisted database has no object section, but its other ones.
+        listed = databases.select(*keys, "database_name", F.lit(True).alias("_listed"))
+        located = granted.join(listed, keys, "left")
     else:
-        located = granted.withColumn("database_name", databases.select("database_name").scalar())
-    on_objects = (
-        located.join(object_names, [*k, "major_id"], "left")
-        .filter(in_scope)
-        .join(column_names, [*k, "major_id", "minor_id"], "left")
+        located = granted.withColumns(
+            {"database_name": databases.select("database_name").scalar(), "_listed": F.lit(True)}
+        )
+    met = (
+        located.join(object_names, [*keys, "major_id"], "left")
+        .join(column_names, [*keys, "major_id", "minor_id"], "left")
+        .join(type_names, [*keys, "major_id"], "left")
+    )
+    is_master = F.lower("database_name") == "master"
+    on_object = F.col("_listed") & (
+        is_master | (F.col("_object_type").isNotNull() & (F.trim("_object_type") != "S"))
+    )
+    on_database = (
+        (F.col("major_id") == 0)
+        & (F.col("grantee_principal_id") > LAST_FIXED_PRINCIPAL)
+        & F.col("_grantee_type").isin(*USER_TYPES, "R")
+    )
+
+    def copy(order: str, when: Column, schema: Column) -> Column:
+        return F.when(when, F.struct(F.lit(order).alias("_order"), schema.alias("_schema_id")))
+
+    id_type = schemas.schema["schema_id"].dataType
+    none = F.lit(None).cast(id_type)
+    copies = F.array_compact(
+        F.array(
+            copy("7.2", on_object, none),
+            copy("8.1", F.col("_is_type"), F.col("_type_schema")),
+            copy("10.1", on_database, none),
+            copy("12.1", F.col("class") == 3, F.col("major_id").cast(id_type)),
+        )
     )
+    schema_names = schemas.select(*keys, F.col("schema_id").alias("_schema_id"), F.col("name").alias("_schema"))
+    placed = met.select("*", F.inline(copies)).join(schema_names, [*keys, "_schema_id"], "left")
     column_part = F.when(F.col("_column").isNull(), F.lit("")).otherwise(
         concat_text("(", quote_name("_column"), ")")
     )
-    object_rows = section(
-        on_objects,
-        "7.2",
-        _grant(
-            concat_text(quote_name("_schema"), ".", quote_name("_object"), column_part),
-            quote_name("grantee"),
-        ),
-    )
-    schema_names = schemas.select(*k, "schema_id", F.col("name").alias("_schema"))
-    type_names = types.select(
-        *k, F.col("user_type_id").alias("major_id"), F.col("name").alias("_type_name"), "schema_id"
-    )
-    type_rows = section(
-        granted.join(type_names, [*k, "major_id"]).join(schema_names, [*k, "schema_id"], "left"),
-        "8.1",
-        _grant(
-            concat_text(quote_name("_schema"), ".", quote_name("_type_name")),
-            quote_name("grantee"),
-        ),
-    )
-    database_rows = section(
-        granted.filter(
-            (F.col("major_id") == 0)
-            & (F.col("grantee_principal_id") > LAST_FIXED_PRINCIPAL)
-            & F.col("_grantee_type").isin(*USER_TYPES, "R")
-        ),
-        "10.1",
-        _grant(None, concat_text("[", F.col("grantee"), "]")),
-    )
-    schema_rows = section(
-        granted.filter("class = 3").join(
-            schema_names.withColumnRenamed("schema_id", "major_id"), [*k, "major_id"]
-        ),
-        "12.1",
-        _grant(
-            concat_text(F.col("class_desc"), "::", quote_name("_schema")), quote_name("grantee")
-        ),
-    )
-    sections = [headers, users, orphan_rows, roles, memberships, object_rows, type_rows,
-                database_rows, schema_rows]
-    out = reduce(DataFrame.unionByName, sections).distinct()
-    return out.orderBy(*k, "result_order", "statement") if ordered else out
+    on = {
+        "7.2": concat_text(quote_name("_object_schema"), ".", quote_name("_object"), column_part),
+        "8.1": concat_text(quote_name("_schema"), ".", quote_name("_type_name")),
+        "12.1": concat_text(F.col("class_desc"), "::", quote_name("_schema")),
+    }
+    lines = [
+        _line(order, _grant(target, quote_name("grantee")), F.col("_order") == order)
+        for order, target in on.items()
+    ]
+    plain = _grant(None, concat_text("[", F.col("grantee"), "]"))
+    lines.append(_line("10.1", plain, F.col("_order") == "10.1"))
+    # A schema permission without its schema says nothing.
+    known = placed.filter((F.col("_order") != "12.1") | F.col("_schema").isNotNull())
+    return _lines(known, keys, *lines)
 
 
 def _create_user() -> Column:

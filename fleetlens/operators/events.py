@@ -30,9 +30,46 @@ LAST_GOOD_FIELD = "dbi_dbccLastKnownGood"
 SEARCH_VALUE_WIDTH = 3630
 
 
-def _event_time() -> Column:
+def _event_time(event: str = "_event") -> Column:
     """Time of the event; NULL when it is missing or no time."""
-    return F.regexp_replace(F.col("_event._timestamp"), "Z$", "").try_cast("timestamp_ntz")
+    return F.regexp_replace(F.col(f"{event}._timestamp"), "Z$", "").try_cast("timestamp_ntz")
+
+
+#: An event element; the text of one that is no XML is in ``malformed``.
+XML_EVENT = f"{_EVENT}, malformed string"
+#: Event files are read as text up to each end of an event, so that large files are split.
+EVENT_END = "</event>"
+
+
+def event_records(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per event element of event files, from ``value``: the text up to an :data:`EVENT_END`.
+
+    Every element is parsed by itself, so a broken one hides no other: it stays as a row with its
+    text in ``malformed``.  So does what looks like an event but has no end of its own, such as an
+    element whose text holds the end of an event.  An element that a file breaks off right before
+    its end counts as whole.
+    """
+    text = F.concat("value", F.lit(EVENT_END))
+    nodes = F.regexp_extract_all("_text", F.lit(_EVENT_NODE), F.lit(0))
+    rest = F.regexp_replace(F.regexp_replace("_text", _EVENT_NODE, ""), r"(?s)<!--.*?-->", "")
+    cut = F.when(F.rlike(rest, F.lit(r"<event[\s>/]")), F.array(F.struct(rest.alias("_node"), F.lit(True).alias("_cut"))))
+    whole = F.transform(nodes, lambda n: F.struct(n.alias("_node"), F.lit(False).alias("_cut")))
+    none = F.slice(whole, 1, 0)
+    options = {"rowTag": "event", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"}
+    parsed = (
+        df.select(*keep, text.alias("_text"))
+        .select(*keep, F.inline(F.concat(whole, F.coalesce(cut, none))))
+        .withColumn("_event", F.when(~F.col("_cut"), F.from_xml("_node", XML_EVENT, options)))
+    )
+    broken = F.col("_cut") | F.col("_event.malformed").isNotNull()
+    return parsed.select(
+        *keep,
+        F.when(~broken, _event_time()).alias("event_timestamp"),
+        F.when(~broken, F.col("_event._name")).alias("event_name"),
+        F.when(~broken, F.col("_event.data")).alias("data"),
+        F.when(~broken, F.col("_event.action")).alias("action"),
+        F.when(broken, F.col("_node")).alias("malformed"),
+    )
 
 
 def shred_events(
@@ -69,8 +106,8 @@ def lookup_statement(events: DataFrame, texts: DataFrame, on: str = "sql_handle"
     return events.join(texts.select(on, "text"), on)
 
 
-def _named(items: str, name: str) -> Column:
-    """Value of the first item with the given name."""
+def item_value(items: str, name: str) -> Column:
+    """Value of the first data item or action with the given name."""
     found = F.filter(F.col(items), lambda x: x["_name"] == name)
     return F.get(found, F.lit(0))["value"]
 
@@ -85,10 +122,10 @@ def login_failures(
     return parsed.select(
         *keep,
         _event_time().alias("event_timestamp"),
-        _named("_event.data", "message").alias("event_message"),
-        _named("_event.action", "client_app_name").alias("client_app_name"),
-        _named("_event.action", "client_hostname").alias("client_hostname"),
-        _named("_event.action", "database_id").try_cast("int").alias("database_id"),
+        item_value("_event.data", "message").alias("event_message"),
+        item_value("_event.action", "client_app_name").alias("client_app_name"),
+        item_value("_event.action", "client_hostname").alias("client_hostname"),
+        item_value("_event.action", "database_id").try_cast("int").alias("database_id"),
     )
 
 

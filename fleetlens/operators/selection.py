@@ -159,28 +159,26 @@ def select_items(
     ``rules=None`` selects everything; an item no rule matches is not selected.
 
     One rule list without ``keys`` is folded into the projection: no join and no shuffle of the
-    items; the names of a very long list are joined instead.  Rule lists per key (for example per
-    server) are joined on the key.
+    items.  A very long list, and rule lists per key (for example per server), are joined: names on
+    the name, patterns on their rarest piece of text (:func:`pattern_hits`).
     """
     if rules is None:
         return items.withColumns(
             {"selected": F.lit(True), "start_position": F.lit(None).cast("int")}
         )
     rules = rules.withColumns({f"_re_{c}": like_regex(c) for c in columns})
-    if keys:
-        judged = _judge_by_join(items, rules, columns, keys)
-    else:
+    if not keys:
         listed = rules.limit(LITERAL_RULES + 1).collect()
         if len(listed) <= LITERAL_RULES:
             judged = _judge_by_expression(items, listed, columns)
-        else:
-            # Names spelled out are joined; the patterns of the one list stay an expression.
-            patterned = _is_pattern(columns)
-            by_name = _judge_by_join(items, rules.filter(~patterned), columns, ())
-            judged = _judge_by_expression(by_name, rules.filter(patterned).collect(), columns)
+            return _chosen(judged, items.columns)
+    return _chosen(_judge_by_join(items, rules, columns, keys), items.columns)
+
+
+def _chosen(judged: DataFrame, columns: Sequence[str]) -> DataFrame:
     return judged.withColumn(
         "selected", F.col("start_position").isNotNull() & ~F.col("_excluded")
-    ).select(*items.columns, "selected", "start_position")
+    ).select(*columns, "selected", "start_position")
 
 
 def _is_pattern(columns: Sequence[str], prefix: str = "") -> Column:
@@ -189,7 +187,7 @@ def _is_pattern(columns: Sequence[str], prefix: str = "") -> Column:
 
 
 def _judge_by_expression(items: DataFrame, rules: Sequence, columns: Sequence[str]) -> DataFrame:
-    """Items with ``start_position`` and ``_excluded``, on top of such columns if present."""
+    """Items with ``start_position`` and ``_excluded``."""
     listed = [r.asDict() for r in rules]
     includes = sorted((r for r in listed if r["selected"]), key=lambda r: r["start_position"])
     excludes = [r for r in listed if not r["selected"]]
@@ -200,9 +198,6 @@ def _judge_by_expression(items: DataFrame, rules: Sequence, columns: Sequence[st
     )
     hits = [F.coalesce(_rule_matches(r, columns, items.columns), F.lit(False)) for r in excludes]
     excluded = reduce(lambda a, b: a | b, hits, F.lit(False))
-    if "_excluded" in items.columns:
-        position = F.least("start_position", position)
-        excluded = F.col("_excluded") | excluded
     return items.withColumns({"start_position": position, "_excluded": excluded})
 
 
@@ -211,8 +206,8 @@ def _judge_by_join(
 ) -> DataFrame:
     """Items with ``start_position`` and ``_excluded``, from rules met by equality joins.
 
-    Rules that name an item exactly meet it on the name; only rules with a pattern are compared with
-    every item of their key.
+    Rules that name an item exactly meet it on the name, patterns meet the items that hold their
+    rarest piece.
     """
     typed = [c for c in ("database_type", "availability_group") if c in rules.columns]
     known = [c for c in typed if c in items.columns]
@@ -235,12 +230,12 @@ def _judge_by_join(
     found = matches(
         named.filter(~patterned), [one_case(c) == one_case(f"_rule_{c}") for c in columns]
     )
-    if keys:
-        found = found.union(
-            matches(
-                named.filter(patterned), [F.rlike(c, F.col(f"_re_{c}")) for c in columns]
-            )
+    hits = pattern_hits(base, named.filter(patterned), columns, keys)
+    found = found.union(
+        hits.filter(reduce(lambda a, b: a & b, same_type, F.lit(True))).select(
+            *identity, "selected", "start_position"
         )
+    )
     verdict = found.groupBy(*identity).agg(
         F.bool_or(~F.col("selected")).alias("_excluded"),
         F.min(F.when(F.col("selected"), F.col("start_position"))).alias("start_position"),
@@ -251,6 +246,92 @@ def _judge_by_join(
     )
 
 
+#: Marks of the begin and the end of a name, so that anchored pieces differ from others.
+_BEGIN, _END = "\x01", "\x02"
+
+
+def _pieces(text: Column, number: int) -> Column:
+    """All pieces of two and three characters of a text of name column ``number``."""
+    size = F.length(text)
+
+    def of(width: int) -> Column:
+        starts = F.sequence(F.lit(1), size - width + 1)
+        found = F.transform(starts, lambda i: F.concat(F.lit(f"{number}:"), F.substring(text, i, F.lit(width))))
+        return F.when(size >= width, found).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(of(2), of(3))
+
+
+def _name_pieces(columns: Sequence[str]) -> Column:
+    marked = [F.concat(F.lit(_BEGIN), one_case(c), F.lit(_END)) for c in columns]
+    return F.array_distinct(F.concat(*[_pieces(m, i) for i, m in enumerate(marked)]))
+
+
+def _pattern_pieces(columns: Sequence[str]) -> Column:
+    """The pieces that every name matching the patterns must hold.  A class and a ``%`` end a piece."""
+
+    def of(number: int, column: str) -> Column:
+        without = F.regexp_replace(column, r"\[[^\]]+\]", "%")
+        parts = F.split(F.concat(F.lit(_BEGIN), without, F.lit(_END)), "%")
+        return F.flatten(F.transform(parts, lambda part: _pieces(one_case(part), number)))
+
+    return F.array_distinct(F.concat(*[of(i, c) for i, c in enumerate(columns)]))
+
+
+def pattern_hits(
+    items: DataFrame, rules: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
+) -> DataFrame:
+    """Pairs of an item and a rule whose patterns match all ``columns``.
+
+    ``rules`` holds ``_rule_<name>`` for the keys and columns, ``_re_<column>`` (the pattern as a
+    regular expression), ``selected`` and ``start_position``.  A rule is posted under the rarest
+    piece of text that its patterns prescribe, an item under all its pieces, and only where they
+    meet is the pattern tried.  A rule whose pieces some item does not hold matches nothing; one
+    without any piece (such as ``%``, or a single letter between two ``%``) says so little that it
+    is tried on every item of its key: such rules travel as one array per key.
+    """
+    of_rule = [f"_rule_{c}" for c in columns]
+    usable = rules.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in of_rule]))
+    pieced = usable.withColumn("_pieces", _pattern_pieces(of_rule))
+    posted = items.withColumn("_piece", F.explode(_name_pieces(columns)))
+    frequency = posted.groupBy(*keys, "_piece").agg(F.count("*").alias("_items")).withColumnsRenamed(
+        {k: f"_on_{k}" for k in keys} | {"_piece": "_known"}
+    )
+    apart = pieced.filter(F.size("_pieces") > 0).withColumn("_piece", F.explode("_pieces")).drop("_pieces")
+    held = [F.col(f"_rule_{k}") == F.col(f"_on_{k}") for k in keys] + [F.col("_piece") == F.col("_known")]
+    counted = apart.join(frequency, reduce(lambda a, b: a & b, held), "left")
+    rarest = (
+        counted.groupBy(*rules.columns)
+        .agg(F.min(F.struct(F.coalesce("_items", F.lit(0)).alias("n"), "_piece")).alias("_best"))
+        .filter("_best.n > 0")
+        .select(*rules.columns, F.col("_best._piece").alias("_wanted"))
+    )
+    same_key = [F.col(k) == F.col(f"_rule_{k}") for k in keys]
+    meet = reduce(lambda a, b: a & b, [*same_key, F.col("_piece") == F.col("_wanted")])
+    tried = reduce(lambda a, b: a & b, [F.rlike(c, F.col(f"_re_{c}")) for c in columns])
+    hits = posted.join(rarest, meet).filter(tried).drop("_piece", "_wanted")
+
+    # Equal rules at several places of a list act as the first of them.
+    alike = [c for c in rules.columns if c != "start_position"]
+    broad = (
+        pieced.filter(F.size("_pieces") == 0)
+        .groupBy(*alike)
+        .agg(F.min("start_position").alias("start_position"))
+        .select(*rules.columns)
+    )
+    listed = F.collect_list(F.struct(*rules.columns)).alias("_rules")
+    if keys:
+        per_key = broad.groupBy(*[f"_rule_{k}" for k in keys]).agg(listed).withColumnsRenamed(
+            {f"_rule_{k}": f"_on_{k}" for k in keys}
+        )
+        on_key = [F.col(k) == F.col(f"_on_{k}") for k in keys]
+        every = items.join(per_key, reduce(lambda a, b: a & b, on_key)).select(*items.columns, "_rules")
+    else:
+        every = items.withColumn("_rules", broad.agg(listed).scalar())
+    spread = every.select(*items.columns, F.inline("_rules")).filter(tried)
+    return hits.select(*items.columns, *rules.columns).union(spread.select(*items.columns, *rules.columns))
+
+
 def order_items(
     items: DataFrame, mode: str | None = None, keys: Sequence[str] = (), bounded: bool = False
 ) -> DataFrame:

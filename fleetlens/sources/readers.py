@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.operators.events import EVENT_END, event_records
 from fleetlens.sources.schemas import schema_of
 
 log = logging.getLogger(__name__)
@@ -72,3 +73,22 @@ def read_event_files(spark: SparkSession, pattern: str, fmt: str = "json") -> Da
         .load(pattern)
         .withColumn("file_name", F.col("_metadata.file_name"))
     )
+
+
+def read_event_xml(spark: SparkSession, pattern: str) -> DataFrame:
+    """Event files as XML: a row per event element, with the ``file_name`` it is in.
+
+    Columns: ``file_name``, ``event_timestamp``, ``event_name``, the named items ``data`` and
+    ``action``, and ``malformed``, the text of an element that is no XML (then the others are NULL).
+    """
+    return _event_files(spark.read.option("lineSep", EVENT_END).text(pattern))
+
+
+def stream_event_xml(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """:func:`read_event_xml` over files as they arrive."""
+    arriving = spark.readStream.option("lineSep", EVENT_END).option("maxFilesPerTrigger", files_per_batch)
+    return _event_files(arriving.text(folder))
+
+
+def _event_files(texts: DataFrame) -> DataFrame:
+    return event_records(texts.withColumn("file_name", F.col("_metadata.file_name")), ["file_name"])

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.text import parent_pattern
 from fleetlens.operators import events
+from fleetlens.operators.distributed import ensure_checkpoint_dir
+from fleetlens.sources.readers import read_event_xml
 from proxies.base import load, query
 
 _SQL_STAMP = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')"
@@ -73,6 +77,67 @@ def login_failures(spark, sf):
     return events.login_failures(ring_buffers(spark, sf), keep=["event_id"])
 
 
+def event_files(spark, sf: str) -> str:
+    """The ring buffers as XML files in the shared folder; every 50th event has a wrong end tag."""
+    folder = f"{ensure_checkpoint_dir(spark)}/event-files-{uuid4().hex}"
+    broken = F.regexp_replace(event_element(), "</value></data>", "</data>")
+    element = F.when(F.col("event_id") % 50 == 0, broken).otherwise(event_element())
+    # One document per day.
+    days = load(spark, sf, "events").select(F.to_date("ts").alias("day"), "event_id", element.alias("event"))
+    texts = days.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("event_id", "event"))).alias("e")).select(
+        F.concat(
+            F.lit("<RingBufferTarget>\n"), F.array_join(F.col("e.event"), "\n"), F.lit("</RingBufferTarget>")
+        ).alias("value")
+    )
+    texts.repartition(8).write.text(folder)
+    return folder
+
+
+@query(
+    "read_event_xml",
+    """SELECT CASE WHEN event_id % 50 <> 0 THEN ts END AS event_timestamp,
+      CASE WHEN event_id % 50 <> 0 THEN event_type END AS event_name,
+      CASE WHEN event_id % 50 <> 0 THEN props END AS message,
+      CASE WHEN event_id % 50 <> 0 THEN 'host-' || event_type END AS host,
+      event_id % 50 = 0 AS is_malformed, count(*) AS n
+    FROM events GROUP BY ALL""",
+)
+def event_xml(spark, sf):
+    rows = read_event_xml(spark, event_files(spark, sf))
+    return rows.select(
+        "event_timestamp", "event_name", events.item_value("data", "message").alias("message"),
+        events.item_value("action", "client_hostname").alias("host"),
+        F.col("malformed").isNotNull().alias("is_malformed"),
+    ).groupBy("event_timestamp", "event_name", "message", "host", "is_malformed").agg(F.count("*").alias("n"))
+
+
+@query(
+    "lookup_statement",
+    """SELECT o.o_orderkey AS sql_handle, o.o_orderdate AS event_timestamp, p_name AS text
+    FROM orders o JOIN part ON o.o_orderkey = p_partkey""",
+)
+def lookup_statement(spark, sf):
+    found = load(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("sql_handle"), F.col("o_orderdate").alias("event_timestamp")
+    )
+    texts = load(spark, sf, "part").select(F.col("p_partkey").alias("sql_handle"), F.col("p_name").alias("text"))
+    return events.lookup_statement(found, texts)
+
+
+@query(
+    "deadlock_events",
+    f"""SELECT event_id, ts AS event_timestamp, '{events.DEADLOCK_REPORT}' AS event_name,
+      replace({_SQL_EVENT}, '<event name="error"', '<event name="{events.DEADLOCK_REPORT}"') AS event
+    FROM events WHERE event_type = 'error'""",
+)
+def deadlock_events(spark, sf):
+    named = F.replace(
+        F.col("target_data"), F.lit('<event name="error"'), F.lit(f'<event name="{events.DEADLOCK_REPORT}"')
+    )
+    buffers = ring_buffers(spark, sf).withColumn("target_data", named)
+    return events.deadlock_events(buffers, keep=["event_id"], ordered=False)
+
+
 @query(
     "recent_deadlocks",
     f"""SELECT ts + INTERVAL 1 HOUR AS local_time, {_SQL_EVENT} AS deadlock_report FROM events

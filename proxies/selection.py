@@ -126,6 +126,32 @@ def select_items_per_server(spark, sf):
     return picked.select("p_partkey", "selected", "start_position")
 
 
+@query(
+    "select_items_by_patterns",
+    """WITH i AS (SELECT p_partkey, p_brand AS server, p_name || ' ' || CAST(p_partkey AS VARCHAR) AS name FROM part),
+    r AS (SELECT p_brand AS server, p_partkey AS pos, p_partkey % 7 <> 0 AS yes,
+        upper(left(p_name, 3)) || '%' || right(CAST(p_partkey AS VARCHAR), 2) AS pattern FROM part),
+    m AS (SELECT i.p_partkey, min(pos) FILTER (yes) AS p, coalesce(bool_or(NOT yes), FALSE) AS x
+      FROM i LEFT JOIN r ON r.server = i.server AND i.name ILIKE r.pattern GROUP BY i.p_partkey)
+    SELECT p_partkey, p IS NOT NULL AND NOT x AS selected, CAST(p AS INTEGER) AS start_position FROM m""",
+)
+def select_items_by_patterns(spark, sf):
+    """A pattern per part: three letters of the name, and the last two digits of the key."""
+    part = load(spark, sf, "part")
+    key = F.col("p_partkey").cast("string")
+    items = part.select(
+        "p_partkey", F.col("p_brand").alias("server"), F.concat("p_name", F.lit(" "), key).alias("database_name")
+    )
+    rules = part.select(
+        F.col("p_brand").alias("server"),
+        F.concat(F.upper(F.left("p_name", F.lit(3))), F.lit("%"), F.right(key, F.lit(2))).alias("database_name"),
+        F.col("p_partkey").cast("int").alias("start_position"),
+        (F.col("p_partkey") % 7 != 0).alias("selected"),
+    )
+    picked = selection.select_items(items, rules, ["database_name"], keys=["server"])
+    return picked.select("p_partkey", "selected", "start_position")
+
+
 @query(
     "select_by_group",
     """SELECT p_partkey, p_brand ILIKE 'Brand#1%' AND p_brand <> 'Brand#12' AS selected,
@@ -152,6 +178,8 @@ CUSTOMERS = {
     "start_position": "c_nationkey",
     "database_size": "CAST(abs(round(c_acctbal)) AS BIGINT)",
     "log_size": "CAST(abs(round(c_acctbal * 100)) AS BIGINT)",
+    "last_good_check": "CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 97 END",
+    "last_command_time": "CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 89 END",
 }
 
 
@@ -176,6 +204,22 @@ def order_items_by_size(spark, sf):
     )
 
 
+#: The orders that no query above or below asks for; an unread time is NULL.
+for _mode, _order in (
+    ("DATABASE_NAME_ASC", "name"),
+    ("DATABASE_NAME_DESC", "name DESC"),
+    ("DATABASE_SIZE_ASC", "database_size, name"),
+    ("LOG_SIZE_SINCE_LAST_LOG_BACKUP_DESC", "log_size DESC, name"),
+    ("DATABASE_LAST_GOOD_CHECK_ASC", "last_good_check NULLS FIRST, name"),
+    ("DATABASE_LAST_GOOD_CHECK_DESC", "last_good_check DESC NULLS LAST, name"),
+    ("REPLICA_LAST_GOOD_CHECK_DESC", "last_command_time DESC NULLS LAST, name"),
+):
+
+    @query(f"order_items_{_mode.lower()}", _sql_order(_order))
+    def _ordered(spark, sf, mode=_mode):
+        return selection.order_items(customer_items(spark, sf), mode).select("name", "item_order")
+
+
 @query(
     "order_items_per_server",
     f"""WITH i AS (SELECT {sql_columns(CUSTOMERS)} FROM customer)
@@ -196,8 +240,8 @@ def order_items_per_server(spark, sf):
     f"""WITH i AS (SELECT {sql_columns(CUSTOMERS)}, c_custkey FROM customer),
     l AS (SELECT o_custkey, max(o_orderdate) AS last_command_time FROM orders
       WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' GROUP BY o_custkey)
-    SELECT name, last_command_time,
-      row_number() OVER (ORDER BY last_command_time NULLS FIRST, name) AS item_order
+    SELECT name, l.last_command_time,
+      row_number() OVER (ORDER BY l.last_command_time NULLS FIRST, name) AS item_order
     FROM i LEFT JOIN l ON c_custkey = o_custkey WHERE selected""",
 )
 def order_items_by_last_check(spark, sf):
@@ -211,7 +255,7 @@ def order_items_by_last_check(spark, sf):
         },
     )
     last = history.last_success(log).withColumnRenamed("max_start_time", "last_command_time")
-    items = customer_items(spark, sf).join(last, "database_name", "left")
+    items = customer_items(spark, sf).drop("last_command_time").join(last, "database_name", "left")
     return selection.order_items(items, "REPLICA_LAST_GOOD_CHECK_ASC").select(
         "name", "last_command_time", "item_order"
     )

@@ -147,3 +147,35 @@ def test_schemas_parse_and_read(spark, tmp_path):
     spark.createDataFrame([], schema_of("wait_stats")).write.parquet(f"{tmp_path}/wait_stats")
     assert readers.read_landed(spark, str(tmp_path), "wait_stats").count() == 0
     assert readers.stream_landed(spark, str(tmp_path), "wait_stats").isStreaming
+
+
+def test_event_files_keep_broken_elements(spark, tmp_path):
+    """Whatever breaks an element, the others of its file come through, in batch and as a stream."""
+    good = '<event name="{}" timestamp="2024-01-01T00:00:0{}Z"><data name="m"><value>{}</value></data></event>'
+    texts = {
+        "a.xml": "<R>" + good.format("one", 1, "x &amp; y") + '<event name="bad"><data name="m"><value>oops</data></event>'
+        + good.format("two", 2, "z") + '<event name="self" timestamp="zz"/>\n<!-- none -->' + good.format("three", 3, "") + "</R>",
+        "b.xml": "<?xml version='1.0'?><R>" + good.format("cdata", 4, "<![CDATA[a</event>b]]>") + good.format("four", 5, "é") + "</R><R>"
+        + good.format("next", 6, "1") + '</R>\n<R><event name="cut"><data name="m">',
+        "c.xml": "<R></R>",
+    }
+    (tmp_path / "in").mkdir()
+    for name, text in texts.items():
+        (tmp_path / "in" / name).write_text(text)
+
+    def found(df):
+        items = events.item_value("data", "m").alias("m")
+        return sorted((r.file_name, r.event_name or "", r.m, r.malformed is not None) for r in df.select(
+            "file_name", "event_name", items, "malformed").collect())
+
+    batch = readers.read_event_xml(spark, str(tmp_path / "in"))
+    names = [(f, n, bad) for f, n, _, bad in found(batch)]
+    assert [n for f, n, bad in names if not bad] == ["one", "self", "three", "two", "four", "next"]
+    assert {f for f, _, bad in names if bad} == {"a.xml", "b.xml"}
+    assert sum("cut" in r.malformed for r in batch.filter("malformed is not null").collect()) == 1
+    assert ("a.xml", "one", "x & y", False) in found(batch)
+    stream = readers.stream_event_xml(spark, str(tmp_path / "in"), 1)
+    run = (stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+           .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    run.awaitTermination()
+    assert found(spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))) == found(batch)

@@ -130,3 +130,36 @@ def test_validate(rows):
     values = rows("a string", ("X",), ("X",), ("Y",), (None,), ("BAD",))
     assert as_set(selection.validate_choices(values, "a", ["X", "Y"])) == [
         ("BAD", "NOT_ALLOWED", 1), ("X", "DUPLICATE", 2)]
+
+
+def test_many_patterns_per_key_meet_their_items(spark):
+    """Patterns of all shapes, with classes, anchors and letters of other alphabets, per server and as one list."""
+    rng = random.Random(6)
+    letters = "abAB_1é.ß-"
+    names = sorted({"".join(rng.choices(letters, k=rng.randrange(1, 9))) for _ in range(150)})
+    patterns = []
+    for i in range(900):
+        base = "".join(rng.choices(letters, k=rng.randrange(0, 4)))
+        shape = rng.choice(["%{}%", "{}%", "%{}", "{}%{}", "[ab]{}%", "{}[^a]%", "%", "{}", "%[_]{}", "%{}%[1é]%"])
+        patterns.append((shape.format(base, base[::-1]) or "x", i + 1, rng.random() < 0.9))
+    servers = ["s1", "s2", "none"]
+    items = spark.createDataFrame([(s, n) for s in servers for n in names], "server string, name string")
+    ruled = [(rng.choice(servers[:2]), *p) for p in patterns] + [("s1", None, 1, True)]
+    rules = spark.createDataFrame(ruled, "server string, name string, start_position int, selected boolean")
+    per_server = select_items(items, rules, ["name"], keys=["server"])
+    found = {(r.server, r.name): (r.selected, r.start_position) for r in per_server.collect()}
+    assert len(found) == items.count()
+    for server in servers:
+        own = rules.filter(F.col("server") == server).drop("server")
+        short = select_items(items.filter(F.col("server") == server).drop("server"), own, ["name"])
+        want = {(server, r.name): (r.selected, r.start_position) for r in short.collect()}
+        assert {k: v for k, v in found.items() if k[0] == server} == want
+        assert own.count() <= LITERAL_RULES
+    long = rules.drop("server")
+    one = {r.name: (r.selected, r.start_position) for r in select_items(items.filter("server = 's1'").drop("server"), long, ["name"]).collect()}
+    both = {}
+    for name in names:
+        hits = [found["s1", name], found["s2", name]]
+        places = [p for _, p in hits if p is not None]
+        both[name] = min(places, default=None)
+    assert {n: p for n, (_, p) in one.items()} == both
