@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.operators import maintenance
+from fleetlens.operators.selection import as_rules
 from fleetlens.plans import index_maintenance_plan
 from proxies.base import derive, load, query, sql_columns
 
@@ -389,10 +390,12 @@ _FRESH = "NOT resumable_index_operation"
 _ROW = "index_type IN (1, 2, 3, 4)"
 
 
-@query(
-    "index_command",
-    f"""WITH {_SQL_ACTIONS},
-    o AS (SELECT *, concat_ws(', ',
+_INDEX_OPTIONS = {
+    "sort_in_tempdb": True, "max_dop": 4, "fill_factor": 90, "pad_index": True, "resumable": True,
+    "max_duration_minutes": 60, "low_priority_minutes": 5, "low_priority_abort": "self",
+}
+_STATISTICS_OPTIONS = {"max_dop": 2, "sample": 25}
+_SQL_INDEX_OPTIONS = f"""concat_ws(', ',
         CASE WHEN {_REBUILD} AND {_ROW} AND {_FRESH} THEN 'SORT_IN_TEMPDB = ON' END,
         CASE WHEN action = 'INDEX_REBUILD_ONLINE' AND {_FRESH} THEN
           'ONLINE = ON (WAIT_AT_LOW_PRIORITY (MAX_DURATION = 5, ABORT_AFTER_WAIT = SELF))' END,
@@ -403,65 +406,78 @@ _ROW = "index_type IN (1, 2, 3, 4)"
         CASE WHEN action = 'INDEX_REBUILD_ONLINE' AND {_FRESH} THEN CASE WHEN index_type IN (1, 2)
           AND NOT is_computed AND NOT is_timestamp THEN 'RESUMABLE = ON, MAX_DURATION = 60'
           ELSE 'RESUMABLE = OFF' END END,
-        CASE WHEN action = 'INDEX_REORGANIZE' THEN 'LOB_COMPACTION = ON' END) AS opts FROM c)
-    SELECT object_id, CASE WHEN index_id IS NOT NULL AND action IS NOT NULL THEN
+        CASE WHEN action = 'INDEX_REORGANIZE' THEN 'LOB_COMPACTION = ON' END)"""
+_SQL_INDEX_COMMAND = f"""CASE WHEN index_id IS NOT NULL AND action IS NOT NULL THEN
         'ALTER INDEX [' || replace(index_name, ']', ']]') || '] ON [' || schema_name || '].[' || object_name || ']'
         || CASE WHEN resumable_index_operation THEN ' RESUME' WHEN {_REBUILD} THEN ' REBUILD'
              ELSE ' REORGANIZE' END
         || CASE WHEN {_PART} AND {_FRESH} THEN ' PARTITION = ' || CAST(partition_number AS VARCHAR) ELSE '' END
-        || CASE WHEN opts <> '' THEN ' WITH (' || opts || ')' ELSE '' END END AS index_command,
-      CASE WHEN index_id IS NOT NULL THEN
-        'ObjectType: ' || CASE object_type WHEN 'U' THEN 'Table' ELSE 'View' END || ', IndexType: ' || {_KINDS}
+        || CASE WHEN opts <> '' THEN ' WITH (' || opts || ')' ELSE '' END END"""
+_SQL_TABLE_OR_VIEW = "'ObjectType: ' || CASE object_type WHEN 'U' THEN 'Table' ELSE 'View' END"
+_SQL_INDEX_COMMENT = f"""CASE WHEN index_id IS NOT NULL THEN
+        {_SQL_TABLE_OR_VIEW} || ', IndexType: ' || {_KINDS}
         || ', ImageText: ' || {_sql_flag('is_image_text')} || ', NewLOB: ' || {_sql_flag('is_new_lob')}
         || ', FileStream: ' || {_sql_flag('is_filestream')} || ', ColumnStore: ' || {_sql_flag('is_columnstore')}
         || ', Computed: ' || {_sql_flag('is_computed')} || ', Timestamp: ' || {_sql_flag('is_timestamp')}
         || ', AllowPageLocks: ' || {_sql_flag('allow_page_locks')}
-        || ', PageCount: ' || CAST(page_count AS VARCHAR)
-        || ', Fragmentation: ' || coalesce(CAST(fragmentation_level AS VARCHAR), 'N/A') END AS index_comment
-    FROM o""",
+        || ', PageCount: ' || coalesce(CAST(page_count AS VARCHAR), 'N/A')
+        || ', Fragmentation: ' || coalesce(CAST(fragmentation_level AS VARCHAR), 'N/A') END"""
+_SQL_STATISTICS_OPTIONS = """concat_ws(', ', 'MAXDOP = 2', CASE WHEN NOT is_incremental THEN 'SAMPLE 25 PERCENT' END,
+        CASE WHEN is_incremental THEN 'RESAMPLE' END, CASE WHEN no_recompute THEN 'NORECOMPUTE' END)"""
+_SQL_STATISTICS_COMMAND = """CASE WHEN statistics_id IS NOT NULL AND update_statistics THEN
+        'UPDATE STATISTICS [' || schema_name || '].[' || object_name || '] [' || statistics_name || '] WITH '
+        || stat_opts || CASE WHEN is_incremental AND partition_number IS NOT NULL THEN
+          ' ON PARTITIONS(' || CAST(partition_number AS VARCHAR) || ')' ELSE '' END END"""
+_SQL_STATISTICS_COMMENT = f"""CASE WHEN statistics_id IS NOT NULL THEN
+        {_SQL_TABLE_OR_VIEW}
+        || ', IndexType: ' || CASE WHEN index_id IS NOT NULL THEN 'Index, IndexType: ' || {_KINDS}
+             ELSE 'Column' END
+        || ', Incremental: ' || CASE WHEN is_incremental THEN 'Y' ELSE 'N' END
+        || ', RowCount: ' || coalesce(CAST(row_count AS VARCHAR), 'N/A')
+        || ', ModificationCounter: ' || coalesce(CAST(modification_counter AS VARCHAR), 'N/A') END"""
+
+
+def _sql_note(known: str, **elements: str) -> str:
+    inner = " || ".join(
+        f"coalesce('<{n}>' || CAST({c} AS VARCHAR) || '</{n}>', '')" for n, c in elements.items()
+    )
+    anything = " OR ".join(f"{c} IS NOT NULL" for c in elements.values())
+    return f"""CASE WHEN {known} IS NOT NULL AND ({anything}) THEN '<ExtendedInfo>' || {inner}
+      || '</ExtendedInfo>' END"""
+
+
+_SQL_INDEX_INFO = _sql_note("index_id", PageCount="page_count", Fragmentation="fragmentation_level")
+_SQL_STATISTICS_INFO = _sql_note(
+    "statistics_id", RowCount="row_count", ModificationCounter="modification_counter"
+)
+
+
+@query(
+    "index_command",
+    f"""WITH {_SQL_ACTIONS}, o AS (SELECT *, {_SQL_INDEX_OPTIONS} AS opts FROM c)
+    SELECT object_id, {_SQL_INDEX_COMMAND} AS index_command, {_SQL_INDEX_COMMENT} AS index_comment FROM o""",
 )
 def index_command(spark, sf):
-    return maintenance.index_command(
-        acted(spark, sf), sort_in_tempdb=True, max_dop=4, fill_factor=90, pad_index=True,
-        resumable=True, max_duration_minutes=60, low_priority_minutes=5, low_priority_abort="self",
-    ).select("object_id", "index_command", "index_comment")
+    commanded = maintenance.index_command(acted(spark, sf), **_INDEX_OPTIONS)
+    return commanded.select("object_id", "index_command", "index_comment")
 
 
 @query(
     "statistics_command",
-    f"""WITH {_SQL_STATS},
-    o AS (SELECT *, concat_ws(', ', 'MAXDOP = 2', CASE WHEN NOT is_incremental THEN 'SAMPLE 25 PERCENT' END,
-        CASE WHEN is_incremental THEN 'RESAMPLE' END, CASE WHEN no_recompute THEN 'NORECOMPUTE' END) AS opts
-      FROM u)
-    SELECT object_id, CASE WHEN statistics_id IS NOT NULL AND update_statistics THEN
-        'UPDATE STATISTICS [' || schema_name || '].[' || object_name || '] [' || statistics_name || '] WITH '
-        || opts || CASE WHEN is_incremental AND partition_number IS NOT NULL THEN
-          ' ON PARTITIONS(' || CAST(partition_number AS VARCHAR) || ')' ELSE '' END END AS statistics_command,
-      CASE WHEN statistics_id IS NOT NULL THEN
-        'ObjectType: ' || CASE object_type WHEN 'U' THEN 'Table' ELSE 'View' END
-        || ', IndexType: ' || CASE WHEN index_id IS NOT NULL THEN 'Index, IndexType: ' || {_KINDS}
-             ELSE 'Column' END
-        || ', Incremental: ' || CASE WHEN is_incremental THEN 'Y' ELSE 'N' END
-        || ', RowCount: ' || CAST(row_count AS VARCHAR)
-        || ', ModificationCounter: ' || CAST(modification_counter AS VARCHAR) END AS statistics_comment
-    FROM o""",
+    f"""WITH {_SQL_STATS}, o AS (SELECT *, {_SQL_STATISTICS_OPTIONS} AS stat_opts FROM u)
+    SELECT object_id, {_SQL_STATISTICS_COMMAND} AS statistics_command,
+      {_SQL_STATISTICS_COMMENT} AS statistics_comment FROM o""",
 )
 def statistics_command(spark, sf):
     return maintenance.statistics_command(
-        decided(spark, sf), version=15.0, max_dop=2, sample=25, per_partition=True
+        decided(spark, sf), version=15.0, per_partition=True, **_STATISTICS_OPTIONS
     ).select("object_id", "statistics_command", "statistics_comment")
 
 
 @query(
     "extended_info",
     f"""WITH t AS (SELECT {_SQL_COLUMNS} FROM part)
-    SELECT object_id, CASE WHEN index_id IS NOT NULL THEN '<ExtendedInfo><PageCount>'
-        || CAST(page_count AS VARCHAR) || '</PageCount>' || coalesce('<Fragmentation>'
-        || CAST(fragmentation_level AS VARCHAR) || '</Fragmentation>', '') || '</ExtendedInfo>' END AS index_info,
-      CASE WHEN statistics_id IS NOT NULL THEN '<ExtendedInfo><RowCount>' || CAST(row_count AS VARCHAR)
-        || '</RowCount><ModificationCounter>' || CAST(modification_counter AS VARCHAR)
-        || '</ModificationCounter></ExtendedInfo>' END AS statistics_info
-    FROM t""",
+    SELECT object_id, {_SQL_INDEX_INFO} AS index_info, {_SQL_STATISTICS_INFO} AS statistics_info FROM t""",
 )
 def extended_info(spark, sf):
     return maintenance.extended_info(targets(spark, sf)).select(
@@ -484,15 +500,43 @@ STATS_PROPERTIES = {
 PARTS = 64
 
 
-def _plan_sql(counter: str) -> str:
-    return f"""{_SQL_TARGETS}, {_SQL_FRAGMENTATION},
+_DATABASE = "concat('DB', CAST(object_id % 3 AS STRING))"
+#: The list of the keyed plan, and what it says in SQL.
+PLAN_RULES = "DB1.%.%.IX%, DB2.algeria.%.%,-%.%.%bolt%.%"
+_SQL_CHOSEN = """, picked AS (SELECT *, CASE WHEN database_name = 'DB1'
+        AND coalesce(index_name, statistics_name) ILIKE 'IX%' THEN 1
+        WHEN database_name = 'DB2' AND schema_name = 'ALGERIA' THEN 13 END AS start_position
+      FROM (SELECT *, 'DB' || CAST(object_id % 3 AS VARCHAR) AS database_name FROM targets)
+      WHERE object_name NOT ILIKE '%bolt%')"""
+#: What a row of the plan says, besides its target.
+_PLAN_COLUMNS = [
+    "item_order", "start_position", "fragmentation_level", "page_count", "row_count",
+    "modification_counter", "fragmentation_group", "action", "update_statistics", "index_command",
+    "index_comment", "statistics_command", "statistics_comment", "index_info", "statistics_info",
+]
+_TARGET_COLUMNS = [
+    "object_id", "index_id", "index_name", "index_type", "allow_page_locks", "is_image_text",
+    "is_new_lob", "is_filestream", "is_columnstore", "is_computed", "is_timestamp",
+    "on_read_only_filegroup", "resumable_index_operation", "statistics_id", "statistics_name",
+    "no_recompute", "is_incremental", "partition_id", "partition_number", "partition_count",
+    "object_name", "object_type", "schema_id", "schema_name", "is_memory_optimized",
+]
+
+
+def _plan_sql(counter: str, keyed: bool = False) -> str:
+    chosen = _SQL_CHOSEN if keyed else ", picked AS (SELECT *, NULL AS start_position FROM targets)"
+    keys = "database_name, " if keyed else ""
+    within = "PARTITION BY database_name " if keyed else ""
+    return f"""{_SQL_TARGETS}{chosen}, {_SQL_FRAGMENTATION},
     properties AS (SELECT {sql_columns(STATS_PROPERTIES)} FROM lineitem
       GROUP BY l_partkey, {STATS['stats_id']}),
     parts AS (SELECT object_id, stats_id, unnest(range(1, {PARTS} + 1)) AS part, modification_counter
       FROM properties),
-    o AS (SELECT *, row_number() OVER (ORDER BY coalesce(resumable_index_operation, FALSE) DESC, schema_name,
+    o AS (SELECT *, row_number() OVER ({within}ORDER BY coalesce(resumable_index_operation, FALSE) DESC,
+        start_position, schema_name,
         object_name, (index_type IS NULL)::INT, index_type NULLS FIRST, index_name NULLS FIRST,
-        statistics_name NULLS FIRST, partition_number NULLS FIRST, object_id) AS item_order FROM targets),
+        statistics_name NULLS FIRST, partition_number NULLS FIRST, object_id) AS item_order FROM picked
+      WHERE {'start_position IS NOT NULL' if keyed else 'TRUE'}),
     m AS (SELECT o.*, fragmentation_level, page_count, q.rows AS row_count, {counter} AS modification_counter,
         coalesce(o.index_id IS NOT NULL AND NOT on_read_only_filegroup
           AND NOT coalesce(is_memory_optimized, FALSE), FALSE) AS ok
@@ -501,29 +545,36 @@ def _plan_sql(counter: str) -> str:
         LEFT JOIN properties q ON o.object_id = q.object_id AND o.statistics_id = q.stats_id
         LEFT JOIN parts p ON o.object_id = p.object_id AND o.statistics_id = p.stats_id
           AND o.partition_number = p.part),
-    g AS (SELECT *, CASE WHEN index_id IS NOT NULL AND NOT on_read_only_filegroup THEN {_GROUP} END AS fg,
+    g AS (SELECT *, CASE WHEN index_id IS NOT NULL AND NOT on_read_only_filegroup THEN {_GROUP} END
+          AS fragmentation_group,
         ok AND index_type IN (1, 2, 3, 4, 5) AND (allow_page_locks OR index_type = 5) AS can_reorg,
         ok AND index_type IN (1, 2, 3, 4, 5) AS can_off,
         ok AND NOT is_columnstore AND (index_type = 2 OR (index_type = 1 AND NOT is_image_text
           AND (NOT is_new_lob OR NOT is_filestream))) AS can_on FROM m),
     c AS (SELECT *, CASE WHEN resumable_index_operation THEN 'INDEX_REBUILD_ONLINE'
         WHEN index_id IS NULL OR page_count IS NULL OR page_count < 1000 THEN NULL
-        WHEN fg = 'Medium' THEN CASE WHEN can_reorg THEN 'INDEX_REORGANIZE'
+        WHEN fragmentation_group = 'Medium' THEN CASE WHEN can_reorg THEN 'INDEX_REORGANIZE'
           WHEN can_on THEN 'INDEX_REBUILD_ONLINE' WHEN can_off THEN 'INDEX_REBUILD_OFFLINE' END
-        WHEN fg = 'High' THEN CASE WHEN can_on THEN 'INDEX_REBUILD_ONLINE'
-          WHEN can_off THEN 'INDEX_REBUILD_OFFLINE' END END AS action FROM g)
-    SELECT item_order, object_id, index_id, statistics_id, partition_number, page_count,
-      fg AS fragmentation_group, action,
+        WHEN fragmentation_group = 'High' THEN CASE WHEN can_on THEN 'INDEX_REBUILD_ONLINE'
+          WHEN can_off THEN 'INDEX_REBUILD_OFFLINE' END END AS action FROM g),
+    u AS (SELECT *, {_SQL_INDEX_OPTIONS} AS opts, {_SQL_STATISTICS_OPTIONS} AS stat_opts,
       coalesce(statistics_id IS NOT NULL AND (index_type IN (1, 2, 3, 4, 7) OR index_id IS NULL)
         AND modification_counter > 0
         AND ((NOT {_PART} AND coalesce(action NOT IN ('INDEX_REBUILD_ONLINE', 'INDEX_REBUILD_OFFLINE'), TRUE))
           OR ({_PART} AND (coalesce(partition_number = partition_count, FALSE) OR is_incremental))), FALSE)
-        AS update_statistics
-    FROM c"""
-
-
-@query("index_maintenance_plan", _plan_sql("q.modification_counter"))
-def maintenance_plan(spark, sf, per_partition=False):
+        AS update_statistics FROM c)
+    SELECT {keys}{', '.join(_TARGET_COLUMNS)}, item_order, start_position, fragmentation_level, page_count,
+      row_count, modification_counter, fragmentation_group, action, update_statistics,
+      concat_ws(',', CASE WHEN can_reorg THEN 'INDEX_REORGANIZE' END,
+        CASE WHEN can_off THEN 'INDEX_REBUILD_OFFLINE' END, CASE WHEN can_on THEN 'INDEX_REBUILD_ONLINE' END)
+        AS actions,
+      {_SQL_INDEX_COMMAND} AS index_command, {_SQL_INDEX_COMMENT} AS index_comment,
+      {_SQL_STATISTICS_COMMAND} AS statistics_command, {_SQL_STATISTICS_COMMENT} AS statistics_comment,
+      {_SQL_INDEX_INFO} AS index_info, {_SQL_STATISTICS_INFO} AS statistics_info
+    FROM u"""
+
+
+def _properties(spark, sf: str, per_partition: bool) -> DataFrame:
     stats_id = F.expr(STATS["stats_id"]).alias("stats_id")
     properties = (
         load(spark, sf, "lineitem")
@@ -531,22 +582,32 @@ def maintenance_plan(spark, sf, per_partition=False):
         .agg(*_aggregates(STATS_PROPERTIES, ["object_id", "stats_id", "partition_number"]))
         .withColumn("partition_number", F.lit(None).cast("int"))
     )
-    if per_partition:
-        own = properties.withColumns({
-            "partition_number": F.explode(F.sequence(F.lit(1), F.lit(PARTS))),
-        })
-        own = own.withColumn(
-            "modification_counter",
-            F.when(F.col("partition_number") % 2 == 1, F.col("modification_counter")).otherwise(0),
-        )
-        properties = properties.unionByName(own)
+    if not per_partition:
+        return properties
+    own = properties.withColumns({
+        "partition_number": F.explode(F.sequence(F.lit(1), F.lit(PARTS))),
+    })
+    own = own.withColumn(
+        "modification_counter",
+        F.when(F.col("partition_number") % 2 == 1, F.col("modification_counter")).otherwise(0),
+    )
+    return properties.unionByName(own)
+
+
+def _plan(spark, sf: str, tables, measured, properties, keys=(), rules=None) -> DataFrame:
     plan = index_maintenance_plan(
-        catalog(spark, sf), physical_stats(spark, sf), properties, update_statistics="ALL",
-        only_modified=True,
+        tables, measured, properties, keys, rules, update_statistics="ALL", only_modified=True,
+        index_options=_INDEX_OPTIONS, statistics_options=_STATISTICS_OPTIONS,
     )
     return plan.select(
-        "item_order", "object_id", "index_id", "statistics_id", "partition_number", "page_count",
-        "fragmentation_group", "action", "update_statistics",
+        *keys, *_TARGET_COLUMNS, *_PLAN_COLUMNS, F.array_join("allowed_actions", ",").alias("actions")
+    )
+
+
+@query("index_maintenance_plan", _plan_sql("q.modification_counter"))
+def maintenance_plan(spark, sf, per_partition=False):
+    return _plan(
+        spark, sf, catalog(spark, sf), physical_stats(spark, sf), _properties(spark, sf, per_partition)
     )
 
 
@@ -559,3 +620,20 @@ def maintenance_plan(spark, sf, per_partition=False):
 )
 def maintenance_plan_incremental(spark, sf):
     return maintenance_plan(spark, sf, per_partition=True)
+
+
+@query("index_maintenance_plan_by_rules", _plan_sql("q.modification_counter", keyed=True))
+def maintenance_plan_by_rules(spark, sf):
+    """Three databases, each with the objects of a third of the ids, and a selection list."""
+
+    def placed(df: DataFrame) -> DataFrame:
+        if "object_id" in df.columns:
+            return df.withColumn("database_name", F.expr(_DATABASE))
+        names = F.array(*[F.lit(f"DB{i}") for i in range(3)])
+        return df.withColumn("database_name", F.explode(names))
+
+    tables = {name: placed(df) for name, df in catalog(spark, sf).items()}
+    return _plan(
+        spark, sf, tables, placed(physical_stats(spark, sf)), placed(_properties(spark, sf, False)),
+        ["database_name"], as_rules(spark, PLAN_RULES, "indexes"),
+    )
