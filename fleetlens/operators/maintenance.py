@@ -63,42 +63,50 @@ def _any(condition: Column, name: str) -> Column:
     return F.bool_or(F.coalesce(condition, F.lit(False))).alias(name)
 
 
-def _column_facts(catalog: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Type-dependent facts of every column: one row per (object, column)."""
-    columns = catalog["columns"]
-    of_type = catalog["types"].select(
-        *keys,
-        F.col("system_type_id").alias("_system_id"),
-        F.col("user_type_id").alias("_user_id"),
-        F.col("name").alias("_type"),
-        "is_assembly_type",
+def _columns_with_facts(catalog: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Columns with what follows from their types, in one pass over them.
+
+    A type is looked up by the column's system type, by its own type where that is an assembly
+    type, and by the family of its system type; each lookup has one row per id.
+    """
+    by_own_id = catalog["types"].groupBy(*keys, "user_type_id").agg(
+        F.max("name").alias("name"), _any(F.col("is_assembly_type"), "is_assembly")
     )
-    assembly, unlimited = F.col("is_assembly_type"), F.col("max_length") == -1
-    lob = (
-        (F.col("_type") == "xml")
-        | (F.col("_type").isin("varchar", "nvarchar", "varbinary") & unlimited)
-        | (assembly & unlimited)
+    families = catalog["types"].groupBy(*keys, "system_type_id").agg(
+        _any(F.col("name") == "timestamp", "_stamp")
     )
-    image = F.col("_type").isin("image", "text", "ntext")
-
-    def facts(types: DataFrame, match: Mapping[str, str], **flags: Column) -> DataFrame:
-        # An OR of two type keys is two equality joins.
-        right = types.withColumnsRenamed({f"_{v}": k for k, v in match.items()})
-        joined = columns.join(right, [*keys, *match])
-        values = {n: flags.get(n, F.lit(False)) for n in ("image", "lob", "stamp")}
-        return joined.select(
-            *keys, "object_id", "column_id", *[v.alias(n) for n, v in values.items()]
+
+    def named(prefix: str, column: str) -> DataFrame:
+        return by_own_id.select(
+            *keys,
+            F.col("user_type_id").alias(column),
+            F.col("name").alias(f"{prefix}_name"),
+            F.col("is_assembly").alias(f"{prefix}_assembly"),
         )
 
-    named = (
-        facts(of_type, {"system_type_id": "user_id"}, image=image, lob=lob)
-        .unionByName(facts(of_type.filter(assembly), {"user_type_id": "user_id"}, lob=lob))
-        .unionByName(
-            facts(of_type, {"system_type_id": "system_id"}, stamp=F.col("_type") == "timestamp")
+    def is_lob(prefix: str) -> Column:
+        unlimited = F.col("max_length") == -1
+        name = F.col(f"{prefix}_name")
+        return (
+            (name == "xml")
+            | (name.isin("varchar", "nvarchar", "varbinary") & unlimited)
+            | (F.col(f"{prefix}_assembly") & unlimited)
         )
+
+    typed = (
+        catalog["columns"]
+        .join(named("_base", "system_type_id"), [*keys, "system_type_id"], "left")
+        .join(named("_own", "user_type_id").filter("_own_assembly"), [*keys, "user_type_id"], "left")
+        .join(families, [*keys, "system_type_id"], "left")
     )
-    return named.groupBy(*keys, "object_id", "column_id").agg(
-        _any(F.col("image"), "image"), _any(F.col("lob"), "lob"), _any(F.col("stamp"), "stamp")
+    facts = {
+        "image": F.col("_base_name").isin("image", "text", "ntext"),
+        "lob": F.coalesce(is_lob("_base"), F.lit(False)) | F.coalesce(is_lob("_own"), F.lit(False)),
+        "stamp": F.col("_stamp"),
+    }
+    return typed.select(
+        *keys, "object_id", "column_id", "is_filestream", "is_computed",
+        *[F.coalesce(c, F.lit(False)).alias(n) for n, c in facts.items()],
     )
 
 
@@ -201,16 +209,18 @@ def _index_rows(
             "allow_page_locks",
             "data_space_id",
         )
-        .join(stats, idx, "left")
+        .dropDuplicates(idx)
+        .join(stats.dropDuplicates(idx), idx, "left")
         .join(per_index, idx, "left")
         .join(paused, idx, "left")
     )
     if partition_level:
-        parts = catalog["partitions"].select(*idx, "partition_id", "partition_number")
-        counts = parts.groupBy(*idx).agg(
-            F.count_distinct("partition_number").cast("int").alias("partition_count")
+        # An index has a bounded number of partitions, so they travel with it as a set.
+        parts = catalog["partitions"].groupBy(*idx).agg(
+            F.count_distinct("partition_number").cast("int").alias("partition_count"),
+            F.collect_set(F.struct("partition_id", "partition_number")).alias("_parts"),
         )
-        rows = rows.join(counts, idx, "left").join(parts, idx, "left")
+        rows = rows.join(parts, idx, "left").select("*", F.inline_outer("_parts")).drop("_parts")
     else:
         for name, kind in (("partition_id", "bigint"), ("partition_number", "int"),
                            ("partition_count", "int")):
@@ -253,9 +263,10 @@ def _statistics_rows(
     """Statistics that belong to no index."""
     obj = [*keys, "object_id"]
     indexed = catalog["indexes"].select(*obj, F.col("index_id").alias("stats_id"))
-    alone = catalog["stats"].join(indexed, [*obj, "stats_id"], "left_anti")
+    known = catalog["stats"].dropDuplicates([*obj, "stats_id"])
+    alone = known.join(indexed, [*obj, "stats_id"], "left_anti")
     if per_partition:
-        parts = catalog["incremental_stats"].select(*obj, "stats_id", "partition_number")
+        parts = catalog["incremental_stats"].select(*obj, "stats_id", "partition_number").distinct()
         alone = alone.join(parts, [*obj, "stats_id"], "left")
     else:
         alone = alone.withColumn("partition_number", F.lit(None).cast("int"))
@@ -293,11 +304,11 @@ def index_stat_targets(
     filegroups destination_data_spaces resumable_operations`` (and ``incremental_stats`` with
     ``incremental_partitions``) to catalog tables.  ``update_statistics`` is ``ALL``, ``INDEX``,
     ``COLUMNS`` or None.  Existence tests are one aggregated flag table per grain, joined once.
+    Catalog rows that were landed twice count once: they are told apart by their ids, before the
+    joins, where a join on these ids follows anyway.
     """
     k = list(keys)
-    columns = catalog["columns"].select(
-        *k, "object_id", "column_id", "is_filestream", "is_computed"
-    ).join(_column_facts(catalog, k), [*k, "object_id", "column_id"], "left")
+    columns = _columns_with_facts(catalog, k)
     objects = _object_facts(catalog, k, columns, ms_shipped)
     branches = []
     if actions or update_statistics in ("ALL", "INDEX"):
@@ -306,7 +317,7 @@ def index_stat_targets(
         branches.append(_statistics_rows(catalog, k, objects, incremental_partitions))
     if not branches:
         raise ValueError("nothing to do: no actions and no statistics")
-    return reduce(DataFrame.unionByName, branches).distinct()
+    return reduce(DataFrame.unionByName, branches)
 
 
 def order_targets(

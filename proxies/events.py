@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.text import parent_pattern
-from fleetlens.operators import events
+from fleetlens.operators import events, needles
 from fleetlens.operators.distributed import ensure_checkpoint_dir
+from fleetlens.operators.needles import needle_index
 from fleetlens.sources.readers import read_event_xml
 from proxies.base import load, query
 
@@ -218,15 +219,25 @@ SEARCHED = {
 }
 
 
-@query(
-    "search_all_strings",
-    " UNION ALL ".join(
+def _sql_search(pattern: str) -> str:
+    return " UNION ALL ".join(
         f"SELECT '[dbo].[{t}].[{c}]' AS column_name, left({c}, 3630) AS column_value FROM {t} "
-        f"WHERE {c} ILIKE '%license%'"
+        f"WHERE {c} ILIKE '{pattern}'"
         for t, columns in SEARCHED.items()
         for c in columns
-    ),
-)
+    )
+
+
+@query("search_with_index", _sql_search("%ECONOMY%"))
+def search_with_index(spark, sf):
+    """The index is made, kept as a table, and asked."""
+    tables = {f"dbo.{t}": load(spark, sf, t) for t in SEARCHED}
+    folder = f"{ensure_checkpoint_dir(spark)}/needles-{uuid4().hex}"
+    needle_index(tables).write.parquet(folder)
+    return needles.search_with_index(spark, tables, spark.read.parquet(folder), "Economy")
+
+
+@query("search_all_strings", _sql_search("%license%"))
 def search_all_strings(spark, sf):
     tables = {f"dbo.{t}": load(spark, sf, t) for t in SEARCHED}
     return events.search_all_strings(tables, "license")

@@ -5,7 +5,7 @@ import pytest
 from conftest import as_set
 from pyspark.sql import functions as F
 
-from fleetlens.operators import events, history, synth, workload
+from fleetlens.operators import events, history, needles, synth, workload
 from fleetlens.sources import readers, sinks
 from fleetlens.sources.schemas import SCHEMAS, schema_of
 
@@ -179,3 +179,24 @@ def test_event_files_keep_broken_elements(spark, tmp_path):
            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
     run.awaitTermination()
     assert found(spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))) == found(batch)
+
+
+def test_needle_index_opens_few_files_and_loses_no_row(spark, tmp_path):
+    """Fifty files of a table, needles in none, one and all of them, of any case and with wildcards."""
+    words = [f"word{i * 7919 % 1000:03d}" for i in range(1000)]
+    data = [(i, i // 20, " ".join(words[(i * 13 + j) % 1000] for j in range(30)), None if i % 3 else f"Größe {i}") for i in range(1000)]
+    data[417] = (417, 20, "here stands a NeedLe]x, alone", "x")
+    df = spark.createDataFrame(data, "id int, file int, body string, note string")
+    df.repartitionByRange(50, "file").write.parquet(str(tmp_path / "t"))
+    tables = {"dbo.t": spark.read.parquet(str(tmp_path / "t")), "dbo.none": spark.range(3)}
+    needles.needle_index(tables).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    every = index.select("file_path").distinct().count()
+    for needle in ("needle", "NEEDLE]X", "größe 9", "GRÖSSE", "word007", "stands%alone", "nee[d]le", "zzz", "x", "%", "ds a"):
+        got = needles.search_with_index(spark, tables, index, needle)
+        assert as_set(got) == as_set(events.search_all_strings(tables, needle)), needle
+    assert every >= 40
+    opened = needles.files_to_open(index, "Needle")
+    assert 0 < opened.select("file_path").distinct().count() < every / 10
+    assert needles.files_to_open(index, "qqqq").count() == 0
+    assert needles.files_to_open(index, "a%b") is None
