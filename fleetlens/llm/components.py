@@ -40,12 +40,28 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
+#: Parts that the edges of one node are dealt over.
+PARTS = 64
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``(a, b, m)``: the edges with the smallest ``b`` of each ``a``.
+
+    The edges of a node are dealt over parts by their other end, so a node with many neighbours is
+    no hot group: its smallest one goes back to each part once.
+    """
+    dealt = edges.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)))
+    parts = dealt.groupBy("a", "part").agg(F.min("b").alias("m"))
+    least = parts.groupBy(F.col("a").alias("k")).agg(F.min("m").alias("m"))
+    back = parts.select("a", "part").join(least, F.col("a") == F.col("k")).select("a", "part", "m")
+    return dealt.join(back, ["a", "part"]).select("a", "b", "m")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` of all nodes of ``edges (a long, b long)`` but the roots themselves.
 
     The root is the smallest node of a component.  Rounds of large and small stars (every node
-    links its larger neighbours, then its smaller ones, to the smallest) end when nothing changes;
-    minimum per node is a pre-aggregated sum, so a node with many neighbours is no hot group.
+    links its larger neighbours, then its smaller ones, to the smallest) end when nothing changes.
     Loops are ignored; no edges give no rows.
     """
     last = None
@@ -56,12 +72,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         last = state
         both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(
-            F.col("a").alias("k"), F.least("a", "m").alias("m")
+        # The smallest of a node and its neighbours takes the node and all larger neighbours.
+        seen = _with_least(both).select("a", "b", F.least("a", "m").alias("m"))
+        larger = F.when(F.col("b") > F.col("a"), F.struct(F.col("b").alias("x"), F.col("m").alias("y")))
+        itself = F.when(
+            (F.col("b") == F.col("m")) & (F.col("m") < F.col("a")),
+            F.struct(F.col("a").alias("x"), F.col("m").alias("y")),
         )
-        large = both.where("b > a").join(low, F.col("a") == F.col("k")).select(
-            F.col("b").alias("a"), F.col("m").alias("b")
-        ).where("a <> b").union(low.where("m < k").select("k", "m")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
-        small = large.join(least, F.col("a") == F.col("k")).where("b <> m").select("b", "m")
-        now = save(small.union(least.select("k", "m")).toDF("a", "b").distinct(), "edges")
+        large = seen.select(F.inline(F.array_compact(F.array(larger, itself)))).where("x <> y").distinct()
+        # The smallest smaller neighbour takes the others, and the node itself.
+        known = _with_least(large.toDF("a", "b"))
+        taken = F.when(F.col("b") != F.col("m"), F.col("b")).otherwise(F.col("a"))
+        now = save(known.select(taken.alias("a"), F.col("m").alias("b")).distinct(), "edges")

@@ -237,3 +237,18 @@ WITH doc_terms AS (
 )
 SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """
+
+ORACLES["op5_threshold_top_k"] = r"""
+WITH whole AS (
+    SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+    SELECT a.vec_id AS query_id, b.vec_id,
+           list_sum([z[1] * z[2] FOR z IN list_zip(a.q, b.q)])::BIGINT AS score
+    FROM whole a JOIN whole b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
