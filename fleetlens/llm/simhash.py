@@ -79,8 +79,8 @@ def _emit(buckets: int):
         masks, few = steps()
         for batch in batches:
             every = batch.column(0).to_numpy().view(np.uint64)
-            for i in range(0, len(every), 2000):
-                fps = every[i : i + 2000]
+            for i in range(0, len(every), 500):
+                fps = every[i : i + 500]
                 odd = fps[np.bitwise_count(fps) % 2 == 1]
                 point = np.concatenate(
                     [(fps[:, None] ^ masks[:few]).ravel(), (odd[:, None] ^ masks[few:]).ravel()]
@@ -128,10 +128,12 @@ def _meet(table: pa.Table) -> pa.Table:
     if len(point):
         fp = point ^ masks[mark]
         first = np.concatenate([[True], point[1:] != point[:-1]])
-        near = np.where(mark < few, fp, np.uint64(2**64 - 1))
-        centre = np.minimum.reduceat(near, np.flatnonzero(first))[np.cumsum(first) - 1]
+        begins, size = np.flatnonzero(first), np.diff(np.append(np.flatnonzero(first), len(point)))
+        near = mark < few
+        centre = np.minimum.reduceat(np.where(near, fp, np.uint64(2**64 - 1)), begins)
         # Without a near member there is no centre, and nobody to link to.
-        starred = np.logical_or.reduceat(mark < few, np.flatnonzero(first))[np.cumsum(first) - 1]
+        starred = np.repeat(np.logical_or.reduceat(near, begins), size)
+        centre = np.repeat(centre, size)
         linked = starred & (fp != centre) & (np.bitwise_count(fp ^ centre) <= RADIUS)
         a, b = forest(fp[linked].view(np.int64), centre[linked].view(np.int64))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
