@@ -33,6 +33,8 @@ SKETCH = 0.5
 #: Distinct shingles from which a signature is taken to tell that; most of its bins are then full.
 SKETCHED = 200
 BUCKET_ENTRIES = 1_000_000
+#: Bytes of lines whose shingles are in memory at once, about; one longer line stands alone.
+PORTION = 300_000
 LEAST_BUCKETS = 96
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Rounds of new centres for groups that are not connected yet.
@@ -173,7 +175,7 @@ def _read_lines():
                         for column, value in zip(out, (doc, row, pos, *parts, line), strict=True):
                             column.append(value)
                         held += len(line)
-                if held > 4_000_000:
+                if held > 1_000_000:
                     yield drain()
                     held = 0
             yield drain()
@@ -280,11 +282,20 @@ def _stars(buckets: int):
     return run
 
 
+def _portions(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about ``PORTION`` bytes of text: what is hashed at once."""
+    texts = batch.column(column)
+    size = np.fromiter(map(len, texts.cast(pa.binary()).to_pylist()), np.int64, len(texts))
+    at = np.cumsum(size) // PORTION + np.arange(len(texts)) // 500
+    cuts = np.flatnonzero(np.diff(at, prepend=-1)).tolist() + [len(texts)]
+    for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(begin, end - begin)
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines with a byte of every signature bin and four of the number of distinct shingles."""
     for batch in batches:
-        for i in range(0, batch.num_rows, 500):
-            part = batch.slice(i, 500)
+        for part in _portions(batch, 1):
             texts = part.column(1).to_pylist()
             sign, size = signatures(texts).astype(np.uint8), shingle_counts(texts).astype("<u4")
             sketch = [s.tobytes() + n.tobytes() for s, n in zip(sign, size, strict=True)]
@@ -400,13 +411,15 @@ def _with_new_centres(left: DataFrame, turn: int) -> DataFrame:
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``line, root, s`` of the distinct shingles ``s`` of lines."""
     for batch in batches:
-        for i in range(0, batch.num_rows, 2000):
-            part = batch.slice(i, 2000)
+        for part in _portions(batch, 2):
             value, owner = shingle_hashes(part.column(2).to_pylist())
-            pairs = np.unique(np.stack([owner.astype(np.int64), value.view(np.int64)]), axis=1)
-            at = pa.array(pairs[0])
+            order = np.lexsort((value, owner))
+            value, owner = value[order].view(np.int64), owner[order]
+            new = np.ones(len(value), dtype=bool)
+            new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+            at = pa.array(owner[new])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(at), part.column(1).take(at), pa.array(pairs[1])],
+                [part.column(0).take(at), part.column(1).take(at), pa.array(value[new])],
                 names=["line", "root", "s"],
             )
 
