@@ -6,15 +6,18 @@ An empty bin takes the value of the first full bin on a walk that depends on the
 densification), so bins of short texts agree as independently as those of long ones.
 
 Texts that share a band of bins meet in a bucket.  A bucket compares its members with a centre only:
-as many pairs as members.  Links are confirmed on the full sets.  Buckets whose members still are in
-several components choose further centres among the rest, until one component or one member is
-left: every pair that meets is compared, or connected already.
+as many pairs as members.  Links are confirmed on the full sets.
+
+Texts of buckets whose members still are in several components meet once more, by the exact rule
+for sets: two of them that are similar enough share one of their few rarest shingles.  In these small
+groups again stars are compared, with further centres among the rest until one component or one
+member is left: every pair that meets is compared, or connected already.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,11 @@ _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 #: Full bins are looked for along the walk so often before the rest is found by rank.
 WALK = 8
 #: By how much the centres that an open bucket tries at once grow from round to round.
-CENTRES = 4
+CENTRES = 16
+#: Counters of shingles, by the first bits of their hashes, that say which are rare: 2 MB.
+COUNTER_BITS = 18
+#: Bits that say which texts may be wanted again: 1 MB.
+FILTER_BITS = 23
 LEAST_SALTS = 64
 #: Pairs of one centre that meet in one task, about.
 SALT_PAIRS = 5000
@@ -113,9 +120,16 @@ def _lists(values: np.ndarray, edge: np.ndarray) -> pa.ListArray:
     )
 
 
+def _narrow(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")
+    )
+
+
 def sketches(docs: DataFrame, width: int = 2) -> DataFrame:
-    """Per row: doc_id, set size ``n``, 128-bit digest ``key`` of the set, its hashes ``members``
-    and its ``bands`` (none for an empty set)."""
+    """Per row: doc_id, text_hash, set size ``n``, 128-bit digest ``key`` of the set, and its
+    ``bands`` (none for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,20 +150,71 @@ def sketches(docs: DataFrame, width: int = 2) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(begin, len(texts)),
+                        batch.column(2).slice(begin, len(texts)),
                         pa.array(size, pa.int64()),
                         pa.array(digest, pa.binary()),
-                        _lists(hashes, edge),
                         _lists(keys[size > 0].ravel(), bands),
                     ],
-                    names=["doc_id", "n", "key", "members", "bands"],
+                    names=["doc_id", "text_hash", "n", "key", "bands"],
                 )
 
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return narrow.mapInArrow(
-        run, "doc_id long, n long, key binary, members array<long>, bands array<long>"
+    return _narrow(docs).mapInArrow(
+        run, "doc_id long, text_hash long, n long, key binary, bands array<long>"
     )
 
 
+def _filter_bits(values: DataFrame) -> np.ndarray:
+    """A bit for each of 2 ** FILTER_BITS ranges of hashes: whether one of the ``values (h)`` is in it."""
+    piece = 32_768  # bits of one bitmap of Spark's
+    bit = F.call_function("shiftrightunsigned", F.col("h"), F.lit(64 - FILTER_BITS))
+    found = (
+        values.select(bit.alias("bit"))
+        .groupBy(F.expr(f"bit div {piece}").alias("part"))
+        .agg(F.bitmap_construct_agg(F.col("bit") % piece).alias("bits"))
+        .collect()
+    )
+    whole = np.zeros(((1 << FILTER_BITS) // piece, piece // 8), np.uint8)
+    for r in found:
+        whole[r["part"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return whole.ravel()
+
+
+def _maybe_among(bits: np.ndarray):
+    """Rows whose hash, in the last column, is in a range of the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            on = bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)
+            yield batch.filter(pa.array(on.astype(bool)))
+
+    return run
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int = 2) -> DataFrame:
+    """``(row, members)``: the shingle hashes of the texts of ``wanted (row, _id, _hash)``.
+
+    The sets are made again from the texts, for the rows that met only: kept for all rows they would
+    be larger than the texts.  Copies of a text differ in doc_id and so are no hot key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, texts in text_slices(batch.column(1)):
+                members = _lists(*shingle_sets(texts, width))
+                rows = batch.column(0).slice(begin, len(texts))
+                yield pa.RecordBatch.from_arrays([rows, members], names=["row", "members"])
+
+    same = (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    # Texts that are not wanted are not shuffled, but for a few by chance.
+    bits = _filter_bits(wanted.select(F.col("_hash").alias("h")))
+    narrow = _narrow(docs)
+    maybe = narrow.mapInArrow(_maybe_among(bits), narrow.schema)
+    texts = maybe.join(wanted, same).select("row", "text")
+    # A row that stands in the table twice is found twice.
+    return texts.mapInArrow(run, "row long, members array<long>").dropDuplicates(["row"])
+
+
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stars within a batch: (null, row, centre) for members, (bucket, row, null) for centres.
 
@@ -210,12 +275,16 @@ def star_pairs(sets: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` whose full sets are similar enough.
+    """Those of ``pairs`` whose full ``sets (row, members, n)`` are similar enough.
 
-    The centre ``b`` of many pairs is dealt over salts, each with its own copy of the centre's set.
+    Sizes that differ too much decide without the sets.  The centre ``b`` of many pairs is dealt over
+    salts, each with its own copy of the centre's set.
     """
     salts = max(LEAST_SALTS, pairs.count() // SALT_PAIRS)
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)))
+    sizes = [sets.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}")) for c in ("a", "b")]
+    near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    able = pairs.join(sizes[0], "a").join(sizes[1], "b").where(near).select("a", "b")
+    salted = able.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)))
     left = salted.join(sets.select(F.col("row").alias("a"), F.col("members").alias("x")), "a")
     right = (
         salted.select("b", "salt")
@@ -230,59 +299,125 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_component(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """``members (bucket, row)`` of buckets that hold more than one component, with ``component``."""
+    """``members (bucket, row, ...)`` of buckets of more than one component, with ``component``."""
     named = members.join(roots, F.col("row") == F.col("node"), "left").select(
-        "bucket", "row", F.coalesce("root", "row").alias("component")
+        *members.columns, F.coalesce("root", "row").alias("component")
     )
     ends = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     return named.join(ends.where("low < high").select("bucket"), "bucket", "left_semi")
 
 
-def _marked(members: DataFrame, turn: int) -> DataFrame:
-    """``members`` of open buckets with ``centre``: about ``CENTRES ** (turn + 1)`` of a bucket, and
-    at least the one that comes first.  The order is the same in all buckets, so that they choose
-    the same rows and their pairs coincide."""
-    place = F.call_function("shiftrightunsigned", F.xxhash64("row", F.lit(turn)), F.lit(11))
-    placed = members.withColumn("place", place / F.lit(2.0**53))
-    sizes = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("place").alias("first"))
-    limit = F.greatest("first", F.lit(float(CENTRES ** (turn + 1))) / F.col("size"))
-    return placed.join(sizes, "bucket").select(
-        "bucket", "row", "component", (F.col("place") <= limit).alias("centre")
+def rare_shingles(sets: DataFrame, percent: int = 80) -> DataFrame:
+    """``(bucket, row, n, place, asks)``: every set of ``n`` shingles under its rarest ones.
+
+    Two sets of at least ``percent`` similarity share one of as many rarest shingles as they may
+    have apart, and one more; the smaller set needs fewer, those where it ``asks``.  Any order of the
+    shingles gives this, if it is the same for all sets; rare ones first makes the groups small.  How
+    rare a shingle is, is read from a table of counters of fixed size.
+    """
+    shift = 64 - COUNTER_BITS
+    counted = (
+        sets.select(F.explode("members").alias("shingle"))
+        .groupBy(F.call_function("shiftrightunsigned", F.col("shingle"), F.lit(shift)).alias("c"))
+        .agg(F.count("*").alias("n"))
+        .toArrow()
+    )
+    counts = np.zeros(1 << COUNTER_BITS, np.int64)
+    counts[counted["c"].to_numpy()] = counted["n"].to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.diff(batch.column(1).offsets.to_numpy())
+            hashes = batch.column(1).flatten().to_numpy()
+            owner = np.repeat(np.arange(len(size)), size)
+            rarity = counts[hashes.view(np.uint64) >> np.uint64(shift)]
+            order = np.lexsort((hashes, rarity, owner))
+            place = np.arange(len(hashes)) - (np.cumsum(size) - size)[owner]
+            apart = size - (percent * size + 99) // 100
+            asked = size - (2 * percent * size + 99 + percent) // (100 + percent)
+            kept = place <= apart[owner]
+            columns = [
+                hashes[order][kept],
+                batch.column(0).to_numpy()[owner[kept]],
+                size[owner[kept]],
+                place[kept],
+                (place <= asked[owner])[kept],
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in columns], names=["bucket", "row", "n", "place", "asks"]
+            )
+
+    return sets.select("row", "members").mapInArrow(
+        run, "bucket long, row long, n int, place long, asks boolean"
+    )
+
+
+def _with_centres(open_: DataFrame, turn: int) -> DataFrame:
+    """``open_`` with ``centre``: about ``CENTRES ** (turn + 1)`` of the asking rows of a bucket, and
+    at least the first.  The order is the same in all buckets, so that they choose the same rows and
+    their pairs coincide."""
+    order = F.call_function("shiftrightunsigned", F.xxhash64("row", F.lit(turn)), F.lit(11))
+    ordered = open_.withColumn("_order", F.when(F.col("asks"), order / F.lit(2.0**53)))
+    sizes = ordered.groupBy("bucket").agg(F.count("_order").alias("_size"), F.min("_order").alias("_first"))
+    limit = F.greatest("_first", F.lit(float(CENTRES ** (turn + 1))) / F.col("_size"))
+    centre = F.coalesce(F.col("_order") <= limit, F.lit(False))
+    return ordered.join(sizes.where("_size > 0"), "bucket").select(*open_.columns, centre.alias("centre"))
+
+
+def _pairs(marked: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of a centre with the members that are not smaller and can be similar.
+
+    If the shared shingle is the first one they share, they have in common what is left behind it at
+    most; pairs that share an earlier one meet there.
+    """
+    centre = marked.where("centre").select(
+        "bucket", *[F.col(c).alias(f"_{c}") for c in ("row", "n", "place", "component")]
+    )
+    needed = F.ceil(percent * (F.col("n") + F.col("_n")) / F.lit(100 + percent))
+    left = F.least(F.col("n") - F.col("place"), F.col("_n") - F.col("_place"))
+    able = (
+        (F.col("component") != F.col("_component"))
+        & (F.col("n") >= F.col("_n"))
+        & (100 * F.col("_n") >= percent * F.col("n"))
+        & (left >= needed)
     )
+    return (
+        marked.join(centre, "bucket")
+        .where(able)
+        .select(F.least("row", "_row").alias("a"), F.greatest("row", "_row").alias("b"))
+        .distinct()
+    )
+
 
+def linked_sets(
+    bands: DataFrame, members_of: Callable[[DataFrame], DataFrame], percent: int = 80
+) -> DataFrame:
+    """``(node, root)`` of rows of distinct sets, given by ``bands (row, bands)``, that links connect.
 
-def linked_sets(sets: DataFrame, percent: int = 80) -> DataFrame:
-    """``(node, root)`` of rows of distinct ``sets (row, members, bands)`` that links connect."""
-    tested = save(star_pairs(sets), "pairs")
-    met = tested.select("a").union(tested.select("b")).distinct()
-    sets = save(sets.join(met, F.col("row") == F.col("a"), "left_semi"), "candidates")
+    ``members_of`` gives ``(row, members)`` for a table of rows.
+    """
+    tested = save(star_pairs(bands), "pairs")
+    met = save(tested.select(F.col("a").alias("row")).union(tested.select("b")).distinct(), "met")
+    sets = save(members_of(met).withColumn("n", F.size("members")), "candidates")
     links = save(confirmed(tested, sets, percent), "links")
     tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     roots = save(connected_components(links), "roots")
-    members = sets.select("row", F.explode("bands").alias("bucket"))
+    banded = bands.join(met, "row", "left_semi").select("row", F.explode("bands").alias("bucket"))
+    apart = save(_with_component(banded, roots).select("row").distinct(), "apart")
+    members = rare_shingles(sets.join(apart, "row", "left_semi"), percent)
     turn = 0
     while True:
-        open_ = save(_with_component(members, roots), "open")
-        if open_.isEmpty():
+        marked = save(_with_centres(_with_component(members, roots), turn), "marked")
+        if marked.isEmpty():
             return roots
-        marked = save(_marked(open_, turn), "marked")
-        centres = marked.where("centre").select(
-            "bucket", F.col("row").alias("to"), F.col("component").alias("other")
-        )
-        pairs = save(
-            marked.join(centres, "bucket")
-            .where("component <> other")
-            .select(F.least("row", "to").alias("a"), F.greatest("row", "to").alias("b"))
-            .distinct()
-            .join(tested, ["a", "b"], "left_anti"),
-            "pairs",
-        )
-        found = save(confirmed(pairs, sets, percent), "links")
-        if not found.isEmpty():
-            links = links.union(found)
-            roots = save(connected_components(links), "roots")
-        tested = tested.union(pairs)
-        members = marked.where("not centre").select("row", "bucket")
+        pairs = save(_pairs(marked, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            tested = tested.union(pairs)
+            found = save(confirmed(pairs, sets, percent), "links")
+            if not found.isEmpty():
+                links = links.union(found)
+                roots = save(connected_components(links), "roots")
+        members = marked.withColumn("asks", F.col("asks") & ~F.col("centre")).drop("component", "centre")
         turn += 1
 
 
@@ -297,12 +432,27 @@ def minhash_components(docs: DataFrame, width: int = 2, percent: int = 80) -> Da
     """
     rows = sketches(docs, width).withColumn("row", F.monotonically_increasing_id())
     sets = save(rows, "sketches")
+    # A copy that can be found again by its doc_id and text stands for all with its set.
+    copy = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     distinct = save(
-        sets.where("n > 0").groupBy("key").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")),
+        sets.where("n > 0")
+        .groupBy("key")
+        .agg(
+            F.min("row").alias("row"),
+            F.min("doc_id").alias("least"),
+            F.min(copy).alias("copy"),
+            F.first("bands").alias("bands"),
+        ),
         "distinct",
     )
-    chosen = sets.select("row", "members", "bands").join(distinct.select("row"), "row", "left_semi")
-    roots = linked_sets(chosen, percent)
+    found_by = distinct.select(
+        "row", F.col("copy.doc_id").alias("_id"), F.col("copy.text_hash").alias("_hash")
+    )
+    roots = linked_sets(
+        distinct.select("row", "bands"),
+        lambda met: full_sets(docs, save(found_by.join(met, "row"), "wanted"), width),
+        percent,
+    )
     placed = distinct.join(roots, F.col("row") == F.col("node"), "left").select(
         F.col("key").alias("_key"), F.coalesce("root", "row").alias("component"), "least"
     )
