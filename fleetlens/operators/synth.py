@@ -130,13 +130,19 @@ def sparse_series(
     def is_on(g: int | Column) -> Column:
         return F.call_function("bit_get", F.col("_today"), g if isinstance(g, Column) else F.lit(g)) == 1
 
+    befores = F.array(*[F.col(f"_before_{g}") for g in groups]).alias("_befores")
     dated = (
-        ids.drop(*flags)
+        ids.select(id_col, price_col, "_group", befores)
         .withColumn("_day", F.explode(F.sequence(F.lit(0), F.lit(days - 1))))
         .withColumn("_today", today)
         .filter(is_on(F.col("_group")))
     )
-    same_day = sum((F.when(is_on(g), F.col(f"_before_{g}")).otherwise(0) for g in groups), F.lit(0))
+    # A fold: as many terms written out would make code too long to be compiled.
+    same_day = F.aggregate(
+        F.array(*map(F.lit, groups)),
+        F.lit(0).cast("bigint"),
+        lambda total, g: total + F.when(is_on(g), F.get("_befores", g - 1)).otherwise(0),
+    )
     quantity = (F.pmod(F.xxhash64(id_col, "_day", F.lit(seed)), F.lit(100)) + 1).cast("int")
     share = _hashed_unit(id_col, "_day", F.lit(seed + 1))
     return dated.withColumn("quantity", quantity).select(
