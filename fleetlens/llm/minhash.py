@@ -192,7 +192,7 @@ def _maybe_among(bits: np.ndarray):
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int = 2) -> DataFrame:
-    """``(row, members)``: the shingle hashes of the texts of ``wanted (row, _id, _hash)``.
+    """``(row, members, n)``: the shingle hashes of the texts of ``wanted (row, _id, _hash)``.
 
     The sets are made again from the texts, for the rows that met only: kept for all rows they would
     be larger than the texts.  Copies of a text differ in doc_id and so are no hot key.
@@ -201,9 +201,15 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int = 2) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, texts in text_slices(batch.column(1)):
-                members = _lists(*shingle_sets(texts, width))
-                rows = batch.column(0).slice(begin, len(texts))
-                yield pa.RecordBatch.from_arrays([rows, members], names=["row", "members"])
+                hashes, edge = shingle_sets(texts, width)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(begin, len(texts)),
+                        _lists(hashes, edge),
+                        pa.array(np.diff(edge), pa.int64()),
+                    ],
+                    names=["row", "members", "n"],
+                )
 
     same = (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     # Texts that are not wanted are not shuffled, but for a few by chance.
@@ -211,8 +217,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int = 2) -> DataFrame:
     narrow = _narrow(docs)
     maybe = narrow.mapInArrow(_maybe_among(bits), narrow.schema)
     texts = maybe.join(wanted, same).select("row", "text")
-    # A row that stands in the table twice is found twice.
-    return texts.mapInArrow(run, "row long, members array<long>").dropDuplicates(["row"])
+    found = save(texts.mapInArrow(run, "row long, members array<long>, n long"), "full")
+    # A document that stands in the table twice, with its doc_id and text, is found twice.
+    twice = found.groupBy("row").count().where("count > 1")
+    return found if twice.isEmpty() else found.dropDuplicates(["row"])
 
 
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,11 +402,11 @@ def linked_sets(
 ) -> DataFrame:
     """``(node, root)`` of rows of distinct sets, given by ``bands (row, bands)``, that links connect.
 
-    ``members_of`` gives ``(row, members)`` for a table of rows.
+    ``members_of`` gives ``(row, members, n)`` for a table of rows.
     """
     tested = save(star_pairs(bands), "pairs")
     met = save(tested.select(F.col("a").alias("row")).union(tested.select("b")).distinct(), "met")
-    sets = save(members_of(met).withColumn("n", F.size("members")), "candidates")
+    sets = members_of(met)
     links = save(confirmed(tested, sets, percent), "links")
     tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     roots = save(connected_components(links), "roots")
