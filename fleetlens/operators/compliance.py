@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.text import concat_text, like_regex, quote_name
-from fleetlens.operators.distributed import BROADCAST_ROWS, all_of
+from fleetlens.operators.distributed import BROADCAST_ROWS, all_of, sized_for_join
 
 # Fixed value: first major version with automatic seeding.
 SEEDING_VERSION = 13
@@ -338,17 +338,16 @@ def _lines(df: DataFrame, keys: Sequence[str], *lines: Column) -> DataFrame:
 
 def _principal_rows(principals: DataFrame, logins: DataFrame, keys: list[str]) -> DataFrame:
     """Users, repairs of orphaned users, and roles: what a principal gives by itself."""
-    found = logins.select(
-        *[F.col(c).alias(f"_l_{c}") for c in keys],
-        F.lower("name").alias("_l_fold"),
-        F.col("sid").alias("_l_sid"),
-    )
+    # One row per name, however many logins share it: another SID is one beside the least or greatest.
+    found = logins.groupBy(
+        *[F.col(c).alias(f"_l_{c}") for c in keys], F.lower("name").alias("_l_fold")
+    ).agg(F.min("sid").alias("_l_least"), F.max("sid").alias("_l_greatest"))
     is_person = F.col("type").isin(*USER_TYPES)
     folded = F.lower("name")
     orphan = all_of(
         *[F.col(c) == F.col(f"_l_{c}") for c in keys],
         folded == F.col("_l_fold"),
-        F.col("sid") != F.col("_l_sid"),
+        (F.col("sid") != F.col("_l_least")) | (F.col("sid") != F.col("_l_greatest")),
         is_person & ~folded.isin(*[n.lower() for n in SYSTEM_USERS]),
     )
     create = _create_user()
@@ -357,7 +356,7 @@ def _principal_rows(principals: DataFrame, logins: DataFrame, keys: list[str]) -
         "IF DATABASE_PRINCIPAL_ID(", quote_name("name", "'"), ") IS NULL CREATE ROLE ", quote_name("name")
     )
     return _lines(
-        principals.join(found, orphan, "left"),
+        principals.join(sized_for_join(found), orphan, "left"),
         keys,
         _line("3.1", create, is_person & ~folded.isin("guest", "dbo") & create.isNotNull()),
         _line("4.1", _repair_user(), F.col("_l_fold").isNotNull()),
@@ -375,8 +374,8 @@ def _membership_rows(principals: DataFrame, members: DataFrame, keys: list[str])
     role_names = principals.select(
         *keys, F.col("principal_id").alias("role_principal_id"), F.col("name").alias("_role")
     )
-    named = members.join(member_names, [*keys, "member_principal_id"]).join(
-        role_names, [*keys, "role_principal_id"], "left"
+    named = members.join(sized_for_join(member_names), [*keys, "member_principal_id"]).join(
+        sized_for_join(role_names), [*keys, "role_principal_id"], "left"
     )
     statement = concat_text(
         "IF DATABASE_PRINCIPAL_ID(",
@@ -430,19 +429,19 @@ def _permission_rows(
         F.col("schema_id").alias("_type_schema"),
         F.lit(True).alias("_is_type"),
     )
-    granted = permissions.join(names, [*keys, "grantee_principal_id"])
+    granted = permissions.join(sized_for_join(names), [*keys, "grantee_principal_id"])
     if keys:
         # A permission of an unlisted database has no object section, but its other ones.
         listed = databases.select(*keys, "database_name", F.lit(True).alias("_listed"))
-        located = granted.join(listed, keys, "left")
+        located = granted.join(sized_for_join(listed), keys, "left")
     else:
         located = granted.withColumns(
             {"database_name": databases.select("database_name").scalar(), "_listed": F.lit(True)}
         )
     met = (
-        located.join(object_names, [*keys, "major_id"], "left")
-        .join(column_names, [*keys, "major_id", "minor_id"], "left")
-        .join(type_names, [*keys, "major_id"], "left")
+        located.join(sized_for_join(object_names), [*keys, "major_id"], "left")
+        .join(sized_for_join(column_names), [*keys, "major_id", "minor_id"], "left")
+        .join(sized_for_join(type_names), [*keys, "major_id"], "left")
     )
     is_master = F.lower("database_name") == "master"
     on_object = F.col("_listed") & (
@@ -468,7 +467,9 @@ def _permission_rows(
         )
     )
     schema_names = schemas.select(*keys, F.col("schema_id").alias("_schema_id"), F.col("name").alias("_schema"))
-    placed = met.select("*", F.inline(copies)).join(schema_names, [*keys, "_schema_id"], "left")
+    placed = met.select("*", F.inline(copies)).join(
+        sized_for_join(schema_names), [*keys, "_schema_id"], "left"
+    )
     column_part = F.when(F.col("_column").isNull(), F.lit("")).otherwise(
         concat_text("(", quote_name("_column"), ")")
     )
