@@ -25,17 +25,20 @@ def scale_up(
     n: int = COPIES,
     step: int = ID_STEP,
     labels: Mapping[str, str] | None = None,
+    distinct_ids: bool = True,
 ) -> DataFrame:
     """``n`` copies of every row with ids moved by ``copy * step``.
 
     ``labels`` maps text columns to the separator put before their copy offset.  Rows are multiplied
     where they are; nothing is shuffled.  ``step`` must exceed the range of the ids, or copies would
-    share ids; this is checked first, by one aggregate over the ids.
+    share ids; this is checked first, by one aggregate over the ids.  With ``distinct_ids=False`` all
+    copies are wanted as they fall, and ids may repeat.
     """
     labels = dict(labels or {})
-    low, high = df.agg(F.min(id_col), F.max(id_col)).first()
-    if low is not None and high - low >= step:
-        raise ValueError(f"ids span {high - low + 1}, copies {step} apart would collide")
+    if distinct_ids:
+        low, high = df.agg(F.min(id_col), F.max(id_col)).first()
+        if low is not None and high - low >= step:
+            raise ValueError(f"ids span {high - low + 1}, copies {step} apart would collide")
     offset = F.col("_copy") * step
     copies = df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(n))))
     columns = []

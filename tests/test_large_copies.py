@@ -4,6 +4,7 @@ from conftest import as_set
 from pyspark.sql import functions as F
 
 from fleetlens.operators import compliance
+from proxies import QUERIES
 
 
 def _permissions(spark, rows, objects, logins):
@@ -44,3 +45,11 @@ def test_a_user_meets_many_logins_of_its_name_once(spark, rows):
                                          (100, "t", "dbo", "U ")), logins)
     assert as_set(out.filter("result_order = 4.1").select("statement")) == [
         ("ALTER USER [ann] WITH LOGIN = [ann]",)]
+
+
+def test_copies_of_parts_with_far_keys_are_all_made(spark, rows, tmp_path):
+    rows("p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+         (1, "a", "b", "t", 1, 2.0), (1_000_001, "c", "d", "t", 1, 2.0)).write.parquet(f"{tmp_path}/part.parquet")
+    out = QUERIES["scale_up"](spark, str(tmp_path))
+    assert (out.count(), out.select("p_partkey").distinct().count()) == (100, 51)
+    assert as_set(out.filter("p_partkey = 3000001").select("p_name")) == [("a3000000",), ("c2000000",)]
