@@ -205,7 +205,8 @@ def seeding_progress(df: DataFrame, tz: str = "UTC", keys: Sequence[str] = ()) -
         mb("transfer_rate_bytes_per_second").alias("mb_per_second"),
         mb("transferred_size_bytes").alias("transferred_size_mb"),
         mb("database_size_bytes").alias("database_size_mb"),
-        ratio("transferred_size_bytes", "database_size_bytes", 7, 2, factor=100).alias(
+        # Wide enough for whatever the two counters give: the size may lag far behind the transfer.
+        ratio("transferred_size_bytes", "database_size_bytes", 20, 2, factor=100).alias(
             "percent_done"
         ),
         local("start_time_utc").alias("start_time"),

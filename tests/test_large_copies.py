@@ -3,7 +3,7 @@
 from conftest import as_set
 from pyspark.sql import functions as F
 
-from fleetlens.operators import compliance
+from fleetlens.operators import compliance, workload
 from proxies import QUERIES
 
 
@@ -53,3 +53,13 @@ def test_copies_of_parts_with_far_keys_are_all_made(spark, rows, tmp_path):
     out = QUERIES["scale_up"](spark, str(tmp_path))
     assert (out.count(), out.select("p_partkey").distinct().count()) == (100, 51)
     assert as_set(out.filter("p_partkey = 3000001").select("p_name")) == [("a3000000",), ("c2000000",)]
+
+
+def test_progress_far_beyond_the_size(rows):
+    seeding = rows(
+        "local_database_name string, remote_machine_name string, role_desc string, "
+        "transfer_rate_bytes_per_second bigint, transferred_size_bytes bigint, database_size_bytes bigint, "
+        "start_time_utc timestamp, estimate_time_complete_utc timestamp, total_disk_io_wait_time_ms bigint, "
+        "total_network_wait_time_ms bigint, is_compression_enabled boolean",
+        ("d", "m", "Source", 1, 900_000_000_000, 86_000_000, None, None, 0, 0, False))
+    assert float(workload.seeding_progress(seeding).first().percent_done) == 1046511.63
