@@ -158,3 +158,25 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     assert folder == spark.sparkContext.getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert named is None or named in folder
+
+
+def test_many_keys_share_a_state(spark, run):
+    """Keys of several kinds, NULLs among them, in few states; far more keys than states would be slow."""
+    rng = random.Random(9)
+    keys = [(rng.choice([None, 0, 2**60 + i, -i]), rng.choice(["a", "", None]), rng.choice([0.5, None, 0.0]))
+            for i in range(3000)]
+    ddl = "k bigint, s string, f double, ts timestamp, c bigint, beat boolean"
+    data = [(*rng.choice(keys), START + timedelta(seconds=rng.randrange(4000)), i, False) for i in range(9000)]
+    batches = [data[:4000], data[4000:], [(None, None, None, START + timedelta(days=3), None, True)]]
+    by = ["k", "s", "f"]
+    states = []
+
+    def build(source):
+        out = stream_counter_delta(source, by, "ts", ["c"], "1 day", beat="beat")
+        states.append(out._jdf.queryExecution().analyzed().toString())
+        return out
+
+    got = run(batches, build, ddl)
+    want = successive_delta(spark.createDataFrame(data, ddl), by, "ts", ["c"], "hour")
+    assert texts(got) == texts(want)
+    assert "TransformWithStateInPySpark" in states[0] and "_bucket" in states[0]
