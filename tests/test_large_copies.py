@@ -3,7 +3,7 @@
 from conftest import as_set
 from pyspark.sql import functions as F
 
-from fleetlens.operators import compliance, workload
+from fleetlens.operators import compliance, synth, workload
 from proxies import QUERIES
 
 
@@ -63,3 +63,21 @@ def test_progress_far_beyond_the_size(rows):
         "total_network_wait_time_ms bigint, is_compression_enabled boolean",
         ("d", "m", "Source", 1, 900_000_000_000, 86_000_000, None, None, 0, 0, False))
     assert float(workload.seeding_progress(seeding).first().percent_done) == 1046511.63
+
+
+def test_days_of_few_ids_are_made_in_many_tasks(spark):
+    ids = spark.range(1, 5001, numPartitions=1)
+    dates = synth.sparse_dates(ids, "id", synth.largest_divisor(F.col("id")))
+    assert dates.rdd.getNumPartitions() >= 10
+    long = synth.sparse_dates(spark.range(1, 31), "id", F.col("id"), days=17)
+    # More tiles than days: the tiles behind the last day are empty.
+    assert as_set(long.filter("id = 30").select(F.datediff("transaction_date", F.lit("2005-01-01")))) == [
+        (d,) for d in range(0, 17, 2)]
+
+
+def test_series_are_grouped_by_id_without_a_shuffle(spark):
+    ids = spark.range(1, 3001).select("id", F.lit(10.0).alias("price"), F.lit("x").alias("label"))
+    series = synth.sparse_series(ids, "id", "price", seed=3, keep=["label"])
+    assert series.rdd.getNumPartitions() >= 3 and series.filter("label = 'x'").count() == series.count()
+    plan = series.groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
