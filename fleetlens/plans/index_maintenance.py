@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.operators.distributed import stored
 from fleetlens.operators.maintenance import (
     DEFAULT_PREFERENCES,
     FRAGMENTATION_LEVEL_1,
@@ -70,7 +71,8 @@ def index_maintenance_plan(
         *k, "object_id", F.col("stats_id").alias("statistics_id"),
         F.col("rows").alias("row_count"), "modification_counter",
     )
-    ordered = order_targets(chosen, k)
+    # The order reads its rows several times; the joins that find the targets run once.
+    ordered = order_targets(stored(chosen.filter("selected"), "targets"), k)
     planned = ordered.join(measured, [*idx, *on_part], "left").join(
         whole, [*k, "object_id", "statistics_id"], "left"
     )

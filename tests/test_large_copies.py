@@ -81,3 +81,11 @@ def test_series_are_grouped_by_id_without_a_shuffle(spark):
     assert series.rdd.getNumPartitions() >= 3 and series.filter("label = 'x'").count() == series.count()
     plan = series.groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_targets_are_found_once_and_then_ordered(spark):
+    plan = QUERIES["index_maintenance_plan"](spark, "/root/testdata/sf0.001")
+    files = plan.inputFiles()
+    assert any("/targets-" in f for f in files)
+    # The part table feeds nothing but the targets.
+    assert not any("part.parquet" in f for f in files)
