@@ -3,7 +3,7 @@
 from conftest import as_set
 from pyspark.sql import functions as F
 
-from fleetlens.operators import compliance, synth, workload
+from fleetlens.operators import backup, compliance, synth, workload
 from proxies import QUERIES
 
 
@@ -89,3 +89,14 @@ def test_targets_are_found_once_and_then_ordered(spark):
     assert any("/targets-" in f for f in files)
     # The part table feeds nothing but the targets.
     assert not any("part.parquet" in f for f in files)
+
+
+def test_a_fixed_template_is_not_tidied_row_by_row(spark, rows):
+    df = rows("a string, b string", ("x", "y"), (None, "y"), ("x", None), (None, None), ("{b}", "_$"))
+    tokens = {"A": F.col("a"), "B": F.col("b"), "C": F.lit(None).cast("string")}
+    asof = F.lit("2024-01-08").cast("timestamp")
+    for template in ("{C}_{A}${B}_{Year}", "{A}/{C}{B}/{Month}"):
+        got, want = (backup.render_template(df, t, tokens, asof, "f", directory="/" in template)
+                     for t in (template, F.lit(template)))
+        assert as_set(got.fillna("-")) == as_set(want.fillna("-"))
+        assert "lambdafunction" not in got._jdf.queryExecution().analyzed().toString()
