@@ -3,7 +3,7 @@
 from conftest import as_set
 from pyspark.sql import functions as F
 
-from fleetlens.operators import backup, compliance, synth, workload
+from fleetlens.operators import backup, compliance, selection, synth, workload
 from proxies import QUERIES
 
 
@@ -100,3 +100,24 @@ def test_a_fixed_template_is_not_tidied_row_by_row(spark, rows):
                      for t in (template, F.lit(template)))
         assert as_set(got.fillna("-")) == as_set(want.fillna("-"))
         assert "lambdafunction" not in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_equal_rules_of_a_long_list_meet_an_item_once(spark):
+    """400 items under 40,000 rules of four texts: pairs by the different rules, not by their copies."""
+    items = spark.range(400).select(F.lit("s").alias("server"), F.concat(F.lit("item "), F.col("id")).alias("name"))
+    texts = F.array(*[F.lit(t) for t in ("ITE%7", "item%", "%", "item 9")])
+    rules = spark.range(40_000).select(
+        F.lit("s").alias("server"), F.get(texts, (F.col("id") % 4).cast("int")).alias("name"),
+        (F.col("id") + 5).cast("int").alias("start_position"), (F.col("id") % 40 != 0).alias("selected"))
+    hits = []
+    original = selection.pattern_hits
+    selection.pattern_hits = lambda *a: hits.append(original(*a)) or hits[-1]
+    try:
+        got = selection.select_items(items, rules, ["name"], keys=["server"])
+    finally:
+        selection.pattern_hits = original
+    # The texts' one excluding rule, "ITE%7", and three including ones besides those of "item 9".
+    assert hits[0].count() == 2 * 40 + 400 + 400
+    seen = {r.name: (r.selected, r.start_position) for r in got.collect()}
+    assert seen["item 7"] == (False, 6) and seen["item 9"] == (True, 6) and len(seen) == 400
+    assert {p for _, p in seen.values()} == {6}
