@@ -3,7 +3,7 @@
 from conftest import as_set
 from pyspark.sql import functions as F
 
-from fleetlens.operators import backup, compliance, selection, synth, workload
+from fleetlens.operators import backup, compliance, events, needles, selection, synth, workload
 from proxies import QUERIES
 
 
@@ -121,3 +121,19 @@ def test_equal_rules_of_a_long_list_meet_an_item_once(spark):
     seen = {r.name: (r.selected, r.start_position) for r in got.collect()}
     assert seen["item 7"] == (False, 6) and seen["item 9"] == (True, 6) and len(seen) == 400
     assert {p for _, p in seen.values()} == {6}
+
+
+def test_an_index_of_texts_sends_filters_and_not_pieces(spark, tmp_path):
+    odd = ["Stra\u00dfe \u1e9e", "\u03a3\u03af\u03c3\u03c5\u03c6\u03bf\u03c2", "\U00010400a\U00010428", "ab", "", None, "one\0two\nthree",
+           "x" * 2_000_000 + "Last"]
+    data = [(t, f"{'abc'[i % 3]}bc") for i, t in enumerate(odd)]
+    spark.createDataFrame(data, "text string, note string").repartition(3).write.parquet(f"{tmp_path}/t")
+    tables = {"dbo.t": spark.read.parquet(f"{tmp_path}/t")}
+    made = needles.needle_index(tables)
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+    made.write.parquet(f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    assert index.groupBy("table_name", "file_path", "column_name", "part").count().filter("count > 1").isEmpty()
+    for needle in ("STRA\u00dfE \u00df", "\u03c3\u038a\u03a3\u03a5", "\U00010428A\U00010428", "TWO\nT", "xlast", "two%one", "BBC", "babc"):
+        got = needles.search_with_index(spark, tables, index, needle)
+        assert as_set(got) == as_set(events.search_all_strings(tables, needle)), needle
