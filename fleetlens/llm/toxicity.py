@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.sampling import hash_limit
 from fleetlens.llm.storage import save
+from fleetlens.llm.words import batch_slices
 
 #: Seed words of the grammar (fixed values); insults are mostly learned from labels.
 INSULTS = (
@@ -153,8 +154,8 @@ def learn_lexicon(labelled: DataFrame, least: int = 3, ratio: float = 15.0, most
                 c.clear()
             return pa.RecordBatch.from_arrays(columns, names=["term", "clean", "toxic"])
 
-        for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for part in (s for batch in batches for s in batch_slices(batch, 0)):
+            for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 words = set(WORD.findall((text or "").lower()))
                 terms = words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in STEMS))
                 seen[toxic].update(terms)
@@ -199,8 +200,8 @@ def fit_grammar(labelled: DataFrame) -> Grammar:
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: Counter = Counter()
-        for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for part in (s for batch in batches for s in batch_slices(batch, 0)):
+            for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 clauses = clause_contexts(text or "", draft, machine)
                 kinds = {c for clause in clauses for c in clause} or {-1}
                 # A document teaches about one context only where no other could explain it.
@@ -292,24 +293,28 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     )
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``docs`` without the documents that the grammar scores at ``threshold`` or more.
-
-    The decision is made while the row is read, so no row needs to be found again by its id.
-    """
-    grammar = fit_grammar(labelled_texts(docs, labels))
+def _clean(grammar: Grammar, position: int, threshold: float):
+    """The rows whose text, in column ``position``, scores below the threshold, a small slice at a time."""
     to, out, _ = compose()
     machine = (to.tolist(), out.tolist())
-    position = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (s for batch in batches for s in batch_slices(batch, position)):
             kept = []
-            for text in batch.column(position):
+            for text in part.column(position):
                 clean = 1.0 - grammar.base
                 for clause in clause_contexts(text.as_py() or "", grammar, machine):
                     clean *= 1.0 - max(grammar.weights[c] for c in clause)
                 kept.append(1.0 - clean < threshold)
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            yield part.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return run
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """``docs`` without the documents that the grammar scores at ``threshold`` or more.
+
+    The decision is made while the row is read, so no row needs to be found again by its id.
+    """
+    grammar = fit_grammar(labelled_texts(docs, labels))
+    return docs.mapInArrow(_clean(grammar, docs.columns.index("text"), threshold), docs.schema)

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from fleetlens.llm import toxicity
 from fleetlens.llm.components import connected_components
 from fleetlens.llm.language import identify_language
 from fleetlens.llm.lm import score_documents
@@ -74,3 +75,13 @@ def test_components_of_hubs_chains_and_loops(spark):
         root[high] = low
     want = {x: find(x) for x in root if find(x) != x}
     assert {r.node: r.root for r in connected_components(df).collect()} == want
+
+
+def test_toxic_rows_leave_a_large_batch_in_small_slices():
+    """One batch of 8 MB goes back in slices of about 1 MB: the worker and the JVM hold no second one."""
+    texts = ["you are an idiot. " * 20, "a mild word. " * 300, None, "", "x" * 2_500_000] + ["fine. " * 100] * 9000
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    grammar = toxicity.Grammar(toxicity.seed_symbols(), frozenset(), [0.9] * 8, 0.1)
+    parts = list(toxicity._clean(grammar, 1, 0.3)(iter([batch, batch.slice(0, 0)])))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(1, len(texts)))
+    assert len(parts) >= 5 and max(sum(len(t or "") for t in p.column(1).to_pylist()) for p in parts) < 3_600_000
