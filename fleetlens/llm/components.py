@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.storage import save
+from fleetlens.llm.storage import leaves_its_result, save
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,44 +33,76 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
+#: Edges of a task that are contracted together, at most about.
+HELD_EDGES = 1_000_000
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch as its forest: fewer edges, the same connections."""
+    """The edges of a task as forests of up to ``HELD_EDGES``: fewer edges, the same connections."""
+
+    def packed(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    a = b = np.zeros(0, np.int64)
+    new: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        pieces = [(a, b), *new]
+        new.clear()
+        return forest(*(np.concatenate([p[i] for p in pieces]) for i in (0, 1)))
+
     for batch in batches:
-        a, b = forest(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        new.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        held += batch.num_rows
+        if held > max(100_000, len(a)):
+            (a, b), held = merged(), 0
+            if len(a) > HELD_EDGES:
+                yield packed(a, b)
+                a = b = np.zeros(0, np.int64)
+    yield packed(*merged())
 
 
-#: Parts that the edges of one node are dealt over.
-PARTS = 64
+#: Edges from which a node counts as one with many: at most one in so many edges is such a node.
+MANY = 1000
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
     """``(a, b, m)``: the edges with the smallest ``b`` of each ``a``.
 
-    The edges of a node are dealt over parts by their other end, so a node with many neighbours is
-    no hot group: its smallest one goes back to each part once.
+    Nodes with many edges are few, so theirs is broadcast and their edges stay where they are: no
+    node is a hot group.
     """
-    dealt = edges.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)))
-    parts = dealt.groupBy("a", "part").agg(F.min("b").alias("m"))
-    least = parts.groupBy(F.col("a").alias("k")).agg(F.min("m").alias("m"))
-    back = parts.select("a", "part").join(least, F.col("a") == F.col("k")).select("a", "part", "m")
-    return dealt.join(back, ["a", "part"]).select("a", "b", "m")
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    many = least.where(F.col("n") > MANY).select(F.col("a").alias("_a"), F.col("m").alias("_m"))
+    few = least.where(F.col("n") <= MANY).select("a", "m")
+    split = edges.join(F.broadcast(many), F.col("a") == F.col("_a"), "left")
+    hot = split.where("_a IS NOT NULL").select("a", "b", F.col("_m").alias("m"))
+    return hot.union(split.where("_a IS NULL").select("a", "b").join(few, "a").select("a", "b", "m"))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every ``a`` of the distinct edges has one ``b``, and no ``b`` is an ``a``."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(edges.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
 
 
+@leaves_its_result
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` of all nodes of ``edges (a long, b long)`` but the roots themselves.
 
     The root is the smallest node of a component.  Rounds of large and small stars (every node
-    links its larger neighbours, then its smaller ones, to the smallest) end when nothing changes.
+    links its larger neighbours, then its smaller ones, to the smallest) end when the edges are
+    stars: each goes from a node to a smaller one, so the centre is then the root.
     Loops are ignored; no edges give no rows.
     """
-    last = None
-    now = save(edges.where("a <> b").mapInArrow(_contract, "a long, b long"), "edges")
+    contracted = edges.where("a <> b").mapInArrow(_contract, "a long, b long")
+    now = save(contracted.distinct(), "edges")
     while True:
-        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state[0] == 0 or state == last:
+        if _are_stars(now):
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        last = state
         both = now.union(now.select("b", "a"))
         # The smallest of a node and its neighbours takes the node and all larger neighbours.
         seen = _with_least(both).select("a", "b", F.least("a", "m").alias("m"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.components import connected_components
-from fleetlens.llm.storage import save
+from fleetlens.llm.storage import leaves_its_result, save
 from fleetlens.llm.words import split_words, text_slices, xxh64
 
 #: 64 bands of 8 bins: of pairs with similarity 0.8, fewer than 1 in 100,000 share no band.
@@ -163,28 +163,29 @@ def sketches(docs: DataFrame, width: int = 2) -> DataFrame:
     )
 
 
-def _filter_bits(values: DataFrame) -> np.ndarray:
-    """A bit for each of 2 ** FILTER_BITS ranges of hashes: whether one of the ``values (h)`` is in it."""
+def filter_bits(values: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
+    """A bit for each of 2 ** size ranges of hashes: whether one of the ``values (h)`` is in it."""
     piece = 32_768  # bits of one bitmap of Spark's
-    bit = F.call_function("shiftrightunsigned", F.col("h"), F.lit(64 - FILTER_BITS))
+    bit = F.call_function("shiftrightunsigned", F.col("h"), F.lit(64 - size))
     found = (
         values.select(bit.alias("bit"))
         .groupBy(F.expr(f"bit div {piece}").alias("part"))
         .agg(F.bitmap_construct_agg(F.col("bit") % piece).alias("bits"))
         .collect()
     )
-    whole = np.zeros(((1 << FILTER_BITS) // piece, piece // 8), np.uint8)
+    whole = np.zeros(((1 << size) // piece, piece // 8), np.uint8)
     for r in found:
         whole[r["part"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return whole.ravel()
 
 
-def _maybe_among(bits: np.ndarray):
+def maybe_among(bits: np.ndarray):
     """Rows whose hash, in the last column, is in a range of the filter."""
+    shift = np.uint64(64 - (8 * len(bits)).bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(batch.num_columns - 1).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            at = batch.column(batch.num_columns - 1).to_numpy().view(np.uint64) >> shift
             on = bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)
             yield batch.filter(pa.array(on.astype(bool)))
 
@@ -213,9 +214,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int = 2) -> DataFrame:
 
     same = (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     # Texts that are not wanted are not shuffled, but for a few by chance.
-    bits = _filter_bits(wanted.select(F.col("_hash").alias("h")))
+    bits = filter_bits(wanted.select(F.col("_hash").alias("h")))
     narrow = _narrow(docs)
-    maybe = narrow.mapInArrow(_maybe_among(bits), narrow.schema)
+    maybe = narrow.mapInArrow(maybe_among(bits), narrow.schema)
     texts = maybe.join(wanted, same).select("row", "text")
     found = save(texts.mapInArrow(run, "row long, members array<long>, n long"), "full")
     # A document that stands in the table twice, with its doc_id and text, is found twice.
@@ -397,6 +398,7 @@ def _pairs(marked: DataFrame, percent: int) -> DataFrame:
     )
 
 
+@leaves_its_result
 def linked_sets(
     bands: DataFrame, members_of: Callable[[DataFrame], DataFrame], percent: int = 80
 ) -> DataFrame:
