@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.components import connected_components
-from fleetlens.llm.storage import save
+from fleetlens.llm.minhash import filter_bits, maybe_among
+from fleetlens.llm.storage import leaves_its_result, save
 
 #: Characters of a shingle: long enough that long unrelated lines share few.
 SHINGLE = 9
@@ -37,6 +38,10 @@ BUCKET_ENTRIES = 1_000_000
 PORTION = 300_000
 LEAST_BUCKETS = 96
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Lenders that an empty bin asks one by one before the rest is found by rank.
+WALK = 24
+#: Counters of shingles, by the first bits of their hashes, that say which are rare, and parts they are added in.
+COUNTER_BITS, COUNTER_PARTS = 18, 64
 #: Rounds of new centres for groups that are not connected yet.
 CENTRES = 2
 _ENTRY = np.dtype([("key", "<u8"), ("line", "<i8")])
@@ -84,36 +89,49 @@ def shingle_hashes(lines: list[str], width: int = SHINGLE) -> tuple[np.ndarray,
     return value, owner
 
 
-def shingle_counts(lines: list[str]) -> np.ndarray:
-    """Distinct shingles of every line."""
-    value, owner = shingle_hashes(lines)
+def _distinct(value: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's distinct shingles, sorted within the line."""
     order = np.lexsort((value, owner))
     value, owner = value[order], owner[order]
     new = np.ones(len(value), dtype=bool)
     new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    return np.bincount(owner[new], minlength=len(lines))
+    return value[new], owner[new]
+
+
+def shingle_counts(lines: list[str]) -> np.ndarray:
+    """Distinct shingles of every line."""
+    return np.bincount(_distinct(*shingle_hashes(lines))[1], minlength=len(lines))
 
 
 def signatures(lines: list[str], bins: int = BANDS * ROWS) -> np.ndarray:
     """One-permutation MinHash (lines x bins); every line has a shingle."""
-    value, owner = shingle_hashes(lines)
+    return _signatures(*shingle_hashes(lines), len(lines), bins)
+
+
+def _signatures(value: np.ndarray, owner: np.ndarray, many: int, bins: int = BANDS * ROWS) -> np.ndarray:
     place = ((value >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
     empty = np.uint64(2**64 - 1)
-    least = np.full(len(lines) * bins, empty)
+    least = np.full(many * bins, empty)
     np.minimum.at(least, owner * bins + place, _mix(value + _ODD) >> np.uint64(1))
-    sign = least.reshape(len(lines), bins)
+    sign = least.reshape(many, bins)
     # An empty bin borrows from the first full one in an order of its own, so bins that borrow are
     # as independent as full ones and a band of a short line is as selective as one of a long line.
     rank, order = _lenders(bins)
     full = sign != empty
-    for begin in range(0, len(lines), 500):
-        part = slice(begin, begin + 500)
-        some = np.flatnonzero(full[part].any(axis=1) & ~full[part].all(axis=1)) + begin
-        if len(some):
-            row, lender = np.nonzero(full[some])
-            first = np.searchsorted(row, np.arange(len(some)))
-            best = np.minimum.reduceat(rank[lender], first, axis=0)
-            sign[some] = np.take_along_axis(sign[some], order[np.arange(bins), best], axis=1)
+    line, bin_ = np.nonzero(~full & full.any(axis=1)[:, None])
+    for step in range(1, min(WALK, bins)):
+        lender = order[bin_, step]
+        met = full[line, lender]
+        sign[line[met], bin_[met]] = sign[line[met], lender[met]]
+        line, bin_ = line[~met], bin_[~met]
+    # Lines of very few shingles are left.
+    rest = np.unique(line)
+    for begin in range(0, len(rest), 500):
+        some = rest[begin : begin + 500]
+        row, lender = np.nonzero(full[some])
+        first = np.searchsorted(row, np.arange(len(some)))
+        best = np.minimum.reduceat(rank[lender], first, axis=0)
+        sign[some] = np.take_along_axis(sign[some], order[np.arange(bins), best], axis=1)
     return _mix(sign)
 
 
@@ -196,6 +214,22 @@ def line_table(rows: DataFrame) -> DataFrame:
     return _of_rows(rows).mapInArrow(_read_lines(), schema)
 
 
+def _texts_of(bits: np.ndarray):
+    """Lines and texts of rows whose line may be wanted; a line seen before in the task is left out."""
+    read, maybe = _read_lines(), maybe_among(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in maybe(b.select(["text", "line"]) for b in read(batches)):
+            ids = batch.column(1).to_pylist()
+            new = [line not in seen and not seen.add(line) for line in ids]
+            yield batch.filter(pa.array(new, pa.bool_())).select(["line", "text"])
+            if len(seen) > 300_000:
+                seen.clear()
+
+    return run
+
+
 def _entries(buckets: int):
     """Band entries of the lines, packed by bucket; a line seen before in the task is left out."""
 
@@ -296,8 +330,9 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines with a byte of every signature bin and four of the number of distinct shingles."""
     for batch in batches:
         for part in _portions(batch, 1):
-            texts = part.column(1).to_pylist()
-            sign, size = signatures(texts).astype(np.uint8), shingle_counts(texts).astype("<u4")
+            value, owner = shingle_hashes(part.column(1).to_pylist())
+            sign = _signatures(value, owner, len(part)).astype(np.uint8)
+            size = np.bincount(_distinct(value, owner)[1], minlength=len(part)).astype("<u4")
             sketch = [s.tobytes() + n.tobytes() for s, n in zip(sign, size, strict=True)]
             yield part.append_column("sketch", pa.array(sketch, pa.binary()))
 
@@ -336,21 +371,44 @@ def _both(pairs: DataFrame, lines: DataFrame, column: str) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", f"{column}_a", f"{column}_b")
 
 
+def similar(x: list[str], y: list[str], similarity: float = SIMILARITY) -> np.ndarray:
+    """Whether ``jaccard`` of the lines ``x[i], y[i]`` is at least ``similarity``, for up to 1024 pairs.
+
+    Shingles are counted by 54 bits of their hash.  Where a chance equality could change the answer,
+    and for lines without a whole shingle, the texts decide.
+    """
+    keys, sizes = [], []
+    for side in (x, y):
+        value, owner = shingle_hashes(side)
+        key = np.sort((owner.astype(np.uint64) << np.uint64(54)) | (value >> np.uint64(10)))
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        keys.append(key)
+        sizes.append(np.bincount((key >> np.uint64(54)).astype(np.int64), minlength=len(side)))
+    both = np.sort(np.concatenate(keys))
+    again = both[1:][both[1:] == both[:-1]]
+    shared = np.bincount((again >> np.uint64(54)).astype(np.int64), minlength=len(x))
+    either = sizes[0] + sizes[1] - shared
+    good = shared >= similarity * either
+    short = np.fromiter((min(len(a), len(b)) < SHINGLE for a, b in zip(x, y, strict=True)), bool, len(x))
+    for i in np.flatnonzero(short | (np.abs(shared - similarity * either) < 2)).tolist():
+        good[i] = jaccard(x[i], y[i]) >= similarity
+    return good
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose lines are similar enough: by their sketches, then in full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            good = [
-                jaccard(x[i].as_py(), y[i].as_py()) >= similarity for i in range(batch.num_rows)
-            ]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for part in _portions(batch, 2):
+                good = similar(part.column(2).to_pylist(), part.column(3).to_pylist(), similarity)
+                yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     likely = _both(pairs, lines, "sketch").mapInArrow(_likely(similarity), "a long, b long")
     return _both(likely, lines, "text").mapInArrow(run, "a long, b long")
 
 
+@leaves_its_result
 def line_components(rows: DataFrame, count: int, similarity: float = SIMILARITY) -> DataFrame:
     """``(node, root)`` of the lines that are linked to others; see connected_components.
 
@@ -365,8 +423,14 @@ def line_components(rows: DataFrame, count: int, similarity: float = SIMILARITY)
         ),
         "stars",
     )
-    involved = stars.select("a").union(stars.select("b")).distinct().withColumnRenamed("a", "_l")
-    chosen = line_table(rows).join(involved, F.col("line") == F.col("_l"), "left_semi")
+    involved = save(
+        stars.select("a").union(stars.select("b")).distinct().withColumnRenamed("a", "_l"), "involved"
+    )
+    # Only the texts of lines that met are handed on, but for a few by chance.
+    size = min(max((16 * involved.count()).bit_length(), 17), 27)
+    bits = filter_bits(involved.select(F.col("_l").alias("h")), size)
+    chosen = _of_rows(rows).mapInArrow(_texts_of(bits), "line long, text string")
+    chosen = chosen.join(involved, F.col("line") == F.col("_l"), "left_semi")
     texts = chosen.groupBy("line").agg(F.first("text").alias("text"))
     texts = save(texts.mapInArrow(_sketched, "line long, text string, sketch binary"), "texts")
     pairs = stars.select("a", "b").distinct()
@@ -408,20 +472,56 @@ def _with_new_centres(left: DataFrame, turn: int) -> DataFrame:
     return joined.select("a", F.col("m").alias("b")).distinct()
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``line, root, s`` of the distinct shingles ``s`` of lines."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many lines of the task have a shingle of each counter, in parts."""
+    total = np.zeros(1 << COUNTER_BITS, np.int64)
     for batch in batches:
         for part in _portions(batch, 2):
-            value, owner = shingle_hashes(part.column(2).to_pylist())
-            order = np.lexsort((value, owner))
-            value, owner = value[order].view(np.int64), owner[order]
-            new = np.ones(len(value), dtype=bool)
-            new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-            at = pa.array(owner[new])
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(at), part.column(1).take(at), pa.array(value[new])],
-                names=["line", "root", "s"],
+            value = _distinct(*shingle_hashes(part.column(2).to_pylist()))[0]
+            total += np.bincount(
+                (value >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(total)
             )
+    if total.any():
+        counts = [c.astype("<u4").tobytes() for c in np.split(total, COUNTER_PARTS)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(COUNTER_PARTS), pa.int32()), pa.array(counts, pa.binary())],
+            names=["part", "counts"],
+        )
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """The sum of one part's counters."""
+    total = sum(np.frombuffer(c, "<u4").astype("<i8") for c in table["counts"].to_pylist())
+    return pa.table({"part": table["part"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _rarest(counts: np.ndarray, similarity: float):
+    """``line, root, n, at, s``: of the ``n`` distinct shingles of a line, in order of rarity, the first
+    ones ``s`` and their places ``at``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _portions(batch, 2):
+                value, owner = _distinct(*shingle_hashes(part.column(2).to_pylist()))
+                rarity = counts[(value >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
+                order = np.lexsort((value, rarity, owner))
+                value, owner = value[order].view(np.int64), owner[order]
+                n = np.bincount(owner, minlength=len(part))
+                at = np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
+                first = at <= (n - np.ceil(n * similarity - 1e-6))[owner]
+                of = pa.array(owner[first])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(of),
+                        part.column(1).take(of),
+                        pa.array(n[owner[first]], pa.int32()),
+                        pa.array(at[first], pa.int32()),
+                        pa.array(value[first]),
+                    ],
+                    names=["line", "root", "n", "at", "s"],
+                )
+
+    return run
 
 
 def _sharing_rare_shingles(left: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -429,25 +529,20 @@ def _sharing_rare_shingles(left: DataFrame, texts: DataFrame, similarity: float)
 
     Of lines of n shingles, similar ones share at least ``similarity`` * n, so with all shingles in
     one order they share one of the first n - similarity * n + 1.  The rarest come first: what
-    many lines have, such as a template, makes no pairs.  The first shingle that two lines share
-    leaves room for no more than the rest of the shorter remainder, so most are told apart by their
-    places; that bound is exact as well.
+    many lines have, such as a template, makes no pairs.  How rare a shingle is, is read from a table
+    of counters of fixed size; any order is exact if it is the same for all lines.  The first shingle
+    that two lines share leaves room for no more than the rest of the shorter remainder, so most are
+    told apart by their places; that bound is exact as well.
     """
     lines = left.select(F.col("m").alias("_m"), "root").distinct()
     lines = texts.join(lines, F.col("line") == F.col("_m")).select("line", "root", "text")
-    each = save(lines.mapInArrow(_shingle_rows, "line long, root long, s long"), "shingles")
-    lines_with = each.groupBy(F.col("s").alias("_s")).agg(F.count("*").alias("held"))
-    # A shingle of one line cannot be shared, but has its place in the order.
-    sets = (
-        each.join(lines_with, F.col("s") == F.col("_s"))
-        .groupBy("line", "root")
-        .agg(F.array_sort(F.collect_list(F.struct("held", "s"))).alias("all"))
-        .withColumn("n", F.size("all"))
-    )
-    needed = F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-6))
-    rare = F.slice("all", F.lit(1), (F.col("n") - needed + 1).cast("int"))
-    keys = sets.select("line", "root", "n", F.posexplode(rare).alias("at", "e")).where("e.held > 1")
-    keys = save(keys.select("line", "root", "n", "at", "e.s"), "rare")
+    counted = lines.mapInArrow(_counted, "part int, counts binary")
+    counts = np.zeros((COUNTER_PARTS, (1 << COUNTER_BITS) // COUNTER_PARTS), np.int64)
+    for row in counted.groupBy("part").applyInArrow(_added, "part int, counts binary").collect():
+        counts[row["part"]] = np.frombuffer(bytes(row["counts"]), "<i8")
+    schema = "line long, root long, n int, at int, s long"
+    keys = lines.mapInArrow(_rarest(counts.ravel(), similarity), schema)
+    keys = save(keys, "rare")
     other = keys.toDF("_line", "_root", "_n", "_at", "_s")
     least = F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("_n")) - F.lit(1e-6)
     near = F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at")) >= least
