@@ -41,9 +41,8 @@ CENTRES = 16
 COUNTER_BITS = 18
 #: Bits that say which texts may be wanted again: 1 MB.
 FILTER_BITS = 23
-LEAST_SALTS = 64
-#: Pairs of one centre that meet in one task, about.
-SALT_PAIRS = 5000
+#: Pairs of one centre that share a copy of its set, about.
+SALT_PAIRS = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -179,15 +178,18 @@ def filter_bits(values: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
     return whole.ravel()
 
 
+def among(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit hashes are in a range of the filter."""
+    at = hashes.view(np.uint64) >> np.uint64(64 - (8 * len(bits)).bit_length() + 1)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+
+
 def maybe_among(bits: np.ndarray):
     """Rows whose hash, in the last column, is in a range of the filter."""
-    shift = np.uint64(64 - (8 * len(bits)).bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(batch.num_columns - 1).to_numpy().view(np.uint64) >> shift
-            on = bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)
-            yield batch.filter(pa.array(on.astype(bool)))
+            yield batch.filter(pa.array(among(bits, batch.column(batch.num_columns - 1).to_numpy())))
 
     return run
 
@@ -286,19 +288,21 @@ def star_pairs(sets: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` whose full ``sets (row, members, n)`` are similar enough.
 
-    Sizes that differ too much decide without the sets.  The centre ``b`` of many pairs is dealt over
-    salts, each with its own copy of the centre's set.
+    Sizes that differ too much decide without the sets; only sets of the others are shuffled, but for a
+    few by chance.  The centre ``b`` of many pairs is dealt over salts, each with its own copy of the
+    centre's set.
     """
-    salts = max(LEAST_SALTS, pairs.count() // SALT_PAIRS)
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_PAIRS).alias("salts"))
     sizes = [sets.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}")) for c in ("a", "b")]
     near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    able = pairs.join(sizes[0], "a").join(sizes[1], "b").where(near).select("a", "b")
-    salted = able.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)))
-    left = salted.join(sets.select(F.col("row").alias("a"), F.col("members").alias("x")), "a")
+    able = pairs.join(sizes[0], "a").join(sizes[1].join(many, "b"), "b").where(near)
+    salted = save(able.select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt")), "able")
+    members = _sets_of(salted, sets)
+    left = salted.join(members.select(F.col("row").alias("a"), F.col("members").alias("x")), "a")
     right = (
         salted.select("b", "salt")
         .distinct()
-        .join(sets.select(F.col("row").alias("b"), F.col("members").alias("y")), "b")
+        .join(members.select(F.col("row").alias("b"), F.col("members").alias("y")), "b")
     )
     shared = F.size(F.array_intersect("x", "y"))
     both = left.join(right, ["b", "salt"]).select(
@@ -307,6 +311,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("shared") >= percent * (F.col("sizes") - F.col("shared"))).select("a", "b")
 
 
+def _sets_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``row, members`` of the rows of ``pairs (a, b)``; if they are few, hardly any others."""
+    members = sets.select("row", "members")
+    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    rows = wanted.count()
+    if 2 * rows >= sets.count():
+        return members
+    bits = filter_bits(wanted.select(F.xxhash64("row").alias("h")), min(max((16 * rows).bit_length(), 17), 27))
+    hashed = members.withColumn("h", F.xxhash64("row"))
+    return hashed.mapInArrow(maybe_among(bits), hashed.schema).drop("h")
+
+
 def _with_component(members: DataFrame, roots: DataFrame) -> DataFrame:
     """``members (bucket, row, ...)`` of buckets of more than one component, with ``component``."""
     named = members.join(roots, F.col("row") == F.col("node"), "left").select(
