@@ -3,8 +3,9 @@
 Equal lines are found by a 128-bit key.  Distinct lines get a one-permutation MinHash signature of
 their character shingles; bands of it put likely neighbours into groups.  A group first gives the
 pairs of its members with one centre, or with the centres of the slices of text they came in; pairs are compared by exact Jaccard similarity, those of two
-long lines only if their signatures agree at all well; groups whose
-members are not all connected try further centres, and lines still apart are joined by the rarest of
+long lines only if their signatures agree at all well; of small groups whose
+members are not all connected all pairs that are apart follow; large ones try further centres, and their
+lines still apart are joined by the rarest of
 their shingles, which any similar pair shares, so no candidate is left out.  Verified
 pairs make components, and of each component the first line of the first document stays.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.components import connected_components
-from fleetlens.llm.minhash import filter_bits, maybe_among
+from fleetlens.llm.minhash import among, filter_bits
 from fleetlens.llm.storage import leaves_its_result, save
 
 #: Characters of a shingle: long enough that long unrelated lines share few.
@@ -36,15 +37,22 @@ SKETCHED = 200
 BUCKET_ENTRIES = 1_000_000
 #: Bytes of lines whose shingles are in memory at once, about; one longer line stands alone.
 PORTION = 300_000
+#: Characters whose shingles are hashed at once: what a processor's cache holds.
+HASHED = 100_000
 LEAST_BUCKETS = 96
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Lenders that an empty bin asks one by one before the rest is found by rank.
 WALK = 24
 #: Counters of shingles, by the first bits of their hashes, that say which are rare, and parts they are added in.
 COUNTER_BITS, COUNTER_PARTS = 18, 64
-#: Rounds of new centres for groups that are not connected yet.
+#: Members of a group up to which all pairs that are apart are compared: as many as the members at most
+#: half so often.
+WHOLE = 64
+#: Rounds of new centres for larger groups that are not connected yet.
 CENTRES = 2
 _ENTRY = np.dtype([("key", "<u8"), ("line", "<i8")])
+#: White space other than single blanks inside a line.
+_UNEVEN = ["  ", " \n", "\n "] + [chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n"]
 _STAR = np.dtype([("grp", "<i8"), ("a", "<i8"), ("b", "<i8")])
 
 
@@ -54,9 +62,13 @@ def normal_line(line: str) -> str:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    y ^= y >> np.uint64(27)
+    y *= np.uint64(0x94D049BB133111EB)
+    y ^= y >> np.uint64(31)
+    return y
 
 
 def shingle_hashes(lines: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +80,7 @@ def shingle_hashes(lines: list[str], width: int = SHINGLE) -> tuple[np.ndarray,
     count = np.maximum(size - width + 1, np.minimum(size, 1))
     owner = np.repeat(np.arange(len(lines)), count)
     edge = np.concatenate([[0], np.cumsum(count)[:-1]])
-    at = np.arange(len(owner)) - edge[owner] + begin[owner]
+    at = np.repeat(begin - edge, count) + np.arange(len(owner))
     # Hashes of runs of doubled length, put together to runs of ``width``.
     rolled, done, run, reach, factor = None, 0, points, 1, 0x100000001B3
     while True:
@@ -149,7 +161,10 @@ def _lenders(bins: int) -> tuple[np.ndarray, np.ndarray]:
 
 def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """Keys of the bands (lines x bands)."""
-    sign = signatures(lines, bands * rows).reshape(len(lines), bands, rows)
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // HASHED, prepend=-1)).tolist() + [len(lines)]
+    parts = [signatures(lines[i:j], bands * rows) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    sign = np.concatenate(parts or [np.zeros((0, bands * rows), np.uint64)]).reshape(len(lines), bands, rows)
     keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(lines), bands)).copy()
     for i in range(rows):
         keys = _mix(keys * _ODD + sign[:, :, i])
@@ -164,41 +179,42 @@ def jaccard(a: str, b: str, width: int = SHINGLE) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def _read_lines():
-    """Lines of batches of ``_row, doc_id, text``, see line_table."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def normal_lines(text: str) -> list[str]:
+    """``normal_line`` of what "\\n" separates; most texts are in that form but for the case."""
+    text = text.lower()
+    if text[:1] == " " or text[-1:] == " " or any(x in text for x in _UNEVEN):
+        return [" ".join(line.split()) for line in text.split("\n")]
+    return text.split("\n")
 
-        digest = xxhash.xxh3_128_intdigest
-        for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            held = 0
-
-            def drain() -> pa.RecordBatch:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
-                arrays = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
-                for c in out:
-                    c.clear()
-                return pa.RecordBatch.from_arrays(
-                    arrays, names=["doc", "row", "pos", "line", "line2", "text"]
-                )
 
-            ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for (row, doc), text in zip(ids, batch.column(2), strict=True):
-                for pos, raw in enumerate((text.as_py() or "").split("\n")):
-                    if line := normal_line(raw):
-                        key = digest(line.encode("utf-8", "surrogatepass"))
-                        parts = (key & (2**64 - 1)) - 2**63, (key >> 64) - 2**63
-                        for column, value in zip(out, (doc, row, pos, *parts, line), strict=True):
-                            column.append(value)
-                        held += len(line)
-                if held > 1_000_000:
-                    yield drain()
-                    held = 0
-            yield drain()
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    """Of batches of ``_row, doc_id, text``: number of the text in its batch, place and normal line of the
+    lines that have a word, with the batch and the two halves of the lines' keys."""
+    import xxhash
 
-    return run
+    digest = xxhash.xxh3_128_digest
+    for batch in batches:
+        owner, places, lines, held = [], [], [], 0
+        for i, text in enumerate(batch.column(2)):
+            own = normal_lines(text.as_py() or "")
+            full = [k for k, line in enumerate(own) if line]
+            owner += [i] * len(full)
+            places += full
+            lines += own if len(full) == len(own) else [own[k] for k in full]
+            held += len(text.as_py() or "")
+            if held > 1_000_000 or i + 1 == batch.num_rows:
+                raw = b"".join([digest(line.encode("utf-8", "surrogatepass")) for line in lines])
+                key = (np.frombuffer(raw, ">u8").astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+                yield batch, np.array(owner, np.int64), np.array(places, np.int32), key[1::2], key[::2], lines
+                owner, places, lines, held = [], [], [], 0
+
+
+def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc, row, pos, line, line2`` of the lines."""
+    for batch, owner, pos, line, line2, _ in _read(batches):
+        at = pa.array(owner)
+        columns = [batch.column(1).take(at), batch.column(0).take(at), pa.array(pos), pa.array(line), pa.array(line2)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc", "row", "pos", "line", "line2"])
 
 
 def _of_rows(rows: DataFrame) -> DataFrame:
@@ -206,24 +222,24 @@ def _of_rows(rows: DataFrame) -> DataFrame:
 
 
 def line_table(rows: DataFrame) -> DataFrame:
-    """``doc, row, pos, line, line2, text`` of every line that has a word.
+    """``doc, row, pos, line, line2`` of every line that has a word.
 
     From ``_row``, ``doc_id`` and ``text``.  (line, line2) is the 128-bit key of the normal line.
     """
-    schema = "doc long, row long, pos int, line long, line2 long, text string"
-    return _of_rows(rows).mapInArrow(_read_lines(), schema)
+    schema = "doc long, row long, pos int, line long, line2 long"
+    return _of_rows(rows).mapInArrow(_line_keys, schema)
 
 
 def _texts_of(bits: np.ndarray):
     """Lines and texts of rows whose line may be wanted; a line seen before in the task is left out."""
-    read, maybe = _read_lines(), maybe_among(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in maybe(b.select(["text", "line"]) for b in read(batches)):
-            ids = batch.column(1).to_pylist()
-            new = [line not in seen and not seen.add(line) for line in ids]
-            yield batch.filter(pa.array(new, pa.bool_())).select(["line", "text"])
+        for *_, line, _, texts in _read(batches):
+            at = np.flatnonzero(among(bits, line))
+            new = [i for i, x in zip(at.tolist(), line[at].tolist(), strict=True) if x not in seen and not seen.add(x)]
+            columns = [pa.array(line[new]), pa.array([texts[i] for i in new], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["line", "text"])
             if len(seen) > 300_000:
                 seen.clear()
 
@@ -233,26 +249,24 @@ def _texts_of(bits: np.ndarray):
 def _entries(buckets: int):
     """Band entries of the lines, packed by bucket; a line seen before in the task is left out."""
 
-    read = _read_lines()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        ids, texts, held = [], [], 0
         # Reading and packing share one worker.
-        for batch in (b.select(["line", "text"]) for b in read(batches)):
-            ids, texts, held = [], [], 0
-            for i, (line, text) in enumerate(
-                zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
-            ):
-                if line not in seen:
-                    seen.add(line)
-                    ids.append(line)
-                    texts.append(text.as_py())
-                    held += len(texts[-1])
-                if ids and (held > 400_000 or len(ids) == 4000 or i + 1 == len(batch)):
-                    yield _pack(ids, texts, buckets)
-                    ids, texts, held = [], [], 0
+        for *_, line, _, lines in _read(batches):
+            for x, text in zip(line.tolist(), lines, strict=True):
+                if x not in seen:
+                    seen.add(x)
+                    ids.append(x)
+                    texts.append(text)
+                    held += len(text)
+                    if held > 400_000 or len(ids) == 4000:
+                        yield _pack(ids, texts, buckets)
+                        ids, texts, held = [], [], 0
             if len(seen) > 300_000:
                 seen.clear()
+        if ids:
+            yield _pack(ids, texts, buckets)
 
     return run
 
@@ -288,9 +302,14 @@ def _starred(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     The centre is the member of the smallest hash of line and group, so a line's groups have
     different ones.
     """
-    entries = entries[np.lexsort((_mix(entries["line"].view("<u8") ^ entries["key"]), entries["key"]))]
     if not len(entries):
         return entries, np.zeros(0, _STAR)
+    entries = entries[np.argsort(entries["key"])]
+    same = entries["key"][1:] == entries["key"][:-1]
+    # Most keys stand alone; the others are sorted by the hash as well.
+    shared = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+    some = entries[shared]
+    entries[shared] = some[np.lexsort((_mix(some["line"].view("<u8") ^ some["key"]), some["key"]))]
     again = (entries["key"][1:] == entries["key"][:-1]) & (entries["line"][1:] == entries["line"][:-1])
     entries = entries[np.concatenate([[True], ~again])]
     first = np.concatenate([[True], entries["key"][1:] != entries["key"][:-1]])
@@ -332,7 +351,10 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _portions(batch, 1):
             value, owner = shingle_hashes(part.column(1).to_pylist())
             sign = _signatures(value, owner, len(part)).astype(np.uint8)
-            size = np.bincount(_distinct(value, owner)[1], minlength=len(part)).astype("<u4")
+            # Slices have fewer than 1024 lines; 54 bits tell the shingles of a line apart.
+            key = np.sort((owner.astype(np.uint64) << np.uint64(54)) | (value >> np.uint64(10)))
+            new = np.concatenate([key[:1] == key[:1], key[1:] != key[:-1]])
+            size = np.bincount((key[new] >> np.uint64(54)).astype(np.int64), minlength=len(part)).astype("<u4")
             sketch = [s.tobytes() + n.tobytes() for s, n in zip(sign, size, strict=True)]
             yield part.append_column("sketch", pa.array(sketch, pa.binary()))
 
@@ -397,6 +419,12 @@ def similar(x: list[str], y: list[str], similarity: float = SIMILARITY) -> np.nd
 
 def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose lines are similar enough: by their sketches, then in full."""
+    likely = _both(pairs, lines, "sketch").mapInArrow(_likely(similarity), "a long, b long")
+    return _in_full(likely, lines, similarity)
+
+
+def _in_full(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose lines are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -404,8 +432,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
                 good = similar(part.column(2).to_pylist(), part.column(3).to_pylist(), similarity)
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    likely = _both(pairs, lines, "sketch").mapInArrow(_likely(similarity), "a long, b long")
-    return _both(likely, lines, "text").mapInArrow(run, "a long, b long")
+    return _both(pairs, lines, "text").mapInArrow(run, "a long, b long")
 
 
 @leaves_its_result
@@ -437,7 +464,15 @@ def line_components(rows: DataFrame, count: int, similarity: float = SIMILARITY)
     links = save(_verified(pairs, texts, similarity), "links")
     found = connected_components(links)
     members = stars.select("grp", F.col("a").alias("m")).union(stars.select("grp", "b")).distinct()
-    for turn in range(CENTRES + 1):
+    left = _apart(members, found)
+    if left.isEmpty():
+        return found
+    pairs = _pairs_in_groups(left.where(F.col("n") <= WHOLE), texts, similarity)
+    more = save(_in_full(pairs, texts, similarity), "links")
+    if not more.isEmpty():
+        found = _merged(found, more)
+    members = left.where(F.col("n") > WHOLE).select("grp", "m")
+    for turn in range(0 if members.isEmpty() else CENTRES + 1):
         left = _apart(members, found)
         if left.isEmpty():
             break
@@ -447,22 +482,72 @@ def line_components(rows: DataFrame, count: int, similarity: float = SIMILARITY)
             pairs = _sharing_rare_shingles(left, texts, similarity)
         more = save(_verified(pairs, texts, similarity), "links")
         if not more.isEmpty():
-            found = connected_components(found.toDF("a", "b").union(more))
+            found = _merged(found, more)
         members = left.select("grp", "m")
     return found
 
 
+def _merged(found: DataFrame, more: DataFrame) -> DataFrame:
+    """The components ``found`` with further links: only these go through the rounds, between roots."""
+    roots = [found.select(F.col("node").alias(f"_{c}"), F.col("root").alias(f"_root_{c}")) for c in "ab"]
+    joined = more.join(roots[0], F.col("a") == F.col("_a"), "left").join(roots[1], F.col("b") == F.col("_b"), "left")
+    between = joined.select(F.coalesce("_root_a", "a").alias("a"), F.coalesce("_root_b", "b").alias("b"))
+    moved = connected_components(between)
+    new = moved.toDF("_old", "_new")
+    named = found.join(new, F.col("root") == F.col("_old"), "left").select("node", F.coalesce("_new", "root").alias("root"))
+    return save(named.union(moved), "found")
+
+
 def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
-    """``grp, m, root`` of the groups of three or more that are not connected yet."""
+    """``grp, m, root, n`` of the groups of ``n`` lines, three or more, that are not connected yet."""
     rooted = members.join(found, F.col("m") == F.col("node"), "left").select(
         "grp", "m", F.coalesce("root", "m").alias("root")
     )
     split = rooted.groupBy("grp").agg(
         F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n")
-    ).where("_n > 2 AND _low < _high").select(F.col("grp").alias("_g"))
+    ).where("_n > 2 AND _low < _high").select(F.col("grp").alias("_g"), F.col("_n").alias("n"))
     return save(rooted.join(split, F.col("grp") == F.col("_g")).drop("_g"), "apart")
 
 
+def _pairs_in_groups(left: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of a group's members that are apart and whose sketches can be similar enough.
+
+    Groups have ``WHOLE`` members at most.
+    """
+
+    def pairs(grp: np.ndarray, line: np.ndarray, root: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+        out = [np.zeros((0, 2), np.int64)]
+        for ahead in range(1, WHOLE):
+            near = grp[ahead:] == grp[:-ahead]
+            if not near.any():
+                break
+            at = np.flatnonzero(near & (root[ahead:] != root[:-ahead]))
+            for some in np.split(at, range(20_000, len(at), 20_000)):
+                some = some[likely_pairs(sketch[some], sketch[some + ahead], similarity)]
+                out.append(np.sort(np.stack([line[some], line[some + ahead]], axis=1), axis=1))
+        a, b = np.unique(np.concatenate(out), axis=0).T
+        return pa.RecordBatch.from_arrays([pa.array(a.copy()), pa.array(b.copy())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if batch.num_rows:
+                new = [c.to_numpy() for c in batch.columns[:3]]
+                new.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, -1))
+                held = [np.concatenate(c) for c in zip(held, new, strict=True)] if held else new
+                # The last group may go on in the next batch.
+                end = int(np.argmax(held[0] == held[0][-1]))
+                yield pairs(*[c[:end] for c in held])
+                held = [c[end:] for c in held]
+        if held:
+            yield pairs(*held)
+
+    sketches = texts.select("line", "sketch")
+    rows = left.join(sketches, F.col("m") == F.col("line")).select("grp", "m", "root", "sketch")
+    ordered = rows.repartition("grp").sortWithinPartitions("grp")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
 def _with_new_centres(left: DataFrame, turn: int) -> DataFrame:
     """Pairs of a group's members with one more of them, if they are apart."""
     pick = F.struct(F.xxhash64("m", "grp", F.lit(turn)).alias("h"), "m", "root")
@@ -556,7 +641,7 @@ def kept_lines(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Of each component the first line stays, in order of doc_id, _row and position.
     """
-    narrow = save(line_table(rows).drop("text"), "lines")
+    narrow = save(line_table(rows), "lines")
     found = line_components(rows, narrow.count(), similarity)
     nodes = found.union(found.select("root", "root").distinct())
     firsts = narrow.groupBy("line", "line2").agg(F.min(F.struct("doc", "row", "pos")).alias("first"))
