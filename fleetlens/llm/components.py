@@ -99,7 +99,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Loops are ignored; no edges give no rows.
     """
     contracted = edges.where("a <> b").mapInArrow(_contract, "a long, b long")
-    now = save(contracted.distinct(), "edges")
+    # Forests of tasks with one root meet in tasks as large as Spark makes them, and are contracted again.
+    met = contracted.hint("rebalance", F.col("b")).mapInArrow(_contract, "a long, b long")
+    now = save(met.distinct(), "edges")
     while True:
         if _are_stars(now):
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
