@@ -216,10 +216,12 @@ def _index_rows(
     )
     if partition_level:
         # An index has a bounded number of partitions, so they travel with it as a set.
+        # Their number is taken from the set: a distinct count beside it would shuffle every row twice.
         parts = catalog["partitions"].groupBy(*idx).agg(
-            F.count_distinct("partition_number").cast("int").alias("partition_count"),
-            F.collect_set(F.struct("partition_id", "partition_number")).alias("_parts"),
+            F.collect_set(F.struct("partition_id", "partition_number")).alias("_parts")
         )
+        numbers = F.array_distinct(F.array_compact(F.col("_parts.partition_number")))
+        parts = parts.withColumn("partition_count", F.size(numbers))
         rows = rows.join(parts, idx, "left").select("*", F.inline_outer("_parts")).drop("_parts")
     else:
         for name, kind in (("partition_id", "bigint"), ("partition_number", "int"),

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.operators.distributed import stored
+from fleetlens.operators.distributed import BROADCAST_ROWS, stored
 from fleetlens.operators.maintenance import (
     DEFAULT_PREFERENCES,
     FRAGMENTATION_LEVEL_1,
@@ -29,6 +29,44 @@ from fleetlens.operators.selection import select_items
 SELECTION_COLUMNS = ["database_name", "schema_name", "object_name", "target_name"]
 
 
+def _asked_partitions(stats_properties: DataFrame, targets: DataFrame) -> DataFrame:
+    """Counters of partitions, without the partition numbers that no target has.
+
+    Statistics may have many more partitions than targets ask for, and are told apart here without a
+    shuffle of them.  The numbers are few: those of the index with the most partitions.
+    """
+    rows = stats_properties.filter("partition_number is not null")
+    numbers = targets.filter("partition_number is not null").select("partition_number").distinct()
+    if numbers.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return rows
+    return rows.join(F.broadcast(numbers), "partition_number", "left_semi")
+
+
+def _with_partition_counters(planned: DataFrame, counters: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Incremental statistics are judged by the counters of the partition itself, where known.
+
+    A statistic has a bounded number of partitions, so their counters travel as a list, by the keys
+    that the rows are already partitioned by.
+    """
+    known = counters.groupBy(*keys, "object_id", F.col("stats_id").alias("statistics_id")).agg(
+        F.collect_list(F.struct(
+            F.col("partition_number").alias("_number"), F.col("rows").alias("_rows"),
+            F.col("modification_counter").alias("_modified"),
+        )).alias("_counters")
+    )
+    joined = planned.join(known, [*keys, "object_id", "statistics_id"], "left")
+    here = F.filter("_counters", lambda c: c["_number"] == F.col("partition_number"))
+    own = F.col("is_incremental") & F.col("_rows").isNotNull()
+    return (
+        joined.select(*planned.columns, F.inline_outer(here))
+        .withColumns({
+            "row_count": F.when(own, F.col("_rows")).otherwise(F.col("row_count")),
+            "modification_counter": F.when(own, F.col("_modified")).otherwise(F.col("modification_counter")),
+        })
+        .drop("_number", "_rows", "_modified")
+    )
+
+
 def index_maintenance_plan(
     catalog: Mapping[str, DataFrame],
     physical_stats: DataFrame,
@@ -72,26 +110,11 @@ def index_maintenance_plan(
         F.col("rows").alias("row_count"), "modification_counter",
     )
     # The order reads its rows several times; the joins that find the targets run once.
-    ordered = order_targets(stored(chosen.filter("selected"), "targets"), k)
-    planned = ordered.join(measured, [*idx, *on_part], "left").join(
-        whole, [*k, "object_id", "statistics_id"], "left"
-    )
+    kept = stored(chosen.filter("selected"), "targets")
+    of_statistic = [*k, "object_id", "statistics_id"]
+    planned = order_targets(kept, k).join(measured, [*idx, *on_part], "left").join(whole, of_statistic, "left")
     if incremental:
-        # Incremental statistics are judged by the counters of the partition itself, where known.
-        of_partition = stats_properties.filter("partition_number is not null").select(
-            *k, "object_id", F.col("stats_id").alias("statistics_id"), "partition_number",
-            F.col("rows").alias("_rows"), F.col("modification_counter").alias("_modified"),
-        )
-        own = F.col("is_incremental") & F.col("_rows").isNotNull()
-        planned = (
-            planned.join(of_partition, [*k, "object_id", "statistics_id", "partition_number"], "left")
-            .withColumns({
-                "row_count": F.when(own, F.col("_rows")).otherwise(F.col("row_count")),
-                "modification_counter": F.when(own, F.col("_modified")).otherwise(
-                    F.col("modification_counter")),
-            })
-            .drop("_rows", "_modified")
-        )
+        planned = _with_partition_counters(planned, _asked_partitions(stats_properties, kept), k)
     acted = choose_action(
         allowed_actions(planned, version, edition), preferences, min_pages, max_pages, l1, l2
     )
