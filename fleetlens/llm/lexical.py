@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetlens.llm.storage import save
+from fleetlens.llm.storage import LARGE_ROWS, save
 from fleetlens.llm.words import split_words, text_slices, xxh64
 
 #: Bytes of text in a shard, about; one longer text is a shard of its own.
@@ -235,7 +235,7 @@ def lexical_top_k(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     the driver hold does not grow with them (one item's terms are always together).
     """
     spark = docs.sparkSession
-    shards = save(index_shards(docs), "shards")
+    shards = save(index_shards(docs), "shards", LARGE_ROWS)
     asked = save(weighted_items(items, shards), "items")
     corpus = shards.agg(F.sum("documents"), F.sum("total")).first()
     documents, total = (int(v or 0) for v in corpus)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +14,13 @@ from fleetlens.operators.distributed import ensure_checkpoint_dir
 _open = threading.local()
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet under the checkpoint folder and read again.
+#: For rows of megabytes: Parquet looks at the size of a row group behind each row instead of the
+#: hundredth, and so ends it at about these bytes.  Readers decode up to one row group at once.
+LARGE_ROWS = {"parquet.block.size": 4_000_000, "parquet.page.size.row.check.min": 1}
+
+
+def save(df: DataFrame, name: str, options: Mapping[str, int] | None = None) -> DataFrame:
+    """``df`` written as Parquet under the checkpoint folder, with the writer's ``options``, and read again.
 
     A lost executor costs no recomputation beyond this table.  The folder belongs to the owner of
     ``spark.checkpoint.dir``; tables are removed here only inside ``leaves_its_result``, as the
@@ -23,7 +28,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     if saved := getattr(_open, "saved", None):
         saved[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
