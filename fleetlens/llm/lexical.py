@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetlens.llm.storage import LARGE_ROWS, save
+from fleetlens.llm.storage import LARGE_ROWS, save, small_batches
 from fleetlens.llm.words import split_words, text_slices, xxh64
 
 #: Bytes of text in a shard, about; one longer text is a shard of its own.
@@ -247,7 +247,9 @@ def lexical_top_k(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
         rows = [tuple(r) for r in asked.where(number == block).collect()]
         if rows:
             part = shards.mapInArrow(_search(rows, documents, total, k), schema)
-            found = found.union(save(part, "ranked"))
+            with small_batches(spark):
+                part = save(part, "ranked")
+            found = found.union(part)
     order = [F.desc("score"), F.col("doc_id").asc_nulls_last()]
     group = F.pmod(F.xxhash64("doc_id"), F.lit(MERGE_GROUPS))
     some = Window.partitionBy("item_id", "part").orderBy(*order)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import threading
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,26 @@ _open = threading.local()
 LARGE_ROWS = {"parquet.block.size": 4_000_000, "parquet.page.size.row.check.min": 1}
 
 
+#: Bytes that go to a Python worker at once under ``small_batches``, and one row more.
+BATCH_BYTES = 4_000_000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that begin inside send little to Python workers at once.
+
+    Spark copies a batch several times outside the heap, and its limit of a batch (64 MB) is a setting of
+    the session.  Results do not depend on it.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(limit, before)
+
+
 def save(df: DataFrame, name: str, options: Mapping[str, int] | None = None) -> DataFrame:
     """``df`` written as Parquet under the checkpoint folder, with the writer's ``options``, and read again.
 
